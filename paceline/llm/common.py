@@ -98,3 +98,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def others(df: DataFrame, *outputs: str) -> list[str]:
+    """The columns that pass through: all but those that the outputs of the same name replace."""
+    taken = {o.lower() for o in outputs}
+    return [c for c in df.columns if c.lower() not in taken]

@@ -9,8 +9,8 @@ Everything is DataFrame functions.  The trusted side takes at most ``target_rows
 the order of a hash of their id; the raw side counts all documents.
 
 Defined cases: null text has no words (base_failed); texts with no n-gram score 0; null doc_id rows are scored
-like others; repeated rows are each returned; an empty table gives an empty result; extra columns pass through
-``quality_scores`` untouched; without trusted documents every score is 0 and the rule alone decides.
+like others; repeated rows are each returned; an empty table gives an empty result; extra columns pass through, but
+those named like an output are replaced; without trusted documents every score is 0 and the rule alone decides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import free_name, let, words_col, written
+from paceline.llm.common import free_name, let, others, words_col, written
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, params: QualityParams = Q
     """``docs`` with the base columns, ``base_failed``, ``llr`` and ``kept``."""
     weights = written(log_ratio_model(docs, labels, params), "llr-model")
     words, model = free_name(docs, "words"), free_name(docs, "model")
-    name = {c: c for c in docs.columns}
+    outputs = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
     out = docs.withColumn(words, words_col(docs["text"])).withColumn(model, weights.scalar())
     buckets = ngram_buckets(F.col(words), params.buckets)
     out = out.withColumns(base_columns(F.col("text"), F.col(words), params)).withColumn(
@@ -140,5 +140,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, params: QualityParams = Q
         out.drop(words, model)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= params.threshold))
-        .select(*name, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+        .select(*others(docs, *outputs), *outputs)
     )
