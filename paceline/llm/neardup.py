@@ -6,7 +6,7 @@
    at least ``share`` of k retained values, so in any common order of values they share one of the first
    k - share * k + 1.  Values are ordered rarest first by counts over all classes (in a table of ``bins``
    hashed counters, so its size is fixed), which keeps widespread passages out of the lists.
-3. Lists are not expanded into pairs.  First every list pairs its members with one leader, its smallest set;
+3. Lists are not expanded into pairs.  First every list pairs its members with one leader, that in most lists;
    confirmed pairs merge components, and only members that are then still in different components of a list and
    close enough in size are paired.
 4. Union sketches estimate the similarity of pairs, those below ``floor`` go, and the rest is decided
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import others, written
@@ -39,9 +39,9 @@ _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(
 class NearDupParams:
     width: int = 5
     percent: int = 85
-    k: int = 64
-    share: float = 0.69
-    floor: float = 0.64
+    k: int = 256
+    share: float = 0.77
+    floor: float = 0.74
     bins: int = 1 << 18
     block: int = 256
 
@@ -130,7 +130,12 @@ def _sets(docs: DataFrame, params: NearDupParams, sketch: bool) -> DataFrame:
 
 
 def _postings(classes: DataFrame, params: NearDupParams) -> DataFrame:
-    """node, n, key: for every class the retained values in whose lists it stands, rarest first."""
+    """node, n, key, first: for every class the retained values in whose lists it stands, rarest first.
+
+    ``first`` marks those that suffice while the class is the smaller of a pair: with no larger partner cut short,
+    it shares 2 s / (1 + s) of its own values, s the similarity.  ``at`` is the place of the key in the order, and
+    ``common`` for sets kept whole the number of values that some other class may have too.
+    """
     spark, bins = classes.sparkSession, params.bins
     counted = (
         classes.select(F.explode("v").alias("x"))
@@ -146,19 +151,25 @@ def _postings(classes: DataFrame, params: NearDupParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, short, common = [], [], []
             for v in _rows(batch.column("v")):
                 # sets so small that no partner's sketch is cut short must share the exact number
                 whole = len(v) * 100 < percent * k
                 need = -(-len(v) * percent // 100) if whole else math.floor(share * len(v))
-                order = np.lexsort((v, shared.value[(v % np.uint64(bins)).astype(np.int64)]))
+                met = shared.value[(v % np.uint64(bins)).astype(np.int64)]
+                order = np.lexsort((v, met))
                 keys.append(v[order[: len(v) - need + 1]])
+                less = -(-len(v) * 2 * percent // (100 + percent)) if whole else need
+                short.append(len(v) - less + 1)
+                common.append(np.count_nonzero(met) if whole else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n"), _lists(keys)], names=["node", "n", "keys"]
+                [batch.column("node"), batch.column("n"), _lists(keys), pa.array(short, pa.int32()), pa.array(common, pa.int32())],
+                names=["node", "n", "keys", "short", "common"],
             )
 
-    return classes.select("node", "n", "v").mapInArrow(run, "node long, n long, keys array<long>").select(
-        "node", "n", F.explode("keys").alias("key")
+    listed = classes.select("node", "n", "v").mapInArrow(run, "node long, n long, keys array<long>, short int, common int")
+    return listed.select("node", "n", "short", "common", F.posexplode("keys").alias("at", "key")).select(
+        "node", "n", "key", "at", (F.col("at") < F.col("short")).alias("first"), "common"
     )
 
 
@@ -240,6 +251,23 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, params: Near
     return written(_compare(likely, sets, params, exact=True), "confirmed")
 
 
+def _possible(params: NearDupParams) -> Column:
+    """Whether (x, m, i, u, c) and a not smaller (node, n, at, common, comp) of one list may be an unconfirmed link.
+
+    For sets kept whole the needed overlap is known: it can exceed neither what each has in common with anything,
+    nor what the places of the shared key in the two orders leave.
+    """
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("node")))
+    sizes = 100 * F.col("m") >= params.percent * F.col("n")
+    need = params.percent * (F.col("m") + F.col("n"))
+    most = F.least(
+        F.coalesce("u", "m"),
+        F.coalesce("common", "n"),
+        F.when(F.col("u").isNotNull() & F.col("common").isNotNull(), F.least(F.col("m") - F.col("i") + F.col("at"), F.col("n") - F.col("at") + F.col("i"))).otherwise(F.col("m")),
+    )
+    return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * most >= need)
+
+
 def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, labels): doc rows with their digest; classes with their node (smallest doc_id); the
     component of each class that is linked to another."""
@@ -252,24 +280,28 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     )
     # a node with several texts (a repeated doc_id) has the links of all of them
     postings = written(_postings(classes, params), "postings")
-    heads = postings.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("n", "node")).alias("head"))
-    heads = written(heads.filter("many > 1").select("key", F.col("head.node").alias("x")), "heads")
-    lists = written(postings.join(heads.select("key"), "key", "left_semi"), "lists")
+    shared = written(postings.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared-keys")
+    lists = written(postings.join(shared, "key", "left_semi"), "lists")
+    # edits give a copy values of its own, which take places among its rarest; the original stands in most lists
+    met = written(lists.groupBy("node").agg(F.count("*").alias("met")), "met")
+    heads = lists.join(met, "node").groupBy("key").agg(F.min(F.struct(-F.col("met"), "n", "node")).alias("head"))
+    heads = written(heads.select("key", F.col("head.node").alias("x")), "heads")
     first = lists.join(heads, "key").filter("node <> x").select("x", F.col("node").alias("y"))
     involved = lists.select("node").distinct()
     texts = docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = written(_sets(texts, params, sketch=False).select(F.col("doc_id").alias("node"), "n", "v"), "sets")
     edges = _confirm(first, classes, sets, params)
     labels = connected(edges)
-    placed = lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    placed = lists.join(labels, "node", "left").select(
+        "key", "node", "n", "at", "first", "common", F.coalesce("comp", "node").alias("comp")
+    )
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
     spread = written(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    left = spread.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    crossing = left.join(spread, "key").filter(
-        (F.col("c") < F.col("comp")) & (100 * F.least("n", "m") >= params.percent * F.greatest("n", "m"))
+    left = spread.filter("first").select(
+        "key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("common").alias("u"), F.col("comp").alias("c")
     )
-    more = _confirm(crossing.select("x", F.col("node").alias("y")), classes, sets, params)
+    more = _confirm(left.join(spread, "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
     return members, classes, labels if more.isEmpty() else connected(edges.union(more))
 
 
