@@ -3,9 +3,9 @@
 1. Every text becomes its set of distinct 5-word shingles, hashed to 64 bits; the ``k`` smallest hashes are its
    sketch.  Equal sets (compared by size and a 128-bit digest) form one class, so that copies are never paired.
 2. Inverted lists over retained values give candidates.  Two sets of Jaccard similarity >= ``similarity`` share
-   at least ``share`` of k retained values, so in any common order of values they share one of the first
-   k - share * k + 1.  Values are ordered rarest first by counts over all classes (in a table of ``bins``
-   hashed counters, so its size is fixed), which keeps widespread passages out of the lists.
+   at least ``share`` of their ``index`` smallest hashes, so in any common order of values they share one of the
+   first index - share * index + 1.  Values are ordered rarest first by their exact counts over all classes, which
+   keeps widespread passages out of the lists, and classes with too many values of their own out of all.
 3. Lists are not expanded into pairs.  First every list pairs its members with one leader, that in most lists;
    confirmed pairs merge components, and only members that are then still in different components of a list and
    close enough in size are paired.
@@ -19,7 +19,6 @@ component; empty tables give empty results; extra columns pass through ``compone
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +38,11 @@ _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(
 class NearDupParams:
     width: int = 5
     percent: int = 85
-    k: int = 256
-    share: float = 0.77
-    floor: float = 0.74
-    bins: int = 1 << 18
+    k: int = 128
+    index: int = 64
+    share: float = 0.69
+    floor: float = 0.70
+    rounds: int = 2
     block: int = 256
 
     @property
@@ -132,45 +132,27 @@ def _sets(docs: DataFrame, params: NearDupParams, sketch: bool) -> DataFrame:
 def _postings(classes: DataFrame, params: NearDupParams) -> DataFrame:
     """node, n, key, first: for every class the retained values in whose lists it stands, rarest first.
 
-    ``first`` marks those that suffice while the class is the smaller of a pair: with no larger partner cut short,
-    it shares 2 s / (1 + s) of its own values, s the similarity.  ``at`` is the place of the key in the order, and
-    ``common`` for sets kept whole the number of values that some other class may have too.
+    A class with too many values that no other class retains can have no link; it leaves, others then lose what
+    they shared with it, and so on for ``rounds`` rounds.  ``first`` marks those that suffice while
+    the class is the smaller of a pair: with no larger partner cut short, it shares 2 s / (1 + s) of its own values,
+    s the similarity.
     """
-    spark, bins = classes.sparkSession, params.bins
-    counted = (
-        classes.select(F.explode("v").alias("x"))
-        .groupBy(F.pmod("x", F.lit(bins)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .toArrow()  # at most ``bins`` rows
-    )
-    table = np.zeros(bins, dtype=np.int64)
-    table[counted["bin"].to_numpy()] = counted["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-    k, share, percent = params.k, params.share, params.percent
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, short, common = [], [], []
-            for v in _rows(batch.column("v")):
-                # sets so small that no partner's sketch is cut short must share the exact number
-                whole = len(v) * 100 < percent * k
-                need = -(-len(v) * percent // 100) if whole else math.floor(share * len(v))
-                met = shared.value[(v % np.uint64(bins)).astype(np.int64)]
-                order = np.lexsort((v, met))
-                keys.append(v[order[: len(v) - need + 1]])
-                less = -(-len(v) * 2 * percent // (100 + percent)) if whole else need
-                short.append(len(v) - less + 1)
-                common.append(np.count_nonzero(met) if whole else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n"), _lists(keys), pa.array(short, pa.int32()), pa.array(common, pa.int32())],
-                names=["node", "n", "keys", "short", "common"],
-            )
-
-    listed = classes.select("node", "n", "v").mapInArrow(run, "node long, n long, keys array<long>, short int, common int")
-    return listed.select("node", "n", "short", "common", F.posexplode("keys").alias("at", "key")).select(
-        "node", "n", "key", "at", (F.col("at") < F.col("short")).alias("first"), "common"
-    )
+    kept = F.slice("v", 1, params.index)
+    rows = classes.select("node", "n", F.size(kept).alias("s"), F.explode(kept).alias("key"))
+    # sets so small that no partner's sketch is cut short must share the exact number
+    whole = F.col("s") * 100 < params.percent * params.index
+    need = F.when(whole, F.ceil(F.col("s") * params.percent / 100)).otherwise(F.floor(F.col("s") * params.share))
+    less = F.when(whole, F.ceil(F.col("s") * 2 * params.percent / (100 + params.percent))).otherwise(need)
+    for turn in range(params.rounds):
+        counts = written(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-values")
+        values = rows.join(counts, "key").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("by"))
+        values = written(values.filter(F.size("by") >= need), "sharing-classes")  # at most ``index`` values each
+        if turn + 1 < params.rounds:
+            rows = values.select("node", "n", "s", F.explode("by.key").alias("key"))
+    alone = F.col("s") - F.size("by")
+    keys = F.slice("by.key", 1, (F.col("s") - need + 1 - alone).cast("int"))
+    listed = values.select("node", "n", alone.alias("alone"), (F.col("s") - less + 1).alias("short"), F.posexplode(keys).alias("pos", "key"))
+    return listed.select("node", "n", "key", (F.col("alone") + F.col("pos") < F.col("short")).alias("first"))
 
 
 def _compare(pairs: DataFrame, arrays: DataFrame, params: NearDupParams, exact: bool) -> DataFrame:
@@ -251,21 +233,27 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, params: Near
     return written(_compare(likely, sets, params, exact=True), "confirmed")
 
 
+def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, common: of how many values of its set some other of the nodes has too."""
+    some = sets.join(nodes, "node", "left_semi")
+    values = some.select("node", F.explode("v").alias("value"))
+    alone = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = some.groupBy("node").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
+    common = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
+    return written(sizes.join(alone, "node", "left").select("node", common.alias("common")), "common")
+
+
 def _possible(params: NearDupParams) -> Column:
-    """Whether (x, m, i, u, c) and a not smaller (node, n, at, common, comp) of one list may be an unconfirmed link.
+    """Whether (x, m, u, c) and a not smaller (node, n, common, comp) of one list may be an unconfirmed link.
 
-    For sets kept whole the needed overlap is known: it can exceed neither what each has in common with anything,
-    nor what the places of the shared key in the two orders leave.
+    Their overlap is at most what either has in common with any class in open lists, so copies that were edited
+    too far from all others are not paired with each of them.
     """
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("node")))
     sizes = 100 * F.col("m") >= params.percent * F.col("n")
     need = params.percent * (F.col("m") + F.col("n"))
-    most = F.least(
-        F.coalesce("u", "m"),
-        F.coalesce("common", "n"),
-        F.when(F.col("u").isNotNull() & F.col("common").isNotNull(), F.least(F.col("m") - F.col("i") + F.col("at"), F.col("n") - F.col("at") + F.col("i"))).otherwise(F.col("m")),
-    )
-    return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * most >= need)
+    return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * F.least("u", "common") >= need)
 
 
 def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -293,13 +281,15 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     edges = _confirm(first, classes, sets, params)
     labels = connected(edges)
     placed = lists.join(labels, "node", "left").select(
-        "key", "node", "n", "at", "first", "common", F.coalesce("comp", "node").alias("comp")
+        "key", "node", "n", "first", F.coalesce("comp", "node").alias("comp")
     )
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
     spread = written(placed.join(mixed, "key", "left_semi"), "mixed-lists")
+    common = _common(sets, spread.select("node").distinct())
+    spread = written(spread.join(common, "node"), "open-lists")
     left = spread.filter("first").select(
-        "key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("common").alias("u"), F.col("comp").alias("c")
+        "key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("common").alias("u"), F.col("comp").alias("c")
     )
     more = _confirm(left.join(spread, "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
     return members, classes, labels if more.isEmpty() else connected(edges.union(more))
