@@ -42,7 +42,7 @@ class NearDupParams:
     index: int = 64
     share: float = 0.69
     floor: float = 0.70
-    rounds: int = 2
+    rounds: int = 3
     block: int = 256
 
     @property
@@ -234,18 +234,20 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, params: Near
 
 
 def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, common: of how many values of its set some other of the nodes has too."""
+    """node, n, common: of how many values of its set some other of the nodes has too."""
     some = sets.join(nodes, "node", "left_semi")
     values = some.select("node", F.explode("v").alias("value"))
     alone = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     sizes = some.groupBy("node").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
     common = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
-    return written(sizes.join(alone, "node", "left").select("node", common.alias("common")), "common")
+    return written(sizes.join(alone, "node", "left").select("node", "n", common.alias("common")), "common")
 
 
 def _possible(params: NearDupParams) -> Column:
-    """Whether (x, m, u, c) and a not smaller (node, n, common, comp) of one list may be an unconfirmed link.
+    """Whether (x, m, u, c, firsts) and a not smaller (node, n, common, comp, keys) of one list may be an unconfirmed link.
+
+    Of the lists that have both, only that of the smallest key says so.
 
     Their overlap is at most what either has in common with any class in open lists, so copies that were edited
     too far from all others are not paired with each of them.
@@ -253,7 +255,8 @@ def _possible(params: NearDupParams) -> Column:
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("node")))
     sizes = 100 * F.col("m") >= params.percent * F.col("n")
     need = params.percent * (F.col("m") + F.col("n"))
-    return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * F.least("u", "common") >= need)
+    once = F.col("key") == F.array_min(F.array_intersect("firsts", "keys"))
+    return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * F.least("u", "common") >= need) & once
 
 
 def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -286,10 +289,16 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
     spread = written(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    common = _common(sets, spread.select("node").distinct())
-    spread = written(spread.join(common, "node"), "open-lists")
+    nodes = spread.select("node").distinct()
+    for _ in range(params.rounds):
+        # who leaves takes along what others had in common with it only
+        common = _common(sets, nodes).filter(100 * F.col("common") >= params.percent * F.col("n"))
+        nodes = common.select("node")
+    spread = spread.drop("n").join(common, "node")
+    held = spread.groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("first"), F.col("key"))).alias("firsts"))
+    spread = written(spread.join(held, "node"), "open-lists")  # at most ``index`` keys a class
     left = spread.filter("first").select(
-        "key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("common").alias("u"), F.col("comp").alias("c")
+        "key", "firsts", F.col("node").alias("x"), F.col("n").alias("m"), F.col("common").alias("u"), F.col("comp").alias("c")
     )
     more = _confirm(left.join(spread, "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
     return members, classes, labels if more.isEmpty() else connected(edges.union(more))
