@@ -300,7 +300,7 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     left = spread.filter("first").select(
         "key", "firsts", F.col("node").alias("x"), F.col("n").alias("m"), F.col("common").alias("u"), F.col("comp").alias("c")
     )
-    more = _confirm(left.join(spread, "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
+    more = _confirm(left.join(spread.drop("firsts", "first"), "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
     return members, classes, labels if more.isEmpty() else connected(edges.union(more))
 
 
