@@ -9,11 +9,13 @@ byte-level rule over UTF-8, because every byte of a multi-byte character is >= 0
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of an object together with its class's code, which executors need not have installed."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    ready: list[object] = []
+
+    def get() -> object:
+        if not ready:
+            ready.append(pickle.loads(data.value))
+        return ready[0]
+
+    return get
+
+
 def map_batches(
     df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:

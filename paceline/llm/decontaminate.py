@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import ALNUM_TABLE, alnum_words, map_batches, others
+from paceline.llm.common import ALNUM_TABLE, alnum_words, map_batches, others, shipped
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 
@@ -178,13 +178,13 @@ def build_automaton(benchmark: DataFrame, params: DecontaminationParams = Decont
 
 def matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """doc_id, n_words, n_hit, longest, item_ids (as strings), spans of hit words [start, end)."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, params))
+    shared = shipped(docs.sparkSession, build_automaton(benchmark, params))
 
     def look(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": batch["doc_id"], "n_words": [], "n_hit": [], "longest": [], "item_ids": [], "spans": []}
         for text in batch["text"]:
             words = alnum_words(text)
-            spans, items, longest = shared.value.scan(words)
+            spans, items, longest = shared().scan(words)
             out["n_words"].append(len(words))
             out["n_hit"].append(sum(b - a for a, b in spans))
             out["longest"].append(longest)
@@ -201,14 +201,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``; ``n_words``, ``n_hit`` and ``dropped`` beside it."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, params))
+    shared = shipped(docs.sparkSession, build_automaton(benchmark, params))
     outputs = "n_words", "n_hit", "dropped"
     rest = others(docs, *outputs)
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
         out = {c: batch[c] for c in rest} | {c: [] for c in outputs} | {"text": []}
         for text in batch["text"]:
-            spans, _, _ = shared.value.scan(words := alnum_words(text.encode() if text is not None else None))
+            spans, _, _ = shared().scan(words := alnum_words(text.encode() if text is not None else None))
             hit = sum(b - a for a, b in spans)
             out["text"].append(remove_spans(text, [s for s in spans if s[1] - s[0] >= params.min_span]))
             out["n_words"].append(len(words))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import map_batches
+from paceline.llm.common import map_batches, shipped
 
 
 @dataclass(frozen=True)
@@ -82,12 +82,12 @@ class Compressors:
 
 def identify(docs: DataFrame, content: dict[str, bytes], params: LangParams = LangParams()) -> DataFrame:
     """doc_id, lang_pred, score, rejected for the whole text of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(content)
+    shared = shipped(docs.sparkSession, content)
     ready: list[Compressors] = []
 
     def judge(batch: dict[str, list]) -> dict[str, list]:
         if not ready:
-            ready.append(Compressors(shared.value, params))
+            ready.append(Compressors(shared(), params))
         found = [ready[0].judge(t) for t in batch["text"]]
         return {
             "doc_id": batch["doc_id"],

@@ -5,8 +5,8 @@ next to a second-person word), capitals, punctuation, digits and marks inside wo
 learnt from the labelled rows: words whose share among toxic documents exceeds that among the others
 by far; a word that reads like a term once digits and marks are mapped back to letters is obfuscated.
 
-Learning takes at most ``train_rows`` labelled documents, in the order of a hash of the doc_id.  Half of them, by that
-hash, choose the lexicon and the other half fit the trees, so that the trees see the lexicon as unseen texts do;
+Learning takes at most ``train_rows`` labelled documents, in the order of a hash of the doc_id.  In folds, the lexicon of
+the other folds gives the features of each, so that the trees see the lexicon as unseen texts do, and
 out-of-fold scores calibrate.  Scoring is a map over all documents.
 
 Defined cases: null and empty texts have zero features and get the score of those; without labelled rows of both kinds the
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import map_batches
+from paceline.llm.common import map_batches, shipped
 
 
 @dataclass(frozen=True)
@@ -234,11 +234,6 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(
         labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(h, "doc_id").limit(params.train_rows)
     )
     rows = docs.join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "doc_id", "text", "toxic")  # bounded by train_rows
-
-    def words(batch: dict[str, list]) -> dict[str, list]:
-        batch["words"] = [sorted({fold_word(w) for w in _WORD.findall(t or "")} - {""}) for t in batch.pop("text")]
-        return batch
-
     return _fit(rows, params)
 
 
@@ -268,10 +263,10 @@ def _fit(rows: DataFrame, params: ToxicParams) -> ToxicModel:
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def look(batch: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": batch["doc_id"], "score": shared.value.scores(batch["text"])}
+        return {"doc_id": batch["doc_id"], "score": shared().scores(batch["text"])}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), look, f"doc_id {kind}, score double")
