@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose dictionary makes the text smallest wins.
 
 For every language a zstandard raw-content dictionary is laid out from a bounded sample of its labelled
-documents: ``slots`` documents with the smallest hashes, each giving at most ``sample_chars`` characters.  A text is cut
-into pieces of ``piece`` bytes, each piece is compressed alone with each dictionary, and the sizes are
+documents: ``slots`` documents with the smallest hashes, each giving at most ``sample_chars`` characters.  Only letters count, in lower
+case; a text is cut into pieces of ``piece`` bytes, each piece is compressed alone with each dictionary, and the sizes are
 summed.  The pieces keep a long text from becoming its own dictionary, so that margins do not shrink with length.
 
 The score is the margin, 1 - smallest / second smallest size, scaled to 0..1 over ``full_margin``; below ``min_score``
@@ -17,6 +17,7 @@ order; repeated rows are each judged; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import zstandard
@@ -26,13 +27,21 @@ from pyspark.sql import functions as F
 from paceline.llm.common import map_batches, shipped
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The text's letters in lower case, what lies between them as one blank."""
+    return _NO_LETTERS.sub(" ", text.lower()).encode()
+
+
 @dataclass(frozen=True)
 class LangParams:
     slots: int = 64
     sample_chars: int = 1500
     max_languages: int = 256
     piece: int = 4096
-    level: int = 1
+    level: int = 6
     full_margin: float = 0.25
     min_score: float = 0.05
 
@@ -51,7 +60,7 @@ def learn(labelled: DataFrame, params: LangParams = LangParams()) -> dict[str, b
     )
     content: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(picked):
-        content.setdefault(lang, []).append(text.encode())
+        content.setdefault(lang, []).append(letters(text))
     return {lang: b"\n".join(parts) for lang, parts in sorted(content.items())}
 
 
@@ -74,7 +83,7 @@ class Compressors:
         """The best language and the score."""
         if text is None or not self.by_lang or not any(map(str.isalpha, text)):
             return "und", 0.0
-        (least, lang), *rest = sorted(self.sizes(text.encode()))
+        (least, lang), *rest = sorted(self.sizes(letters(text)))
         if not rest:
             return lang, 1.0
         return lang, min(1.0, (1 - least / rest[0][0]) / self.params.full_margin)
