@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import free_name, others, written
+from paceline.llm.common import free_name, let, others, written
 
 
 @dataclass(frozen=True)
@@ -103,16 +103,23 @@ def dedup_lines(docs: DataFrame, site: str = "source", params: LineParams = Line
     keys = free_name(docs, "gone")
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("gone").alias(keys))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left").drop("gone_doc")
-    kept = F.filter(
-        F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text"), params).alias("key")),
-        lambda x: x["key"].isNull() | ~F.array_contains(F.col(keys), x["key"]),
-    )
-    text = F.when(F.col(keys).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    lines_of = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("long")
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines_of(F.col("text"))))
-    out = out.withColumn("n_removed", F.when(F.col(keys).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
-    out = out.withColumn("text", text)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.withColumn("emptied", emptied).select(
-        *others(docs, "n_lines", "n_removed", "emptied"), "n_lines", "n_removed", "emptied"
-    )
+    pairs = F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text"), params).alias("key"))
+    kept = F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col(keys), x["key"]))
+
+    def rejoined(rest: Column) -> Column:
+        text = F.array_join(F.transform(rest, lambda x: x["line"]), "\n")
+        return F.struct(text.alias("text"), F.size(rest).alias("left"))
+
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    found = free_name(docs, "rejoined")
+    out = joined.withColumn(found, F.when(F.col(keys).isNotNull(), let(kept, rejoined)))
+    untouched = F.col(found).isNull()
+    n_removed = F.when(untouched, F.lit(0)).otherwise(n_lines - F.col(f"{found}.left")).cast("long")
+    values = {
+        "n_lines": n_lines,
+        "n_removed": n_removed,
+        "emptied": (n_removed > 0) & ~F.col(f"{found}.text").rlike(r"[^\x20\x09-\x0D]"),
+    }
+    text = F.when(untouched, F.col("text")).otherwise(F.col(f"{found}.text")).alias("text")
+    rest = [text if c == "text" else F.col(c) for c in others(docs, *values)]
+    return out.select(*rest, *(F.coalesce(v, F.lit(False)).alias(n) if n == "emptied" else v.alias(n) for n, v in values.items()))

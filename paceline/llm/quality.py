@@ -120,25 +120,25 @@ def log_ratio_model(docs: DataFrame, labels: DataFrame, params: QualityParams =
 def quality_scores(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` with the base columns, ``base_failed``, ``llr`` and ``kept``."""
     weights = written(log_ratio_model(docs, labels, params), "llr-model")
-    words, model = free_name(docs, "words"), free_name(docs, "model")
+    found, model = free_name(docs, "quality_found"), free_name(docs, "quality_model")
     outputs = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
-    out = docs.withColumn(words, words_col(docs["text"])).withColumn(model, weights.scalar())
-    buckets = ngram_buckets(F.col(words), params.buckets)
-    out = out.withColumns(base_columns(F.col("text"), F.col(words), params)).withColumn(
-        "llr",
-        let(
-            buckets,
-            lambda b: F.when(F.size(b) == 0, F.lit(0.0)).otherwise(
-                F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(F.col(model), x)) / F.size(b)
-            ),
-        ),
-    )
-    failed = (F.col("n_words") < params.min_words) | (
-        100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words")
-    )
-    return (
-        out.drop(words, model)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= params.threshold))
-        .select(*others(docs, *outputs), *outputs)
-    )
+
+    def ratio(buckets: Column) -> Column:
+        total = F.aggregate(buckets, F.lit(0.0), lambda s, x: s + F.get(F.col(model), x))
+        return F.when(F.size(buckets) == 0, F.lit(0.0)).otherwise(total / F.size(buckets))
+
+    def measures(words: Column) -> Column:
+        base = base_columns(F.col("text"), words, params)
+        ratios = let(ngram_buckets(words, params.buckets), ratio).alias("llr")
+        return let(F.struct(*(c.alias(n) for n, c in base.items()), ratios), decided)
+
+    def decided(m: Column) -> Column:
+        failed = (m["n_words"] < params.min_words) | (100 * m["n_repeat_words"] > params.max_repeat_percent * m["n_words"])
+        kept = ~failed & (m["llr"] >= params.threshold)
+        own = {"base_failed": failed, "kept": kept}
+        return F.struct(*((own[n] if n in own else m[n]).alias(n) for n in outputs))
+
+    # one expression whose words are a lambda variable: no optimiser rule can copy their splitting into a loop, and
+    # a filter on one of its fields computes it once
+    out = docs.withColumn(model, weights.scalar()).withColumn(found, let(words_col(F.col("text")), measures))
+    return out.select(*others(docs, *outputs), *(F.col(f"{found}.{n}").alias(n) for n in outputs))

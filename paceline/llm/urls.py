@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import free_name, others
+from paceline.llm.common import free_name, let, others
 
 #: The small labelled URL table: pages to block, then pages to allow.
 BLOCK = """
@@ -90,9 +90,11 @@ def char_ngrams(host: Column, path: Column, params: UrlParams) -> Column:
     """Character n-grams of the host (between ^ and $) and of the path, told apart by their first letter."""
 
     def cut(tag: str, part: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(part) - n + 1)
-        some = F.when(F.length(part) >= n, starts).otherwise(F.array().cast("array<int>"))
-        return F.transform(some, lambda i: F.concat(F.lit(tag), F.substr(part, i, F.lit(n))))
+        def grams_of(p: Column) -> Column:
+            starts = F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(F.lit(tag), F.substr(p, i, F.lit(n))))
+
+        return let(part, grams_of)
 
     grams = [cut("h", F.concat(F.lit("^"), host, F.lit("$")), n) for n in params.sizes] + [cut("p", path, n) for n in params.sizes]
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(*grams))
