@@ -27,10 +27,10 @@ from paceline.llm.common import free_name, let, others, words_col, written
 class QualityParams:
     buckets: int = 16384
     target_rows: int = 20_000
-    threshold: float = -0.07
+    threshold: float = -0.045
     min_words: int = 50
     max_repeat_percent: int = 50
-    smoothing: float = 1.0
+    prior: float = 300_000.0
 
 
 def repeated_words(words: Column) -> Column:
@@ -84,7 +84,11 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
 
 
 def log_ratio_model(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row per bucket: ``bucket`` and ``weight`` = ln p_target - ln p_raw, add-``smoothing`` smoothed."""
+    """One row: ``weights``, for each bucket ln p_target - ln p_raw.
+
+    The target multinomial has a Dirichlet prior of ``prior`` n-grams distributed as the raw corpus, so that few
+    trusted documents move no weight far from 0.
+    """
     trusted = (
         labels.filter(F.col("quality") == 1)
         .select("doc_id")
@@ -101,18 +105,13 @@ def log_ratio_model(docs: DataFrame, labels: DataFrame, params: QualityParams =
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(0, params.buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select(
-        "bucket",
-        (F.coalesce("raw", F.lit(0)) + params.smoothing).alias("raw"),
-        (F.coalesce("target", F.lit(0)) + params.smoothing).alias("target"),
+        "bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
     )
     sums = full.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.collect_list(F.struct("bucket", "raw", "target")).alias("all"))
     return sums.select(
         F.transform(
             F.array_sort("all"),
-            lambda x: F.when(
-                F.col("target") > params.buckets * params.smoothing,
-                F.log(x["target"] / F.col("target")) - F.log(x["raw"] / F.col("raw")),
-            ).otherwise(F.lit(0.0)),
+            lambda x: F.log((x["target"] * F.col("raw") / x["raw"] + params.prior) / (F.col("target") + params.prior)),
         ).alias("weights")
     )
 

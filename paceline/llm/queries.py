@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, quality, toxicity, urls
+from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest",
     )
 
 
@@ -78,4 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": oracles.OP1,
+        "op4_chat_rotation": oracles.OP4,
+        "op5_decontamination": oracles.OP5,
+        "op7_near_dedup": oracles.OP7,
+        "op8_source_mix": oracles.OP8,
+    }
