@@ -160,3 +160,65 @@ def fit(cells: DataFrame, config: ModelConfig = ModelConfig(), fitter: FitConfig
 def information_criteria(loglik: float, n: int, k: float) -> tuple[float, float]:
     """AIC and BIC."""
     return 2 * k - 2 * loglik, k * math.log(n) - 2 * loglik
+
+
+def anderson(cells: DataFrame, memory: int = 5, start: int = 3, fitter: FitConfig = FitConfig()) -> tuple[DataFrame, int, float]:
+    """Gaussian race effects by Anderson mixing of the sweep map: (races, sweeps, last change).
+
+    Ability is a function of the race effects, so that the race vector is the whole state; it has one value a race.
+    A mixed step is kept only if it does not raise the residual sum of squares.
+    """
+    base = cut(cells.select("athlete_id", "race_id", "y"))
+    ids = [r[0] for r in base.select("race_id").distinct().orderBy("race_id").limit(fitter.race_limit + 1).collect()]
+    if len(ids) > fitter.race_limit:
+        raise ValueError(f"more than {fitter.race_limit} race effects")
+    spark = base.sparkSession
+
+    def frame(v: np.ndarray) -> DataFrame:
+        return spark.createDataFrame(list(zip(ids, map(float, v), strict=True)), "race_id long, v double")
+
+    def sweep(v: np.ndarray) -> tuple[np.ndarray, float]:
+        """The next race effects, and the residual sum of squares of ``v`` with its best abilities."""
+        at = F.broadcast(frame(v))  # race_limit rows at most
+        rest = base.join(at, "race_id").withColumn("r", F.col("y") - F.col("v"))
+        u = rest.groupBy("athlete_id").agg(F.avg("r").alias("u"))
+        got = rest.join(u, "athlete_id").groupBy("race_id").agg(F.avg(F.col("y") - F.col("u")).alias("v"), F.sum((F.col("r") - F.col("u")) ** 2).alias("s"))
+        rows = {r["race_id"]: (r["v"], r["s"]) for r in got.collect()}
+        new = np.array([rows[i][0] for i in ids])
+        return new - new.mean(), sum(r[1] for r in rows.values())
+
+    x, best, change, xs, gs = np.zeros(len(ids)), math.inf, math.inf, [], []
+    fallback = x
+    for it in range(1, fitter.max_iter + 1):
+        g, rss = sweep(x)
+        if rss > best * (1 + 1e-12):  # the mixed point was worse than the last: go on from the plain sweep
+            x, xs, gs = fallback, [], []
+            best = math.inf
+            continue
+        best = rss
+        change = float(np.abs(g - x).max())
+        if change <= fitter.tol:
+            return frame(g), it, change
+        xs, gs = [*xs, x][-memory - 1 :], [*gs, g][-memory - 1 :]
+        fallback = x = g
+        if it >= start and len(xs) > 1:
+            f = np.stack([b - a for a, b in zip(xs, gs, strict=True)])
+            d = f[1:] - f[:-1]
+            gamma = np.linalg.solve(d @ d.T + 1e-12 * np.trace(d @ d.T) * np.eye(len(d)), d @ f[-1])
+            x = gs[-1] - (np.stack(gs)[1:] - np.stack(gs)[:-1]).T @ gamma
+            x = x - x.mean()
+    return frame(x), fitter.max_iter, change
+
+
+def gauge_beta0(u: DataFrame, v: DataFrame, cells: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Move the slope of v on the race date to ability and career age: (u, v, slope).
+
+    A race's date is the debut plus career age, so what v loses by date, u gains by debut and the career curve by age.
+    """
+    dated = v.join(dates, "race_id").withColumn("x", F.datediff("date", F.lit("2000-01-01").cast("date")) / 365.25)
+    slope, mean_x, mean_v = dated.agg(F.regr_slope("v", "x"), F.avg("x"), F.avg("v")).first()
+    slope = slope or 0.0
+    debut = cells.groupBy("athlete_id").agg((F.datediff(F.min("date"), F.lit("2000-01-01").cast("date")) / 365.25).alias("x0"))
+    new_v = dated.select("race_id", (F.col("v") - mean_v - slope * (F.col("x") - mean_x)).alias("v"))
+    new_u = u.join(debut, "athlete_id").select("athlete_id", (F.col("u") + mean_v + slope * (F.col("x0") - mean_x)).alias("u"))
+    return new_u, new_v, slope
