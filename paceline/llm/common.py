@@ -68,6 +68,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     """A broadcast of an object together with its class's code, which executors need not have installed."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import others, written
+from paceline.llm.common import broadcast_up_to, written
 
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(64)], dtype=np.uint64)
@@ -44,6 +44,7 @@ class NearDupParams:
     floor: float = 0.70
     rounds: int = 3
     block: int = 256
+    broadcast_ids: int = 2_000_000
 
     @property
     def similarity(self) -> float:
@@ -278,7 +279,7 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     heads = lists.join(met, "node").groupBy("key").agg(F.min(F.struct(-F.col("met"), "n", "node")).alias("head"))
     heads = written(heads.select("key", F.col("head.node").alias("x")), "heads")
     first = lists.join(heads, "key").filter("node <> x").select("x", F.col("node").alias("y"))
-    involved = lists.select("node").distinct()
+    involved = broadcast_up_to(written(lists.select("node").distinct(), "involved"), params.broadcast_ids)
     texts = docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = written(_sets(texts, params, sketch=False).select(F.col("doc_id").alias("node"), "n", "v"), "sets")
     edges = _confirm(first, classes, sets, params)
@@ -317,5 +318,6 @@ def components(docs: DataFrame, params: NearDupParams = NearDupParams()) -> Data
 
 def unique_documents(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group; all columns as they were."""
-    kept = components(docs, params).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    copies = components(docs, params).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"))
+    gone = broadcast_up_to(written(copies.distinct(), "near-copies"), params.broadcast_ids)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
