@@ -21,10 +21,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import ALNUM_TABLE, alnum_words, map_batches, others, shipped
+from paceline.llm.common import alnum_words, map_batches, others, shipped
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 
@@ -177,7 +177,10 @@ def build_automaton(benchmark: DataFrame, params: DecontaminationParams = Decont
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """doc_id, n_words, n_hit, longest, item_ids (as strings), spans of hit words [start, end)."""
+    """doc_id, n_words, n_hit, longest, item_ids (as strings), spans of hit words [start, end).
+
+    ``longest`` is the longest match in words among the stretches that could hold a window.
+    """
     shared = shipped(docs.sparkSession, build_automaton(benchmark, params))
 
     def look(batch: dict[str, list]) -> dict[str, list]:
@@ -231,10 +234,3 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         out.append(raw[done : at[start][0]])
         done = at[end - 1][1]
     return b"".join([*out, raw[done:]]).decode()
-
-
-def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-
-
-assert len(ALNUM_TABLE) == 256

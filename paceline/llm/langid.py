@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import map_batches, shipped
 
-
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 

@@ -61,7 +61,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; keeps the hashes of words it has seen, a bounded number."""
 
-    def __init__(self, width: int, limit: int = 500_000) -> None:
+    def __init__(self, width: int, limit: int = 200_000) -> None:
         self.width, self.limit, self.seen = width, limit, {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
