@@ -89,16 +89,27 @@ def horner(x: Column, coefficients: list[float]) -> Column:
     return reduce(lambda acc, c: acc * x + c, reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
+_PRIME = 2147483647
+
+
 def hash_uniform(seed: int, *keys: Column) -> Column:
-    """A uniform in (0, 1) from integer keys, by arithmetic that any engine repeats exactly."""
-    mixed = F.lit(seed).cast("long")
+    """A uniform in (0, 1) from non-negative integer keys, by arithmetic that any engine repeats exactly.
+
+    Keys enter linearly modulo a prime; squarings between and after them keep near keys from giving near values.
+    """
+    x = F.lit(seed).cast("long")
     for k in keys:
-        mixed = (mixed * 1103515245 + k * 12345 + 1013904223) % 2147483648
-    return (mixed + 0.5) / 2147483648
+        x = (x * 48271 + (k % _PRIME) * 69621 + 11) % _PRIME
+        x = ((x * x) % _PRIME * 16807 + x * 3) % _PRIME
+    x = ((x * x) % _PRIME * 39373 + x * 5) % _PRIME
+    return (x + 0.5) / _PRIME
 
 
 def hash_uniform_sql(seed: int, *keys: str) -> str:
-    mixed = f"{seed}::BIGINT"
+    """The same as an expression of DuckDB."""
+    x = f"({seed}::BIGINT)"
+    square = "list_transform([{x}], lambda x: ((x * x) % {p} * {m} + x * {c}) % {p})[1]"
     for k in keys:
-        mixed = f"(({mixed} * 1103515245 + ({k})::BIGINT * 12345 + 1013904223) % 2147483648)"
-    return f"(({mixed} + 0.5) / 2147483648)"
+        x = square.format(x=f"({x} * 48271 + (({k})::BIGINT % {_PRIME}) * 69621 + 11) % {_PRIME}", p=_PRIME, m=16807, c=3)
+    x = square.format(x=x, p=_PRIME, m=39373, c=5)
+    return f"(({x} + 0.5) / {_PRIME})"

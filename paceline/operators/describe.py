@@ -73,7 +73,7 @@ def sparsity(cells: DataFrame) -> DataFrame:
     per = cells.groupBy("race_id").agg(F.count("*").alias("n"))
     sizes = cells.agg(F.count("*").alias("n_cells"), F.count_distinct("athlete_id").alias("n_athletes"), F.count_distinct("race_id").alias("n_races"))
     fields = per.agg(rounded(F.percentile("n", 0.5)).alias("p50"), rounded(F.percentile("n", 0.9)).alias("p90"), F.max("n").alias("largest"))
-    fill = rounded(F.col("n_cells") / F.col("n_athletes") / F.col("n_races"), 8).alias("fill")
+    fill = rounded(F.try_divide(F.col("n_cells") / F.lit(1.0), F.col("n_athletes") * F.col("n_races")), 8).alias("fill")
     return sizes.crossJoin(fields).select("*", fill)  # one row each
 
 
@@ -128,7 +128,7 @@ def span_ecdf(cells: DataFrame) -> DataFrame:
 def moments(values: DataFrame, column: str) -> DataFrame:
     """Size, mean, standard deviation, population skewness and excess kurtosis, tails beyond two sigma."""
     base = values.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s"))
-    z = (F.col(column) - F.col("m")) / F.col("s")
+    z = F.try_divide(F.col(column) - F.col("m"), F.col("s"))
     scored = values.crossJoin(F.broadcast(base)).withColumn("z", z)  # one row
     return scored.agg(
         F.count("*").alias("n"), rounded(F.avg(column)).alias("mean"), rounded(F.stddev_samp(column)).alias("sd"),

@@ -1,6 +1,6 @@
 """The two-way latent-factor model: log time = ability + difficulty + career age + drift, by block updates.
 
-``sweeps`` runs a fixed number of block updates as one lazy plan of grouped sums, for checks against SQL.  ``fit``
+``sweeps`` runs a fixed number of block updates as grouped sums, for checks against SQL.  ``fit``
 iterates to convergence: the cells stay distributed, every sweep is two grouped aggregates and one row of sums,
 and only per-race values and global coefficients come to the driver.
 """
@@ -73,10 +73,14 @@ def athlete_update(cells: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def sweeps(cells: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """``n`` Gaussian sweeps from the mean start: (athletes with u, races with centred v)."""
+    """``n`` Gaussian sweeps from the mean start: (athletes with u, races with centred v).
+
+    Beyond two sweeps the race table is cut, for each sweep names the one before it more than once.
+    """
     u = mean_init(cells)
     for _ in range(n):
         v = centred(race_update(cells, u))
+        v = cut(v) if n > 2 else v
         u = athlete_update(cells, v)
     return u, v
 

@@ -188,3 +188,11 @@ def test_entry_and_registration(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hashed_uniforms_are_uniform_and_unrelated_to_neighbours(spark):
+    got = spark.range(4000).select(scalars.hash_uniform(7, F.col("id")).alias("a"), scalars.hash_uniform(7, F.lit(5), F.col("id")).alias("b"), scalars.hash_uniform(7, F.lit(6), F.col("id")).alias("c")).collect()
+    for k in "abc":
+        x = np.array([r[k] for r in got])
+        assert abs(x.mean() - 0.5) < 0.02 and abs(x.std() - 12**-0.5) < 0.02 and abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.06
+    assert abs(np.corrcoef([r["b"] for r in got], [r["c"] for r in got])[0, 1]) < 0.06
