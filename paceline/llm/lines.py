@@ -33,6 +33,7 @@ class LineParams:
     min_words: int = 3
     lg_k: int = 10
     band: float = 0.34
+    broadcast_entries: int = 1_000_000
 
 
 def _norm(line: Column) -> Column:
@@ -48,7 +49,8 @@ def line_keys(text: Column, params: LineParams) -> Column:
     """The keys of the lines of a text, in order; null at lines that are too short."""
     norms = F.transform(F.split(text, "\n"), _norm)
     return F.transform(
-        norms, lambda x: F.when(F.size(F.split(x, " ")) >= params.min_words, _key(x))
+        # normalised, a line of n words has n - 1 blanks
+        norms, lambda x: F.when(x.like("%" + " %" * (params.min_words - 1)), _key(x))
     )
 
 
@@ -100,6 +102,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", params: LineParams = Line
         .agg(F.collect_set(F.struct("a", "b")).alias("gone")),
         "line-removals",
     )
+    rows, entries = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if rows + entries <= params.broadcast_entries:
+        gone = F.broadcast(gone)  # that many doc_ids and 12-byte keys at most; longer lists meet the texts in a shuffle
     keys = free_name(docs, "gone")
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("gone").alias(keys))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left").drop("gone_doc")
