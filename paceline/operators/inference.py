@@ -113,3 +113,12 @@ def drift_descriptors(slopes: DataFrame) -> DataFrame:
         rounded(F.sqrt(F.greatest(F.var_samp("d") - F.avg("pv"), F.lit(0.0))), 8).alias("disatt_sd"),
         rounded(F.skewness("d"), 4).alias("skew"), rounded(F.avg((F.col("d") < 0).cast("double"))).alias("frac_improver"),
     )
+
+
+def omega_profile(residuals: DataFrame, omegas: list[float], sigma2: float) -> DataFrame:
+    """omega2 and the Laplace marginal log likelihood of slopes with that prior variance, up to a constant."""
+    sums = residuals.groupBy("athlete_id").agg(F.sum(F.col("a_til") * F.col("r")).alias("sxy"), F.sum(F.col("a_til") ** 2).alias("sxx"))
+    each = sums.withColumn("omega2", F.explode(F.array(*map(F.lit, omegas))))
+    information = F.col("sxx") / sigma2
+    term = -0.5 * F.log1p(F.col("omega2") * information) + 0.5 * (F.col("sxy") / sigma2) ** 2 / (information + 1 / F.col("omega2"))
+    return each.groupBy("omega2").agg(rounded(F.sum(term), 4).alias("loglik"))

@@ -311,3 +311,39 @@ def jn_paired_draws(spark: SparkSession, d: str) -> DataFrame:
     pairs = boot.withColumn("other", (F.col("run_id") * 5) % 12 + 1).join(b, ["other", "race_id"])
     x = F.col("v") - F.col("w")
     return pairs.groupBy("race_id").agg(rounded(F.percentile(x, 0.05)).alias("lo"), rounded(F.percentile(x, 0.95)).alias("hi"))
+
+
+_OMEGAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2]
+
+
+@query(
+    f"""SELECT omega2, {_r('sum(-0.5 * ln(1 + omega2 * sxx / 0.09) + 0.5 * pow(sxy / 0.09, 2) / (sxx / 0.09 + 1 / omega2))', 4)} loglik
+FROM (SELECT sum(a_til * r) sxy, sum(a_til * a_til) sxx FROM res GROUP BY athlete_id), (SELECT unnest([{", ".join(f"{o!r}::DOUBLE" for o in _OMEGAS)}]) omega2) GROUP BY omega2""",
+    _RESIDUALS,
+)
+def rs_omega_profile(spark: SparkSession, d: str) -> DataFrame:
+    return inference.omega_profile(_residuals(spark, d), _OMEGAS, 0.09)
+
+
+def _weather(spark: SparkSession, d: str) -> DataFrame:
+    return slices.cut(_fitted(spark, d)[2].join(_covariates(spark, d).select("race_id", "series_key", "temp", "gain"), "race_id"))
+
+
+@query()
+def rg_cluster_cr2(spark: SparkSession, d: str) -> DataFrame:
+    """CR2 needs a matrix root for each cluster; compared with a direct computation in the tests."""
+    data = _weather(spark, d)
+    return regression.as_table(data, regression.cluster_robust_cr2(data, "v", ["temp", "gain"], "series_key"), ["temp", "gain"])
+
+
+@query()
+def rg_random_intercept(spark: SparkSession, d: str) -> DataFrame:
+    """Restricted likelihood; compared with a direct computation in the tests."""
+    data = _weather(spark, d)
+    return regression.as_table(data, regression.random_intercept(data, "v", ["temp", "gain"], "series_key"), ["temp", "gain"])
+
+
+@query()
+def sn_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Refits under broken identities, pruned to convergence each time."""
+    return sensitivity.mismatch_sweep(tables.cached_slice(spark, d, SPEC).withColumn("yob", F.lit(None).cast("double")), [0.02, 0.05], 1, SEED, SPEC)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import curves, model, selection, sensitivity
+from paceline.operators import curves, model, regression, selection, sensitivity
 from test_slices_and_model import synthetic
 
 
@@ -97,3 +97,34 @@ def test_leaving_nobody_out_changes_nothing(spark):
     got = sensitivity.leave_out(marked, "country", spark.createDataFrame([("B",)], "country string"))
     base = model.centred(model.race_update(cells, model.mean_init(cells)))
     assert sensitivity.leave_out_summary(got, base).first()["max_shift"] == 0
+
+
+def test_cluster_operators_match_direct_computation(spark):
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(15), 6)
+    x = rng.normal(size=90)
+    y = 0.5 + 1.5 * x + rng.normal(0, 0.7, 15)[g] + rng.normal(0, 0.4, 90)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(x, y, g, strict=True)], "x double, y double, g int")
+    design = np.stack([np.ones(90), x], axis=1)
+    bread = np.linalg.inv(design.T @ design)
+    e = y - design @ (bread @ design.T @ y)
+    meat = np.zeros((2, 2))
+    for k in range(15):
+        d = design[g == k]
+        w, v = np.linalg.eigh(np.eye(6) - d @ bread @ d.T)
+        s = d.T @ (v @ ((v.T @ e[g == k]) / np.sqrt(w)))
+        meat += np.outer(s, s)
+    assert np.allclose(regression.cluster_robust_cr2(df, "y", ["x"], "g")["se"], np.sqrt(np.diag(bread @ meat @ bread)))
+    got = regression.random_intercept(df, "y", ["x"], "g")
+
+    def reml(ratio):
+        cov = np.eye(90) + ratio * (g[:, None] == g[None, :])
+        inv = np.linalg.inv(cov)
+        a = design.T @ inv @ design
+        r = y - design @ np.linalg.solve(a, design.T @ inv @ y)
+        return -0.5 * (88 * np.log(r @ inv @ r / 88) + np.linalg.slogdet(cov)[1] + np.linalg.slogdet(a)[1])
+
+    ratio = got["tau2"] / got["sigma2"]
+    assert reml(ratio) >= max(reml(ratio * 0.9), reml(ratio * 1.1)) and abs(got["beta"][1] - 1.5) < 0.2
+    boot = regression.cluster_bootstrap(df, "y", ["x"], "g", 200, 1)
+    assert abs(boot["beta"][:, 1].mean() - got["beta"][1]) < 0.1 and ((boot["r2"] > 0) & (boot["r2"] < 1)).all()
