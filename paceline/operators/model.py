@@ -226,3 +226,89 @@ def gauge_beta0(u: DataFrame, v: DataFrame, cells: DataFrame, dates: DataFrame)
     new_v = dated.select("race_id", (F.col("v") - mean_v - slope * (F.col("x") - mean_x)).alias("v"))
     new_u = u.join(debut, "athlete_id").select("athlete_id", (F.col("u") + mean_v + slope * (F.col("x0") - mean_x)).alias("u"))
     return new_u, new_v, slope
+
+
+def fit_races(cells: DataFrame, nu: float = math.inf, fitter: FitConfig = FitConfig(max_iter=60, tol=1e-8), inner: int = 6, per_partition: int = 2_000_000) -> Fit:
+    """Ability and difficulty under Student-t noise, one job a sweep.
+
+    Cells are dealt by athlete once and kept.  Given the race effects, an athlete's ability depends on its own cells alone:
+    each task finds it by a few reweighted means and returns weighted sums by race, which are added up.  Nothing of the
+    size of the athletes leaves the tasks until the last sweep; a task holds about ``per_partition`` cells.
+    """
+    spark = cells.sparkSession
+    n_cells = cells.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_cells // per_partition))
+    dealt = cells.select("athlete_id", "race_id", "y").repartition(parts, "athlete_id").persist()
+    rows = dealt.select("race_id").distinct().orderBy("race_id").limit(fitter.race_limit + 1).collect()
+    if len(rows) > fitter.race_limit:
+        raise ValueError(f"more than {fitter.race_limit} race effects")
+    ids = np.array([r[0] for r in rows], dtype=np.int64)
+    state = {"v": np.zeros(len(ids)), "s2": None}
+
+    def local(batches, shared):  # noqa: ANN001, ANN202
+        """(athlete ids, ability, race index, residual, weight) of all cells of a task."""
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(list(batches))
+        v, s2 = shared.value
+        who, a = np.unique(table["athlete_id"].to_numpy(), return_inverse=True)
+        r = np.searchsorted(ids, table["race_id"].to_numpy())
+        rest = table["y"].to_numpy() - v[r]
+        u = np.bincount(a, rest) / np.bincount(a)
+        w = np.ones(len(a))
+        if s2 is not None and not math.isinf(nu):
+            for _ in range(inner):
+                w = (nu + 1) / (nu + (rest - u[a]) ** 2 / s2)
+                u = np.bincount(a, w * rest) / np.bincount(a, w)
+            w = (nu + 1) / (nu + (rest - u[a]) ** 2 / s2)
+        return who, u, r, rest - u[a], w
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        _, _, r, e, w = local(batches, shared)
+        here = np.unique(r)
+        top = np.bincount(r, w * e, len(ids))[here]
+        low = np.bincount(r, w, len(ids))[here]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(here, -1)), pa.array(np.append(top, (w * e * e).sum())), pa.array(np.append(low, float(len(e))))], names=["k", "top", "low"]
+        )
+
+    def abilities(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            who, u, *_ = local(batches, shared)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(u)], names=["athlete_id", "u"])
+
+    trace, converged, it = [], False, 0
+    for it in range(1, fitter.max_iter + 1):
+        shared = spark.sparkContext.broadcast((state["v"], state["s2"]))  # race_limit values at most
+        got = dealt.mapInArrow(sums, "k long, top double, low double").groupBy("k").agg(F.sum("top"), F.sum("low")).collect()
+        shared.unpersist()
+        step = np.zeros(len(ids))
+        for k, top, low in got:
+            if k >= 0:
+                step[k] = top / low
+            else:
+                state["s2"] = top / low
+        new = state["v"] + step
+        new -= new.mean()
+        change = float(np.abs(new - state["v"]).max())
+        state["v"] = new
+        trace.append((it, -change, state["s2"]))
+        if change <= fitter.tol:
+            converged = True
+            break
+    shared = spark.sparkContext.broadcast((state["v"], state["s2"]))
+    athletes = cut(dealt.mapInArrow(abilities, "athlete_id long, u double").withColumn("d", F.lit(0.0)))
+    races = spark.createDataFrame([(int(i), float(x)) for i, x in zip(ids, state["v"], strict=True)], "race_id long, v double")
+    e = F.col("y") - F.col("u") - F.col("v")
+    at = F.broadcast(races)  # race_limit rows at most
+    loglik = dealt.join(athletes, "athlete_id").join(at, "race_id").agg(F.sum(log_density(e, state["s2"], nu))).first()[0]
+    dealt.unpersist()
+    return Fit(athletes, races, np.zeros(0), state["s2"], 0.0, loglik, it, converged, trace)

@@ -314,8 +314,8 @@ def nm_loglik(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nm_fit_student(spark: SparkSession, d: str) -> DataFrame:
-    """Converged Student-t fit with a career curve; compared with recovery on synthetic data in the tests."""
-    fit = model.fit(tables.cached_slice(spark, d, SPEC), model.ModelConfig(nu=8.0), model.FitConfig(max_iter=4, tol=1e-6))
+    """Converged Student-t fit; compared with recovery on synthetic data and with the block updates in the tests."""
+    fit = model.fit_races(tables.cached_slice(spark, d, SPEC), 8.0, model.FitConfig(max_iter=40, tol=1e-7))
     return fit.races.select("race_id", rounded(F.col("v")).alias("v"))
 
 

@@ -196,3 +196,16 @@ def test_hashed_uniforms_are_uniform_and_unrelated_to_neighbours(spark):
         x = np.array([r[k] for r in got])
         assert abs(x.mean() - 0.5) < 0.02 and abs(x.std() - 12**-0.5) < 0.02 and abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.06
     assert abs(np.corrcoef([r["b"] for r in got], [r["c"] for r in got])[0, 1]) < 0.06
+
+
+@pytest.mark.parametrize("nu", [math.inf, 6.0])
+def test_one_job_sweeps_agree_with_block_updates(spark, nu):
+    cells, u, v = synthetic(spark, n=150, races=12, nu=nu)
+    fast = model.fit_races(cells, nu, model.FitConfig(max_iter=60, tol=1e-9))
+    slow = model.fit(cells, model.ModelConfig(nu=nu), model.FitConfig(max_iter=9, tol=1e-12))
+    a = np.array([r["v"] for r in fast.races.orderBy("race_id").collect()])
+    b = np.array([r["v"] for r in slow.races.orderBy("race_id").collect()])
+    assert fast.converged and np.abs(a - b).max() < 2e-4 and np.corrcoef(a, v)[0, 1] > 0.95
+    assert fast.sigma2 == pytest.approx(slow.sigma2, rel=1e-2)
+    fitted = np.array([r["u"] for r in fast.athletes.orderBy("athlete_id").collect()])
+    assert np.corrcoef(fitted, u)[0, 1] > 0.99
