@@ -45,6 +45,7 @@ class NearDupParams:
     rounds: int = 3
     block: int = 256
     broadcast_ids: int = 2_000_000
+    broadcast_pairs: int = 1_000_000
 
     @property
     def similarity(self) -> float:
@@ -168,8 +169,10 @@ def _compare(pairs: DataFrame, arrays: DataFrame, params: NearDupParams, exact:
         "y",
         F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / params.block)), F.lit(0)).cast("int").alias("block"),
     )
-    blocks = written(blocks, "pair-blocks")
-    heads = blocks.select("x", "block").distinct().join(arrays.select(F.col("node").alias("x"), "n", "v"), "x")
+    # short pair lists go to the arrays, so that arrays are dealt once, by x and block, and not for these joins as well
+    blocks = broadcast_up_to(written(blocks, "pair-blocks"), params.broadcast_pairs)
+    firsts = broadcast_up_to(written(blocks.select("x", "block").distinct(), "pair-heads"), params.broadcast_pairs)
+    heads = firsts.join(arrays.select(F.col("node").alias("x"), "n", "v"), "x")
     tails = blocks.join(arrays.select(F.col("node").alias("y"), "n", "v"), "y")
     both = heads.select("x", "block", F.lit(None).cast("long").alias("y"), "n", "v").unionByName(
         tails.select("x", "block", "y", "n", "v")
