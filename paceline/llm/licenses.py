@@ -97,10 +97,15 @@ class NoticeFinder:
         return sorted(best)
 
     def _verify(self, text: str, k: int, spans: list[list[int]]) -> Iterator[tuple[int, int, str, int]]:
-        label, _, _, pattern = self.patterns[k]
-        for lo, hi in spans:
-            for m in pattern.finditer(text, lo, hi):
+        """The best match of each span, then those of what is left before and behind it."""
+        label, size, errors, pattern = self.patterns[k]
+        left = list(spans)
+        while left:
+            lo, hi = left.pop()
+            m = pattern.search(text, lo, hi) if hi - lo >= size - errors else None
+            if m:
                 yield m.start(), m.end(), label, sum(m.fuzzy_counts)
+                left += [(lo, m.start()), (m.end(), hi)]
 
 
 def split_pieces(notice: str, n: int) -> list[tuple[int, str]]:

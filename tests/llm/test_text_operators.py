@@ -383,6 +383,15 @@ def test_pigeonhole_finds_every_edit_within_bounds():
             assert found and found[0][3] <= errors
 
 
+def test_misspelt_notice_before_a_better_one_is_found():
+    finder = licenses.NoticeFinder(licenses.LicenseParams())
+    dual = "licensd under the gnu genral public license version 2 or licensed under the gnu general public license version 3"
+    assert finder.find(dual) == [(0, 53, "gpl-2.0", 2), (57, 112, "gpl-3.0", 0)]
+    wrong, right = "licensd under the mit license", "licensed under the mit license"
+    for row in ([wrong, right], [right, wrong], [wrong, wrong, right, wrong, wrong]):
+        assert [(label, edits) for _, _, label, edits in finder.find(" ".join(row))] == [("mit", int(x == wrong)) for x in row]
+
+
 def test_crc_folds_are_those_of_zlib(spark):
     got = spark.range(50).select("id", (F.crc32(F.col("id").cast("string")) % 4).alias("k")).collect()
     assert all(r["k"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in got)
