@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import hash_uniform, log_density, rounded
+from paceline.operators.model import refits
 
 
 def folds(cells: DataFrame, k: int, seed: int) -> DataFrame:
@@ -36,13 +37,21 @@ def bootstrap_weights(athletes: DataFrame, runs: int, seed: int) -> DataFrame:
 
 
 def bootstrap_races(cells: DataFrame, u: DataFrame, weights: DataFrame) -> DataFrame:
-    """run_id, race_id, v: one weighted race update for all runs at once, centred within each run."""
+    """run_id, race_id, v: one weighted race update for all runs at once, centred within each run.
+
+    Abilities stay at ``u``: a one-step update, without what ability varies between replicates; see ``bootstrap_refits``.
+    """
     rest = cells.join(u, "athlete_id").select("athlete_id", "race_id", (F.col("y") - F.col("u")).alias("r"))
     raw = rest.join(weights, "athlete_id").groupBy("run_id", "race_id").agg((F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("v"))
     means = raw.groupBy("run_id").agg(F.avg("v").alias("m"))
     return raw.join(F.broadcast(means), "run_id").select("run_id", "race_id", (F.col("v") - F.col("m")).alias("v"))  # one row a run
 
 
+def bootstrap_refits(cells: DataFrame, weights: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """run_id, race_id, v: abilities and races fitted anew to convergence under the weights of each run, centred within it."""
+    return refits(cells.select("athlete_id", "race_id", "y").join(weights, "athlete_id"), start)
+
+
 def replicate_summary(replicates: DataFrame) -> DataFrame:
     """Per race: median, standard deviation and 68, 90, 95 percent intervals over runs."""
     cuts = [("lo95", 0.025), ("lo90", 0.05), ("lo68", 0.16), ("hi68", 0.84), ("hi90", 0.95), ("hi95", 0.975)]

@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import irls_weight, log_density, natural_spline
@@ -85,6 +85,29 @@ def sweeps(cells: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return u, v
 
 
+def refits(cells: DataFrame, start: DataFrame | None = None, tol: float = 1e-9, max_iter: int = 500) -> DataFrame:
+    """run_id, race_id, v: Gaussian fits of many runs in one plan, each iterated until no race effect of any run moves by ``tol``.
+
+    ``cells`` has run_id, athlete_id, race_id, y and g, an athlete's weight in its run.  All cells of an athlete have the
+    same weight, so abilities are plain means and weights enter the race update.  ``start`` (race_id, v) warms all runs.
+    """
+    base = cut(cells.select("run_id", "athlete_id", "race_id", "y", "g"))
+    v = base.select("run_id", "race_id").distinct()
+    v = cut(v.withColumn("v", F.lit(0.0)) if start is None else v.join(start.select("race_id", "v"), "race_id", "left").select("run_id", "race_id", F.coalesce("v", F.lit(0.0)).alias("v")))
+    per = Window.partitionBy("run_id", "athlete_id")
+    for _ in range(max_iter):
+        left = base.join(v, ["run_id", "race_id"])
+        left = left.withColumn("r", F.col("y") - F.avg(F.col("y") - F.col("v")).over(per))
+        raw = left.groupBy("run_id", "race_id").agg((F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("nv"), F.first("v").alias("old"))
+        mean = F.avg("nv").over(Window.partitionBy("run_id"))  # race effects of one run
+        v = cut(raw.select("run_id", "race_id", (F.col("nv") - mean).alias("v"), "old"))
+        moved = v.agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0]
+        v = v.select("run_id", "race_id", "v")
+        if moved is None or moved < tol:
+            return v
+    raise ValueError(f"race effects still move by {moved} after {max_iter} sweeps")
+
+
 def _gauge(races: list[tuple[int, float, float]]) -> tuple[float, float]:
     """Mean of v and its slope on the race date."""
     v, t = np.array([r[1] for r in races]), np.array([r[2] for r in races])

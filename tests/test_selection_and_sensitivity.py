@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import curves, model, regression, selection, sensitivity
+from paceline.operators import curves, inference, model, regression, selection, sensitivity
 from test_slices_and_model import synthetic
 
 
@@ -128,3 +128,29 @@ def test_cluster_operators_match_direct_computation(spark):
     assert reml(ratio) >= max(reml(ratio * 0.9), reml(ratio * 1.1)) and abs(got["beta"][1] - 1.5) < 0.2
     boot = regression.cluster_bootstrap(df, "y", ["x"], "g", 200, 1)
     assert abs(boot["beta"][:, 1].mean() - got["beta"][1]) < 0.1 and ((boot["r2"] > 0) & (boot["r2"] < 1)).all()
+
+
+def direct_races(rows):
+    """Least squares of (athlete, race, y, weight) rows: centred race effects by race."""
+    people, races = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    design = np.zeros((len(rows), len(people) + len(races)))
+    for k, (a, r, _, g) in enumerate(rows):
+        design[k, people.index(a)] = design[k, len(people) + races.index(r)] = math.sqrt(g)
+    v = np.linalg.lstsq(design, np.array([y * math.sqrt(g) for _, _, y, g in rows]), rcond=None)[0][len(people) :]
+    return dict(zip(races, v - v.mean(), strict=True))
+
+
+def test_bootstrap_refits_are_weighted_least_squares(spark):
+    cells, _, _ = synthetic(spark, n=60, races=12)
+    weights = inference.bootstrap_weights(cells.select("athlete_id").distinct(), 3, 7)
+    g = {(r["run_id"], r["athlete_id"]): r["g"] for r in weights.collect()}
+    got = {(r["run_id"], r["race_id"]): r["v"] for r in inference.bootstrap_refits(cells, weights).collect()}
+    rows = cells.collect()
+    for run in (1, 2, 3):
+        want = direct_races([(r["athlete_id"], r["race_id"], r["y"], g[run, r["athlete_id"]]) for r in rows])
+        assert all(abs(got[run, r] - v) < 1e-7 for r, v in want.items())
+    u, v = model.sweeps(cells, 2)
+    once = {(r["run_id"], r["race_id"]): r["v"] for r in inference.bootstrap_races(cells, u, weights).collect()}
+    assert max(abs(once[k] - got[k]) for k in got) > 1e-4  # one step from the point fit is something else
+    warm = {(r["run_id"], r["race_id"]): r["v"] for r in inference.bootstrap_refits(cells, weights, v).collect()}
+    assert all(abs(warm[k] - got[k]) < 1e-7 for k in got)
