@@ -143,6 +143,21 @@ def giant_component(cells: DataFrame) -> DataFrame:
     return cells.join(labels.join(F.broadcast(best), "comp", "left_semi").select("race_id"), "race_id", "left_semi")  # one row
 
 
+def keyed(cells: DataFrame, run: str) -> DataFrame:
+    """Ids within runs: athlete_id and race_id become (run, id), so that pruning and components treat all runs at once."""
+    return cells.withColumns({c: F.struct(F.col(run).alias("run"), F.col(c).alias("id")) for c in ("athlete_id", "race_id")})
+
+
+def giant_components(cells: DataFrame) -> DataFrame:
+    """``giant_component`` of each run of keyed cells, with plain ids and the run again."""
+    labels = race_components(cells)
+    sizes = cells.join(labels, "race_id").groupBy("comp").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("comp.run").orderBy(F.desc("n"), "comp"))
+    best = sizes.withColumn("_place", place).filter("_place = 1").select("comp")
+    kept = cells.join(labels.join(best, "comp", "left_semi").select("race_id"), "race_id", "left_semi")
+    return kept.withColumn("athlete_id", F.col("athlete_id.id")).withColumn("race_id", F.col("race_id.id"))
+
+
 def career(cells: DataFrame, spec: SliceSpec) -> DataFrame:
     """y, A_n (years since the first race), A_e (age in the year of the first race; null if unknown)."""
     first = F.min("date").over(Window.partitionBy("athlete_id"))

@@ -276,6 +276,16 @@ def sn_leave_country_out(spark: SparkSession, d: str) -> DataFrame:
     return sensitivity.leave_out_summary(sensitivity.leave_out(cells.join(people, "athlete_id"), "country", runs), slices.cut(v))
 
 
+@query()
+def sn_leave_country_out_refit(spark: SparkSession, d: str) -> DataFrame:
+    """Every country of the slice's athletes in turn left out of the whole preparation and fit, against the converged fit; no SQL."""
+    cells, people = tables.cached_slice(spark, d, SPEC), adapter.athletes(spark, d)
+    countries = slices.cut(cells.join(people, "athlete_id").select("country").dropna().distinct())
+    base = model.refits(cells.withColumns({"run_id": F.lit(0), "g": F.lit(1.0)}))
+    timed = slices.finishes(people, adapter.competitions(spark, d), adapter.results(spark, d), SPEC).join(people.select("athlete_id", "country"), "athlete_id")
+    return sensitivity.leave_out_summary(sensitivity.leave_out_refits(timed, "country", countries, SPEC, base), base)
+
+
 _U = hashed(SEED, "athlete_id", "race_id")
 
 

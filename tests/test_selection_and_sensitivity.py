@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import curves, inference, model, regression, selection, sensitivity
+from paceline.operators import curves, inference, model, regression, selection, sensitivity, slices
 from test_slices_and_model import synthetic
 
 
@@ -154,3 +154,26 @@ def test_bootstrap_refits_are_weighted_least_squares(spark):
     assert max(abs(once[k] - got[k]) for k in got) > 1e-4  # one step from the point fit is something else
     warm = {(r["run_id"], r["race_id"]): r["v"] for r in inference.bootstrap_refits(cells, weights, v).collect()}
     assert all(abs(warm[k] - got[k]) < 1e-7 for k in got)
+
+
+def test_leave_out_refits_prune_and_fit_each_run(spark):
+    rng, rows = np.random.default_rng(5), []
+    day = datetime.date(2000, 1, 1)
+    for a in range(40):
+        for r in rng.choice(10, 6, replace=False) if a < 36 else (10, 11, 12, 13):  # the last four athletes are a component of their own
+            rows.append((a, int(r), math.exp(9 + 0.1 * rng.normal() + 0.05 * (r % 4)), day, None if a == 3 else "ABC"[a % 3]))
+    timed = spark.createDataFrame(rows, "athlete_id long, race_id long, t double, date date, country string").withColumn("yob", F.lit(None).cast("double"))
+    spec = slices.SliceSpec(min_race_count=4, min_field=2)
+    runs = spark.createDataFrame([("A",), ("B",), ("nobody",)], "country string")
+    found = sensitivity.leave_out_refits(timed, "country", runs, spec)
+    got = {(r["left_out"], r["race_id"]): r["v"] for r in found.collect()}
+    base = None
+    for out in ("A", "B", "nobody"):
+        cells = slices.giant_component(slices.prune(timed.filter(~F.coalesce(F.col("country") == out, F.lit(False))), spec)).collect()
+        want = direct_races([(r["athlete_id"], r["race_id"], math.log(r["t"]), 1.0) for r in cells])
+        assert {r for o, r in got if o == out} == set(want)
+        assert all(abs(got[out, r] - v) < 1e-7 for r, v in want.items())
+        base = want
+    full = spark.createDataFrame([(r, float(v)) for r, v in base.items()], "race_id long, v double")
+    shifts = {r["left_out"]: r["max_shift"] for r in sensitivity.leave_out_summary(found, full).collect()}
+    assert shifts["nobody"] == 0 and shifts["A"] > 0
