@@ -355,5 +355,8 @@ def rg_random_intercept(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sn_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    """Refits under broken identities, pruned to convergence each time."""
-    return sensitivity.mismatch_sweep(tables.cached_slice(spark, d, SPEC).withColumn("yob", F.lit(None).cast("double")), [0.02, 0.05], 1, SEED, SPEC)
+    """Refits under broken, joined and both kinds of wrong identities, at the reference's rates and number of runs."""
+    people = adapter.athletes(spark, d)
+    cells = tables.cached_slice(spark, d, SPEC).join(people.select("athlete_id", slices.yob_mid().alias("yob")), "athlete_id")
+    rates = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
+    return sensitivity.mismatch_sweep(cells, people, ["break", "join", "both"], rates, 50, SEED, SPEC)

@@ -177,3 +177,19 @@ def test_leave_out_refits_prune_and_fit_each_run(spark):
     full = spark.createDataFrame([(r, float(v)) for r, v in base.items()], "race_id long, v double")
     shifts = {r["left_out"]: r["max_shift"] for r in sensitivity.leave_out_summary(found, full).collect()}
     assert shifts["nobody"] == 0 and shifts["A"] > 0
+
+
+def test_mismatch_sweep_breaks_joins_and_both(spark):
+    rng, day = np.random.default_rng(6), datetime.date(2000, 1, 1)
+    rows = [(a, int(r), float(9 + 0.05 * rng.normal()), day + datetime.timedelta(int(r)), 1970.0) for a in range(40) for r in rng.choice(24, 6, replace=False)]
+    cells = spark.createDataFrame(rows, "athlete_id long, race_id long, y double, date date, yob double")
+    sexes = spark.createDataFrame([(a, "M") for a in range(40)], "athlete_id long, sex string")
+    got = sensitivity.mismatch_sweep(cells, sexes, ["break", "join", "both"], [0.0, 0.5], 2, 3, slices.SliceSpec(min_race_count=2, min_field=2)).collect()
+    assert {(r["op"], r["p"], r["run_id"]) for r in got} == {(o, p, k) for o in ("break", "join", "both") for p in (0.0, 0.5) for k in (1, 2)}
+    assert all((r["max_shift"] == 0) == (r["p"] == 0) for r in got)
+    pairs = sensitivity.join_labels(cells, sexes, 0.25, 53, runs=spark.range(1, 3).withColumnRenamed("id", "run_id")).collect()
+    for run in (1, 2):
+        to = {r["partner"]: r["athlete_id"] for r in pairs if r["run_id"] == run}
+        want, full = (direct_races([(f(a), r, y, 1.0) for a, r, y, _, _ in rows]) for f in (lambda a: to.get(a, a), lambda a: a))
+        shift = max(abs(want[r] - full[r]) for r in full)
+        assert to and abs(next(r["max_shift"] for r in got if (r["op"], r["p"], r["run_id"]) == ("join", 0.5, run)) - shift) < 2e-6
