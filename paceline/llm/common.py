@@ -13,6 +13,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -61,16 +62,45 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends, since nobody reads them again.  The table goes by ``discard``, or when
+    the application ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/paceline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
+    at, fs = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that no frame still to be run reads."""
+    for table in tables:
+        at, fs = _hadoop(table.sparkSession, table.scratch_path)
+        fs.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """A written table with a broadcast hint if it has at most ``rows`` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:

@@ -5,16 +5,18 @@ Where the estimate lies within ``band`` of ``min_sites``, exact distinct counts
 sketch does.  A boilerplate line stays in the document with the smallest doc_id that has it and is removed
 from all others, so nothing is lost altogether, not even when whole documents were copied.
 
-A line is compared lower-cased with runs of blanks squeezed, by a 96-bit hash (64 of xxHash, 32 of Murmur3).
+A line is compared lower-cased with runs of blanks squeezed, by a 96-bit hash (64 of xxHash, 32 of Murmur3).  The
+keys of all lines are written once; sketches, exact counts and removals are computed from them, not from the texts.
 
 A hot line may stand in a third of all rows: sketches and distinct counts are combined before the shuffle,
-and both sides of each join are shuffled tables, which adaptive execution can split.
+and both sides of each join are shuffled tables, which adaptive execution can split.  Removals are gathered for each
+distinct (doc_id, text), so that a list is never longer than one text has lines, whatever repeats or is null.
 
 Defined cases: null text has no lines and stays null; null sites count as one site of their own; lines under
 ``min_words`` words never count as boilerplate; rows repeating a doc_id share its fate; rows with a null
 doc_id are never first unless no other has the line, and lose boilerplate others have; a document without any
-remaining word is ``emptied``; empty tables give empty results; extra columns pass through,
-but those named like an output are replaced.
+remaining word is ``emptied``; texts are used whole, in time linear in their lines; empty tables give empty results;
+extra columns pass through, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import free_name, let, others, written
+from paceline.llm.common import discard, free_name, let, others, written
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,6 @@ class LineParams:
     min_words: int = 3
     lg_k: int = 10
     band: float = 0.34
-    broadcast_entries: int = 1_000_000
 
 
 def _norm(line: Column) -> Column:
@@ -54,14 +55,22 @@ def line_keys(text: Column, params: LineParams) -> Column:
     )
 
 
-def site_spread(docs: DataFrame, site: str, params: LineParams = LineParams()) -> DataFrame:
-    """Lines at or near ``min_sites``: key (a, b), n_sites (estimated or exact), exact, first_doc."""
+def keyed_lines(docs: DataFrame, site: str, params: LineParams) -> DataFrame:
+    """doc_id, t and u (hashes of the text), site and the line keys of every text that has any."""
+    keys = line_keys(F.col("text"), params)
+    rows = docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("t"),
+        F.hash("text").alias("u"),
+        F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"),
+        keys.alias("keys"),
+    )
+    return written(rows.filter(F.exists("keys", lambda k: k.isNotNull())), "line-keys")
+
+
+def _spread(keyed: DataFrame, params: LineParams) -> DataFrame:
     lines = (
-        docs.select(
-            "doc_id",
-            F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"),
-            F.explode(F.array_distinct(line_keys(F.col("text"), params))).alias("key"),
-        )
+        keyed.select("doc_id", "site", F.explode(F.array_distinct("keys")).alias("key"))
         .filter("key is not null")
         .select("key.a", "key.b", "doc_id", "site")
     )
@@ -84,47 +93,50 @@ def site_spread(docs: DataFrame, site: str, params: LineParams = LineParams()) -
     )
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", params: LineParams = LineParams()) -> DataFrame:
-    """``docs`` with boilerplate removed from ``text``, and n_lines, n_removed, emptied."""
+def site_spread(docs: DataFrame, site: str, params: LineParams = LineParams()) -> DataFrame:
+    """Lines at or near ``min_sites``: key (a, b), n_sites (estimated or exact), exact, first_doc."""
+    return _spread(keyed_lines(docs, site, params), params)
+
+
+def _removals(docs: DataFrame, site: str, params: LineParams) -> DataFrame:
+    """doc_id, t, u and the ascending places (from 0) of the lines that go."""
+    keyed = keyed_lines(docs, site, params)
     boilerplate = written(
-        site_spread(docs, site, params).filter(F.col("n_sites") >= params.min_sites).select("a", "b", "first_doc"),
-        "boilerplate",
-    )
-    lines = (
-        docs.select("doc_id", F.explode(F.array_distinct(line_keys(F.col("text"), params))).alias("key"))
-        .filter("key is not null")
-        .select("key.a", "key.b", "doc_id")
+        _spread(keyed, params).filter(F.col("n_sites") >= params.min_sites).select("a", "b", "first_doc"), "boilerplate"
     )
+    lines = keyed.select("doc_id", "t", "u", F.posexplode("keys").alias("place", "key")).filter("key is not null")
     gone = written(
-        lines.join(boilerplate, ["a", "b"])
+        lines.select("key.a", "key.b", "doc_id", "t", "u", "place")
+        .join(boilerplate, ["a", "b"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("gone")),
+        .groupBy("doc_id", "t", "u")
+        .agg(F.array_sort(F.collect_set("place")).alias("gone")),  # at most the lines of one text
         "line-removals",
     )
-    rows, entries = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    if rows + entries <= params.broadcast_entries:
-        gone = F.broadcast(gone)  # that many doc_ids and 12-byte keys at most; longer lists meet the texts in a shuffle
-    keys = free_name(docs, "gone")
-    gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("gone").alias(keys))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left").drop("gone_doc")
-    pairs = F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text"), params).alias("key"))
-    kept = F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col(keys), x["key"]))
-
-    def rejoined(rest: Column) -> Column:
-        text = F.array_join(F.transform(rest, lambda x: x["line"]), "\n")
-        return F.struct(text.alias("text"), F.size(rest).alias("left"))
-
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    found = free_name(docs, "rejoined")
-    out = joined.withColumn(found, F.when(F.col(keys).isNotNull(), let(kept, rejoined)))
-    untouched = F.col(found).isNull()
-    n_removed = F.when(untouched, F.lit(0)).otherwise(n_lines - F.col(f"{found}.left")).cast("long")
+    discard(keyed, boilerplate)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, site: str = "source", params: LineParams = LineParams()) -> DataFrame:
+    """``docs`` with boilerplate removed from ``text``, and n_lines, n_removed, emptied."""
+    doc, t, u, places, found = (free_name(docs, n) for n in ("gone_doc", "gone_t", "gone_u", "gone_places", "rejoined"))
+    gone = _removals(docs, site, params).toDF(doc, t, u, places)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(t)) & (F.hash("text") == F.col(u))
+    joined = docs.join(gone, same, "left")
+
+    def rejoined(lines: Column) -> Column:
+        """The stretches between the places that go, joined again."""
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.col(places), lambda p: p + 1))
+        ends = F.concat(F.col(places), F.array(F.size(lines)))
+        kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+        return F.array_join(kept, "\n")
+
+    lines = F.split("text", "\n")
+    out = joined.withColumn(found, F.when(F.col(places).isNotNull(), let(lines, rejoined)))
     values = {
-        "n_lines": n_lines,
-        "n_removed": n_removed,
-        "emptied": (n_removed > 0) & ~F.col(f"{found}.text").rlike(r"[^\x20\x09-\x0D]"),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "n_removed": F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long"),
+        "emptied": F.col(places).isNotNull() & ~F.col(found).rlike(r"[^\x20\x09-\x0D]"),
     }
-    text = F.when(untouched, F.col("text")).otherwise(F.col(f"{found}.text")).alias("text")
-    rest = [text if c == "text" else F.col(c) for c in others(docs, *values)]
+    rest = [F.coalesce(F.col(found), F.col("text")).alias("text") if c == "text" else F.col(c) for c in others(docs, *values)]
     return out.select(*rest, *(F.coalesce(v, F.lit(False)).alias(n) if n == "emptied" else v.alias(n) for n, v in values.items()))

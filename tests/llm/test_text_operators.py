@@ -66,6 +66,20 @@ def test_lines_of_empty_table(spark):
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_of_repeated_null_and_long_rows(spark):
+    boiler = ["Read all of our terms", "Follow us on every page"]
+    long = "\n".join(f"own line {i} of many" if i % 3 else boiler[i % 2] for i in range(20_000))
+    rows = [(1, "\n".join(boiler), "s0"), (2, "\n".join(boiler), "s1"), (3, boiler[0] + "\nown words stand here", "s2"), (3, boiler[1] + "\nother own words", "s3")]
+    rows += [(None, f"{boiler[0]}\nrow {i} of none", "s4") for i in range(3)] * 2 + [(9, long, "s5")]
+    got = lines.dedup_lines(docs_of(spark, rows).withColumn("gone_t", F.lit(1)).withColumn("site", F.lit("x"))).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted([f"row {i} of none" for i in range(3)] * 2)
+    assert sorted(r["text"] for r in got if r["doc_id"] == 3) == ["other own words", "own words stand here"]
+    assert [r["text"] for r in got if r["doc_id"] == 1] == ["\n".join(boiler)]
+    (r,) = (r for r in got if r["doc_id"] == 9)
+    assert r["text"] == "\n".join(f"own line {i} of many" for i in range(20_000) if i % 3) and r["n_removed"] == 6667
+
+
 # ---- 2 URL filters
 
 
@@ -293,9 +307,60 @@ def test_near_duplicates_of_odd_rows(spark, prose):
     assert neardup.components(docs_of(spark, [])).count() == 0
 
 
+def test_unique_documents_lose_no_text_and_keep_one_row_of_each(spark, prose):
+    a, b, c, e = (prose(40, 40 + i) for i in range(4))
+    near = " ".join([*a.split(), "tail"])
+    rows = [(3, a, "s"), (9, a, "s"), (9, b, "s"), (7, e, "s"), (7, e, "s"), (None, c, "s"), (None, c, "s"), (None, near, "t"), (8, None, "s"), (8, None, "s"), (6, "", "s")]
+    docs = docs_of(spark, rows).withColumn("row_r", F.lit(1)).withColumn("Node", F.lit("x"))
+    kept = neardup.unique_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("3", a), ("9", b), ("7", e), ("None", c), ("8", ""), ("6", "")])
+    assert neardup.unique_documents(docs_of(spark, [])).count() == 0
+
+
+def test_a_text_without_a_doc_id_links_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    left, right = ["x", "y", "z", *words[3:]], [*words[:-3], "p", "q", "r"]
+    got = rows_of(neardup.components(docs_of(spark, [(4, " ".join(left), "s"), (2, " ".join(right), "s"), (None, " ".join(words), "s")])))
+    assert {r["component_id"] for r in got.values()} == {2} and [i for i, r in got.items() if r["kept"]] == [2]
+
+
+def test_near_dedup_thresholds_follow_the_miss_rate():
+    for percent in (80, 85, 95):
+        p = neardup.NearDupParams(percent=percent)
+        for n, share in ((p.index, p.share), (p.k, p.floor)):
+            lost = sum(math.comb(n, c) * p.similarity**c * (1 - p.similarity) ** (n - c) for c in range(round(share * n)))
+            assert lost <= p.miss < lost + math.comb(n, round(share * n)) * p.similarity ** round(share * n) * (1 - p.similarity) ** (n - round(share * n))
+
+
+def test_near_dedup_of_long_texts(spark, prose):
+    long = prose(30_000, 5)
+    got = rows_of(neardup.components(docs_of(spark, [(1, long, "s"), (2, long + " end", "s"), (3, prose(30_000, 6), "s")])))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3}
+
+
 # ---- 8 mixing
 
 
+def test_targets_are_those_of_resharing(spark):
+    rng = random.Random(11)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 2, 5, 40, 1000, 20_000]) for i in range(60)} | {None: 7}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    sized = docs_of(spark, rows).select("source", mixing.word_count(F.col("text")).alias("size"))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sized).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight, open_, target = {s: i % 3 + 1 for i, s in enumerate(names)}, set(names), {}
+    while True:
+        left = sum(sizes.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 3.0 * sizes[s] for s in over}
+        open_ -= over
+    assert got == pytest.approx(target | share)
+
+
 def test_mix_reaches_targets(spark):
     rng = random.Random(5)
     rows = [(i, "w " * rng.randint(0, 40), f"s{i % 3}" if i % 10 else None) for i in range(600)]
