@@ -1,7 +1,8 @@
 """Near-duplicate documents by bottom-k sketches from one hash function, confirmed on full shingle sets.
 
-1. Every text becomes its set of distinct 5-word shingles, hashed to 64 bits; the ``k`` smallest hashes are its
-   sketch.  Equal sets (compared by size and a 128-bit digest) form one class, so that copies are never paired.
+1. Every text becomes its set of distinct 5-word shingles, hashed to 64 bits; its ``index`` smallest hashes are its
+   sketch.  Equal sets (compared by size and a 128-bit digest) form one class, so that copies are never paired; a class is
+   represented by the text of its smallest doc_id.
 2. Inverted lists over retained values give candidates.  Two sets of Jaccard similarity >= ``similarity`` share
    at least ``share`` of their ``index`` smallest hashes, so in any common order of values they share one of the
    first index - share * index + 1.  Values are ordered rarest first by their exact counts over all classes, which
@@ -9,16 +10,25 @@
 3. Lists are not expanded into pairs.  First every list pairs its members with one leader, that in most lists;
    confirmed pairs merge components, and only members that are then still in different components of a list and
    close enough in size are paired.
-4. Union sketches estimate the similarity of pairs, those below ``floor`` go, and the rest is decided
+4. Union sketches of ``k`` values estimate the similarity of pairs, those below ``floor`` go, and the rest is decided
    on the full sets.  Confirmed links are merged to components by label propagation with pointer jumping.
 
+``share`` and ``floor`` are the binomial quantiles at ``miss``: a link at the threshold is lost with at most about that
+probability at either place, and a closer one less.
+
+The plan is the same at every size: all joins are between tables, which the optimiser may broadcast by its own
+threshold.  Texts are shuffled once for the full sets and once more by ``unique_documents``.
+
 Defined cases: null and wordless texts have empty sets and stand alone; texts of fewer than five words have one
-shingle, the whole sequence; rows repeating a doc_id belong to the classes of their texts; a null doc_id never names a
-component; empty tables give empty results; extra columns pass through ``components`` unless named like an output.
+shingle, the whole sequence; very long texts are used whole; rows repeating a doc_id belong to the classes of their texts;
+rows with a null doc_id link texts like any others, but name a component only if it has no other rows (its id is null then,
+and all its rows are ``kept``); empty tables give empty results; ``components`` carries the doc_id only, ``unique_documents``
+all columns.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import broadcast_up_to, written
+from paceline.llm.common import discard, free_name, written
 
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(64)], dtype=np.uint64)
@@ -40,17 +50,31 @@ class NearDupParams:
     percent: int = 85
     k: int = 128
     index: int = 64
-    share: float = 0.69
-    floor: float = 0.70
+    miss: float = 1e-5
     rounds: int = 3
     block: int = 256
-    broadcast_ids: int = 2_000_000
-    broadcast_pairs: int = 1_000_000
 
     @property
     def similarity(self) -> float:
         return self.percent / 100
 
+    @property
+    def share(self) -> float:
+        return self._least(self.index) / self.index
+
+    @property
+    def floor(self) -> float:
+        return self._least(self.k) / self.k
+
+    def _least(self, n: int) -> int:
+        """The number of common values among n that a link at the threshold falls short of with probability ``miss`` at most."""
+        below = 0.0
+        for c in range(n + 1):
+            below += math.comb(n, c) * self.similarity**c * (1 - self.similarity) ** (n - c)
+            if below > self.miss:
+                return c
+        return n
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
@@ -101,10 +125,12 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _sets(docs: DataFrame, params: NearDupParams, sketch: bool) -> DataFrame:
-    """doc_id, n, a, b (digest) and v: the sketch or the whole set, ascending as unsigned."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    width, k = params.width, params.k if sketch else None
+def _sets(docs: DataFrame, params: NearDupParams, limit: int | None) -> DataFrame:
+    """The columns of ``docs`` but text; n, a, b (size and digest of the set) and v: its ``limit`` smallest hashes, ascending
+    as unsigned."""
+    carried = [c for c in docs.columns if c != "text"]
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    width = params.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -118,17 +144,16 @@ def _sets(docs: DataFrame, params: NearDupParams, sketch: bool) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
+                        *(part.column(c) for c in carried),
                         pa.array([len(v) for v in values], pa.int64()),
                         *(pa.array(d, pa.int64()) for d in digests),
-                        _lists([v[:k] for v in values]),
+                        _lists([v[:limit] for v in values]),
                     ],
-                    names=["doc_id", "n", "a", "b", "v"],
+                    names=[*carried, "n", "a", "b", "v"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n long, a long, b long, v array<long>"
-    )
+    rows = docs.select(*carried, F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"{fields}, n long, a long, b long, v array<long>")
 
 
 def _postings(classes: DataFrame, params: NearDupParams) -> DataFrame:
@@ -139,40 +164,42 @@ def _postings(classes: DataFrame, params: NearDupParams) -> DataFrame:
     the class is the smaller of a pair: with no larger partner cut short, it shares 2 s / (1 + s) of its own values,
     s the similarity.
     """
-    kept = F.slice("v", 1, params.index)
-    rows = classes.select("node", "n", F.size(kept).alias("s"), F.explode(kept).alias("key"))
+    rows = classes.select("node", "n", F.size("v").alias("s"), F.explode("v").alias("key"))
     # sets so small that no partner's sketch is cut short must share the exact number
     whole = F.col("s") * 100 < params.percent * params.index
     need = F.when(whole, F.ceil(F.col("s") * params.percent / 100)).otherwise(F.floor(F.col("s") * params.share))
     less = F.when(whole, F.ceil(F.col("s") * 2 * params.percent / (100 + params.percent))).otherwise(need)
+    before = None
     for turn in range(params.rounds):
         counts = written(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-values")
         values = rows.join(counts, "key").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("by"))
         values = written(values.filter(F.size("by") >= need), "sharing-classes")  # at most ``index`` values each
+        discard(counts, *([before] if before else []))
+        before = values
         if turn + 1 < params.rounds:
             rows = values.select("node", "n", "s", F.explode("by.key").alias("key"))
     alone = F.col("s") - F.size("by")
     keys = F.slice("by.key", 1, (F.col("s") - need + 1 - alone).cast("int"))
     listed = values.select("node", "n", alone.alias("alone"), (F.col("s") - less + 1).alias("short"), F.posexplode(keys).alias("pos", "key"))
-    return listed.select("node", "n", "key", (F.col("alone") + F.col("pos") < F.col("short")).alias("first"))
+    postings = written(listed.select("node", "n", "key", (F.col("alone") + F.col("pos") < F.col("short")).alias("first")), "postings")
+    discard(values)
+    return postings
 
 
-def _compare(pairs: DataFrame, arrays: DataFrame, params: NearDupParams, exact: bool) -> DataFrame:
-    """The pairs (x, y) whose arrays are similar enough, by estimate or exactly.
+def _compare(pairs: DataFrame, sets: DataFrame, params: NearDupParams, exact: bool) -> DataFrame:
+    """The pairs (x, y) whose sets are similar enough, by estimate or exactly.
 
     Pairs come together by x, in blocks of about ``block`` so that no x gathers its partners in one task; a task
     holds the array of one x at a time.
     """
+    arrays = sets if exact else sets.select("node", "n", F.slice("v", 1, params.k).alias("v"))
     degree = pairs.groupBy("x").agg(F.count("*").alias("deg")).filter(F.col("deg") > params.block)
     blocks = pairs.join(degree, "x", "left").select(
         "x",
         "y",
         F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("deg") / params.block)), F.lit(0)).cast("int").alias("block"),
     )
-    # short pair lists go to the arrays, so that arrays are dealt once, by x and block, and not for these joins as well
-    blocks = broadcast_up_to(written(blocks, "pair-blocks"), params.broadcast_pairs)
-    firsts = broadcast_up_to(written(blocks.select("x", "block").distinct(), "pair-heads"), params.broadcast_pairs)
-    heads = firsts.join(arrays.select(F.col("node").alias("x"), "n", "v"), "x")
+    heads = blocks.select("x", "block").distinct().join(arrays.select(F.col("node").alias("x"), "n", "v"), "x")
     tails = blocks.join(arrays.select(F.col("node").alias("y"), "n", "v"), "y")
     both = heads.select("x", "block", F.lit(None).cast("long").alias("y"), "n", "v").unionByName(
         tails.select("x", "block", "y", "n", "v")
@@ -190,16 +217,14 @@ def _compare(pairs: DataFrame, arrays: DataFrame, params: NearDupParams, exact:
         return len(np.intersect1d(union, common, assume_unique=True)) >= floor * len(union)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads = None, []
+        at, head = None, None
         for batch in batches:
             found = []
             cols = [batch.column(c).to_pylist() for c in ("x", "block", "y", "n")]
             for x, block, y, n, v in zip(*cols, _rows(batch.column("v")), strict=True):
                 if y is None:
-                    if at != (x, block):
-                        at, heads = (x, block), []
-                    heads.append((v.copy(), n))  # more than one only where a doc_id has several texts
-                elif any(similar(p, v, m, n) for p, m in heads):
+                    at, head = (x, block), (v.copy(), n)
+                elif at == (x, block) and similar(head[0], v, head[1], n):
                     found.append((x, y))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["x", "y"]
@@ -226,15 +251,19 @@ def connected(edges: DataFrame) -> DataFrame:
         new = written(
             lower.join(jump, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), "old"), "labels"
         )
-        labels = new.select("node", "comp")
+        discard(labels, lower)
+        labels = new
         if new.filter("comp <> old").isEmpty():
-            return labels
+            discard(both)
+            return new
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
     pairs = written(pairs.distinct(), "candidates")
-    likely = written(_compare(pairs, classes, params, exact=False), "likely")
-    return written(_compare(likely, sets, params, exact=True), "confirmed")
+    likely = written(_compare(pairs, sets, params, exact=False), "likely")
+    confirmed = written(_compare(likely, sets, params, exact=True), "confirmed")
+    discard(pairs, likely)
+    return confirmed
 
 
 def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,9 +272,8 @@ def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     values = some.select("node", F.explode("v").alias("value"))
     alone = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = some.groupBy("node").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
-    common = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
-    return written(sizes.join(alone, "node", "left").select("node", "n", common.alias("common")), "common")
+    common = F.col("n") - F.coalesce("alone", F.lit(0))
+    return written(some.select("node", "n").join(alone, "node", "left").select("node", "n", common.alias("common")), "common")
 
 
 def _possible(params: NearDupParams) -> Column:
@@ -263,29 +291,42 @@ def _possible(params: NearDupParams) -> Column:
     return smaller & (F.col("c") != F.col("comp")) & sizes & ((100 + params.percent) * F.least("u", "common") >= need) & once
 
 
-def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, labels): doc rows with their digest; classes with their node (smallest doc_id); the
-    component of each class that is linked to another."""
-    members = written(_sets(docs, params, sketch=True), "sketches")
-    classes = written(
-        members.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("n", "a", "b")
-        .agg(F.min("doc_id").alias("node"), F.first("v").alias("v")),
-        "classes",
-    )
-    # a node with several texts (a repeated doc_id) has the links of all of them
-    postings = written(_postings(classes, params), "postings")
-    shared = written(postings.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared-keys")
+def _members(docs: DataFrame, params: NearDupParams, *carried: Column) -> DataFrame:
+    """doc_id, t (hash of the text), what is carried, and the sketch of each row."""
+    return written(_sets(docs.select("doc_id", F.xxhash64("text").alias("t"), *carried, "text"), params, params.index), "sketches")
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """node (an id of its own), n, a, b, v, and rep (unnamed, doc_id, t): the row that stands for the class."""
+    rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")
+    found = members.filter("n > 0").groupBy("n", "a", "b").agg(F.min(rep).alias("rep"), F.first("v").alias("v"))
+    # ids are drawn while the table is written and never again
+    return written(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
+    """node, n, v (the whole set) of some classes."""
+    reps = classes.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.t").alias("rep_t"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    texts = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t") == F.col("rep_t")))
+    # one of the rows that are equal; they are combined before the shuffle
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return written(_sets(texts, params, None).select("node", "n", "v"), "sets")
+
+
+def class_links(docs: DataFrame, classes: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """node, comp: the component of each class that is linked to another."""
+    postings = _postings(classes, params)
+    shared = postings.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     lists = written(postings.join(shared, "key", "left_semi"), "lists")
+    discard(postings)
     # edits give a copy values of its own, which take places among its rarest; the original stands in most lists
-    met = written(lists.groupBy("node").agg(F.count("*").alias("met")), "met")
+    met = lists.groupBy("node").agg(F.count("*").alias("met"))
     heads = lists.join(met, "node").groupBy("key").agg(F.min(F.struct(-F.col("met"), "n", "node")).alias("head"))
     heads = written(heads.select("key", F.col("head.node").alias("x")), "heads")
     first = lists.join(heads, "key").filter("node <> x").select("x", F.col("node").alias("y"))
-    involved = broadcast_up_to(written(lists.select("node").distinct(), "involved"), params.broadcast_ids)
-    texts = docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = written(_sets(texts, params, sketch=False).select(F.col("doc_id").alias("node"), "n", "v"), "sets")
-    edges = _confirm(first, classes, sets, params)
+    sets = _full_sets(docs, classes, lists.select("node").distinct(), params)
+    edges = _confirm(first, sets, params)
     labels = connected(edges)
     placed = lists.join(labels, "node", "left").select(
         "key", "node", "n", "first", F.coalesce("comp", "node").alias("comp")
@@ -293,34 +334,69 @@ def class_links(docs: DataFrame, params: NearDupParams = NearDupParams()) -> tup
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
     spread = written(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    nodes = spread.select("node").distinct()
+    discard(lists, heads, placed)
+    nodes, before = spread.select("node").distinct(), None
     for _ in range(params.rounds):
         # who leaves takes along what others had in common with it only
-        common = _common(sets, nodes).filter(100 * F.col("common") >= params.percent * F.col("n"))
+        shares = _common(sets, nodes)
+        common = shares.filter(100 * F.col("common") >= params.percent * F.col("n"))
         nodes = common.select("node")
-    spread = spread.drop("n").join(common, "node")
-    held = spread.groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("first"), F.col("key"))).alias("firsts"))
-    spread = written(spread.join(held, "node"), "open-lists")  # at most ``index`` keys a class
-    left = spread.filter("first").select(
+        if before:
+            discard(before)
+        before = shares
+    near = spread.drop("n").join(common, "node")
+    held = near.groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("first"), F.col("key"))).alias("firsts"))
+    opened = written(near.join(held, "node"), "open-lists")  # at most ``index`` keys a class
+    discard(spread, shares)
+    left = opened.filter("first").select(
         "key", "firsts", F.col("node").alias("x"), F.col("n").alias("m"), F.col("common").alias("u"), F.col("comp").alias("c")
     )
-    more = _confirm(left.join(spread.drop("firsts", "first"), "key").filter(_possible(params)).select("x", F.col("node").alias("y")), classes, sets, params)
-    return members, classes, labels if more.isEmpty() else connected(edges.union(more))
+    more = _confirm(left.join(opened.drop("firsts", "first"), "key").filter(_possible(params)).select("x", F.col("node").alias("y")), sets, params)
+    discard(sets, opened)
+    if not more.isEmpty():
+        old, labels = labels, connected(edges.union(more))
+        discard(old)
+    discard(edges, more)
+    return labels
+
+
+def _placed(docs: DataFrame, params: NearDupParams, *carried: Column) -> tuple[DataFrame, DataFrame]:
+    """(members, n a b comp first of each class): comp names the component, first is its smallest doc_id."""
+    members = _members(docs, params, *carried)
+    classes = _classes(members)
+    labels = class_links(docs, classes, params)
+    named = classes.join(labels, "node", "left").select("n", "a", "b", "rep", F.coalesce("comp", "node").alias("comp"))
+    named = written(named, "class-components")
+    firsts = named.groupBy("comp").agg(F.min("rep").alias("least")).select("comp", F.col("least.doc_id").alias("first"))
+    out = written(named.drop("rep").join(firsts, "comp"), "components")
+    discard(classes, labels, named)
+    return members, out
 
 
 def components(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs``."""
-    members, classes, labels = class_links(docs, params)
-    named = classes.join(labels, "node", "left").select("n", "a", "b", F.coalesce("comp", "node").alias("comp"))
-    named = written(named, "class-components")
+    members, named = _placed(docs.select("doc_id", "text"), params)
     found = members.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
 
 
 def unique_documents(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group; all columns as they were."""
-    copies = components(docs, params).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"))
-    gone = broadcast_up_to(written(copies.distinct(), "near-copies"), params.broadcast_ids)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each component, that of the smallest doc_id; all columns as they were.
+
+    Rows are told apart by a 96-bit hash of all their columns, so that of rows equal in all one stays; wordless rows stand alone
+    and stay, equal ones once.
+    """
+    plain = [F.col(f.name).cast("string") if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    r, s = free_name(docs, "row_r"), free_name(docs, "row_s")
+    row = F.xxhash64(*plain).alias(r), F.hash(*plain).alias(s)
+    members, named = _placed(docs, params, *row)
+    kept = members.select("doc_id", "n", "a", "b", r, s).join(named, ["n", "a", "b"], "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", r, s)).alias("best")
+    winners = kept.filter("comp is not null").groupBy("comp").agg(best).select(f"best.{r}", f"best.{s}")
+    winners = written(winners.union(kept.filter("comp is null").select(r, s).distinct()), "unique-rows")
+    discard(members, named)
+    # equal rows are combined before the shuffle; the semi-join then finds them where they are
+    return docs.select("*", *row).dropDuplicates([r, s]).join(winners, [r, s], "left_semi").select(*docs.columns)
