@@ -7,17 +7,17 @@ boundary is in, what lies after is out, and the boundary hash itself is in if th
 target.  No rows are sorted, and every run selects the same documents.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at
-``most`` times its source's words and the excess is shared by weight among the others.  That level
-has a closed form: with sources ordered by words over weight, it is the largest of (all words - what the first k
-sources take at their limits) / (weight of the rest) over k.  A source first gives whole copies
+``most`` times its source's words and the excess is shared by weight among the others.  One sum over the sources a round finds
+the words for each unit of weight among those not yet stopped, until no further source stops.  A source first gives whole copies
 of every document, then the documents below its threshold once more.
 
-A hot source is summed before the shuffle; per-source tables have one row for each source and are joined to
-documents by broadcast only if there are at most ``broadcast_sources`` of them.
+A hot source is summed before the shuffle.  Per-source tables have one row for each source, are dealt by source or by range of
+sources and never gathered; joined to documents they are plain tables, which the optimiser may broadcast by its own threshold
+and otherwise meets in a shuffle whose hot sources adaptive execution splits.
 
 Defined cases: null and wordless texts have size 0 and give nothing; null sources are one source, last in order;
-rows with equal (or null) doc_id share one hash and are taken together; an empty table gives an empty result;
-extra columns pass through unless named like an output.
+rows with equal (or null) doc_id share one hash and are taken together; very long texts count whole; a source of size 0 has
+target 0; an empty table gives an empty result; extra columns pass through unless named like an output.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import NOT_BLANKS, free_name, others, written
+from paceline.llm.common import NOT_BLANKS, discard, free_name, others, written
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,6 @@ class MixParams:
     most: int = 3
     bits: int = 12
     levels: int = 4
-    broadcast_sources: int = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,27 +49,41 @@ def doc_hash(doc_id: Column, params: MixParams = MixParams()) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long")
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (a row for each source) with rank, from 0 in code point order, null last.
+
+    Dealt by range; a source's rank is its place in its part and the rows of the parts before, of which there are as many as
+    shuffle partitions.
+    """
+    dealt = written(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-sources")
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    out = written(dealt.join(before, "part").withColumn("rank", F.col("before") + place).drop("part", "before"), "mix-ranks")
+    discard(dealt)
+    return out
+
+
 def source_targets(sized: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """source, source_size, target, copies (whole copies), budget (words beyond them)."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    ranked = ranked_sources(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     weights = F.array(*(F.lit(w) for w in params.weights))
     cap = params.most * F.col("source_size")
-    placed = sizes.withColumn("weight", F.get(weights, order % len(params.weights)).cast("long"))
-    before = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = placed.withColumns(
-        {
-            "total": F.sum("source_size").over(whole),
-            "full": F.coalesce(F.sum(cap).over(before), F.lit(0)),
-            "used": F.coalesce(F.sum("weight").over(before), F.lit(0)),
-            "weights": F.sum("weight").over(whole),
-        }
-    ).withColumn("level", F.max((F.col("total") - F.col("full")) / (F.col("weights") - F.col("used"))).over(whole))
-    target = F.least(cap.cast("double"), F.col("level") * F.col("weight"))
+    weight = F.get(weights, (F.col("rank") % len(params.weights)).cast("int")).cast("long")
+    placed = ranked.select("source", "source_size", cap.alias("cap"), weight.alias("weight"))
+    total, level, stopped = placed.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while total:
+        stops = F.col("cap") < F.lit(level) * F.col("weight")
+        full, rest, n = placed.agg(
+            F.coalesce(F.sum(F.when(stops, F.col("cap"))), F.lit(0)), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)
+        ).first()
+        if n == stopped:
+            break
+        level, stopped = (total - full) / rest, n
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
-        level.withColumn("target", target)
+        placed.withColumn("target", target)
         .withColumn("copies", copies)
         .withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
         .select("source", "source_size", "target", "copies", "budget")
@@ -80,7 +93,7 @@ def source_targets(sized: DataFrame, params: MixParams = MixParams()) -> DataFra
 def _thresholds(sized: DataFrame, targets: DataFrame, params: MixParams) -> DataFrame:
     """source, edge: documents with a smaller hash are in; last: the hash at the edge is in as well."""
     left = targets.select("source", F.lit(0).cast("long").alias("edge"), F.lit(0.0).alias("before"), "budget")
-    step = Window.partitionBy("source").orderBy("bucket")
+    step, before_level = Window.partitionBy("source").orderBy("bucket"), []
     for level in range(params.levels):
         unit = 1 << (params.bits * (params.levels - level - 1))  # hashes in one bucket of this level
         rows = sized
@@ -114,6 +127,8 @@ def _thresholds(sized: DataFrame, targets: DataFrame, params: MixParams) -> Data
             )
         )
         left = written(left, "mix-level")
+        discard(*before_level)
+        before_level = [left]
     last = F.col("budget") - F.col("before") >= F.col("before") + F.col("words") - F.col("budget")
     return left.select("source", "edge", F.coalesce(last, F.lit(False)).alias("last"))
 
@@ -131,8 +146,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         F.struct("source_size", "target", "copies", "edge", "last").alias(plan_name := free_name(docs, "mix_plan")),
     )
     plan = written(plan, "mix-plan")
-    if plan.count() <= params.broadcast_sources:
-        plan = F.broadcast(plan)
+    discard(sized, targets)
     h, size = doc_hash(F.col("doc_id"), params), word_count(F.col("text"))
     p = lambda name: F.col(f"{plan_name}.{name}")
     # without an edge the budget takes every document
