@@ -50,7 +50,7 @@ class NearDupParams:
     percent: int = 85
     k: int = 128
     index: int = 64
-    miss: float = 1e-5
+    miss: float = 3e-4
     rounds: int = 3
     block: int = 256
 
