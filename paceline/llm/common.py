@@ -10,16 +10,15 @@ byte-level rule over UTF-8, because every byte of a multi-byte character is >= 0
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.sources.scratch import discard, written  # noqa: F401  used by the operators
+
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANKS = r"[^\x20\x09-\x0D]+"
 
@@ -49,60 +48,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary folder of this machine is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="paceline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
-
-    The shuffle files of the write go when it ends, since nobody reads them again.  The table goes by ``discard``, or when
-    the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/paceline-{name}-{uuid.uuid4().hex}"
-    with _without_shuffle_files(spark):
-        df.write.parquet(path)
-    at, fs = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete ``written`` tables that no frame still to be run reads."""
-    for table in tables:
-        at, fs = _hadoop(table.sparkSession, table.scratch_path)
-        fs.delete(at, True)
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     """A broadcast of an object together with its class's code, which executors need not have installed."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -13,8 +13,8 @@
 4. Union sketches of ``k`` values estimate the similarity of pairs, those below ``floor`` go, and the rest is decided
    on the full sets.  Confirmed links are merged to components by label propagation with pointer jumping.
 
-``share`` and ``floor`` are the binomial quantiles at ``miss``: a link at the threshold is lost with at most about that
-probability at either place, and a closer one less.
+``share`` and ``floor`` are binomial quantiles at ``miss`` and ``miss_estimate``: a link at the threshold is lost with at most about
+that probability at either place, and a closer one less.
 
 The plan is the same at every size: all joins are between tables, which the optimiser may broadcast by its own
 threshold.  Texts are shuffled once for the full sets and once more by ``unique_documents``.
@@ -51,6 +51,7 @@ class NearDupParams:
     k: int = 128
     index: int = 64
     miss: float = 3e-4
+    miss_estimate: float = 1e-5
     rounds: int = 3
     block: int = 256
 
@@ -60,18 +61,18 @@ class NearDupParams:
 
     @property
     def share(self) -> float:
-        return self._least(self.index) / self.index
+        return self._least(self.index, self.miss) / self.index
 
     @property
     def floor(self) -> float:
-        return self._least(self.k) / self.k
+        return self._least(self.k, self.miss_estimate) / self.k
 
-    def _least(self, n: int) -> int:
+    def _least(self, n: int, miss: float) -> int:
         """The number of common values among n that a link at the threshold falls short of with probability ``miss`` at most."""
         below = 0.0
         for c in range(n + 1):
             below += math.comb(n, c) * self.similarity**c * (1 - self.similarity) ** (n - c)
-            if below > self.miss:
+            if below > miss:
                 return c
         return n
 
