@@ -1,6 +1,6 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
-The regression is trained once for each call from a small labelled URL table (``LABELLED``, or one that the
+The regression is trained once for each call from a small labelled URL table (``BLOCK`` and ``ALLOW``, or one that the
 caller gives), by Spark ML inside the JVM; scoring is a map over the URLs.  Rules are a short list and become one
 expression, so that neither part shuffles the URLs.
 
@@ -26,30 +26,36 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import free_name, let, others
 
-#: The small labelled URL table: pages to block, then pages to allow.
-BLOCK = """
-cheap-pills.example.net/buy pills-online.test/order?id=1 discount-pharmacy.test/cheap viagra-cheap.test/pills
-casino-win.example.net/play best-casino.test/slots win-big-casino.test/bonus online-casino.test/jackpot
-free-bets.example.net/today sports-bets.test/odds betting-tips.test/free free-spins.test/bets
-adult-x.example.com/video xxx-videos.test/adult adult-cams.test/live hot-adult.test/x/1
-spam-farm.example.org/a link-farm.test/seo/1 spam-links.test/farm content-farm.test/spam
-ads-track.example.com/click ad-track.test/pixel tracking-ads.test/banner click-ads.test/track?id=3
-free-money.test/win lottery-win.test/claim prize-claim.test/free replica-watches.test/cheap
-payday-loans.test/cheap miracle-diet.test/pills torrent-warez.test/free crack-keygen.test/download
+#: Words of pages to block, and of pages to allow, of which the labelled URL table is made.
+BLOCK_WORDS = """
+casino poker roulette slots betting jackpot lottery viagra pharmacy pills steroids loans payday forex bitcoin porn adult sex
+webcam escort warez keygen crack torrent spam backlinks replica adserver tracker popup clickbait banner
 """.split()
-ALLOW = """
-www.theren.example.org/en/12 blog.tionble.example.com/en/7198 tionsh.example.net/fr/25930 m.theres.example.net/es/25616
-ththth.example.com/de/44 anderer.example.com/de/12044 www.library.test/books/catalog news.city.test/2020/05/story
-university.test/research/papers docs.project.test/guide/install blog.travel.test/notes/mountains museum.test/visit
-www.weather.test/forecast/week recipes.test/bread/rye history.test/articles/rome science.test/physics/light
-forum.gardening.test/thread/552 wiki.music.test/page/cello health.gov.test/advice/flu school.test/calendar/terms
-en.encyclopedia.test/wiki/river www.example.com/en/1001 erthing.example.net/en/3 inganer.example.org/fr/808
-m.houred.example.com/es/9 m.ionand.example.net/en/25 www.reston.example.com/de/303 blog.onhere.example.net/fr/41
-maps.test/region/north open.data.test/sets/rainfall parliament.test/records/1998 theatre.test/season/autumn
-birds.test/species/heron cooking.test/soup/leek code.test/reference/strings chess.test/openings/french
+ALLOW_WORDS = """
+library museum weather recipes history science garden music health school wiki maps data parliament chess theatre birds cooking
+code railway astronomy biology poetry novels grammar law economics hospital football cycling bridges painting linux python
+algorithms climate rivers forest farm village castle harbour radio cinema council police embassy city university news
 """.split()
 
 
+def _block(shift: int) -> list[str]:
+    n = len(BLOCK_WORDS)
+    return [f"{w}-{BLOCK_WORDS[(i + shift) % n]}.test/{BLOCK_WORDS[(i + 2 * shift + 1) % n]}" for i, w in enumerate(BLOCK_WORDS)]
+
+
+def _allow() -> list[str]:
+    n, hosts = len(ALLOW_WORDS), ("www", "m", "blog", "shop", "en")
+    topics = [f"{w}-{ALLOW_WORDS[(i + 7) % n]}.test/{ALLOW_WORDS[(i + 18) % n]}" for i, w in enumerate(ALLOW_WORDS)]
+    plain = [f"{hosts[i % 5]}.{w}.test/{('en', 'fr', 'de', 'es')[i % 4]}/{(i * 7919) % 9973}" for i, w in enumerate(ALLOW_WORDS)]
+    return topics + plain
+
+
+#: The small labelled URL table, without its scheme: every word stands in several hosts and paths of its kind; allowed pages also
+#: have the plain addresses of a site in some language.
+BLOCK = _block(5) + _block(9)
+ALLOW = _allow()
+
+
 @dataclass(frozen=True)
 class UrlParams:
     sizes: tuple[int, ...] = (3, 4, 5)
@@ -100,12 +106,16 @@ def char_ngrams(host: Column, path: Column, params: UrlParams) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(*grams))
 
 
+def shipped_table(spark: SparkSession) -> DataFrame:
+    """url, blocked (0 or 1) of the labelled URL table."""
+    rows = [(u, 1.0) for u in BLOCK] + [(u, 0.0) for u in ALLOW]
+    table = F.array(*(F.struct(F.lit("https://" + u).alias("url"), F.lit(y).alias("blocked")) for u, y in rows))
+    return spark.range(1).select(F.inline(table))
+
+
 def train(spark: SparkSession, params: UrlParams = UrlParams(), labelled: DataFrame | None = None) -> PipelineModel:
     """Fit on a small table (url, blocked 0/1); one partition, so that sums have one order and runs agree."""
-    if labelled is None:
-        rows = [(u, 1.0) for u in BLOCK] + [(u, 0.0) for u in ALLOW]
-        table = F.array(*(F.struct(F.lit("https://" + u).alias("url"), F.lit(y).alias("blocked")) for u, y in rows))
-        labelled = spark.range(1).select(F.inline(table))
+    labelled = shipped_table(spark) if labelled is None else labelled
     host, path = host_path(F.col("url"))
     grams = labelled.coalesce(1).select(char_ngrams(host, path, params).alias("grams"), F.col("blocked").cast("double").alias("label"))
     hashed = HashingTF(numFeatures=params.features, binary=True, inputCol="grams", outputCol="features")
