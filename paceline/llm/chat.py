@@ -9,17 +9,19 @@ gathered: ordered by (turn, name, segment) the rows of one perspective are its r
 Turns meet the participants of their conversation in an equi-join of two shuffled tables, which adaptive execution
 splits where one conversation holds much of the data.
 
-Defined cases: null text renders as empty; a null role is the participant ``unknown``; a null conv_id is a conversation
-of its own; null turns come first; repeated rows are rendered as often as they occur; a conversation of system
-turns only has no perspective and no rows; marks inside a text are broken up by a blank; empty tables give empty
-results; other columns are not carried.
+Defined cases: null text renders as empty; a null role is the participant ``unknown``, and a role of that name, with or without
+primes, gets one prime more, so that no two participants are confused; a null conv_id is a conversation of its own; null turns
+come first; repeated rows are rendered as often as they occur; a conversation of system turns only has no perspective and no
+rows; marks inside a text or a name are broken up by a blank, and in a rendered name control characters and line ends become
+blanks, so that nobody can forge a turn; very long texts are rendered whole; empty tables give empty results; other columns are
+not carried.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,9 +33,25 @@ class ChatParams:
     unknown: str = "unknown"
 
 
+#: What may not stand in a rendered name: control characters and line ends.
+CONTROL = r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]"
+
+
+def broken_up(text: Column, params: ChatParams) -> Column:
+    """``text`` with a blank after the first character of each mark."""
+    for mark in (params.start, params.end):
+        text = F.replace(text, F.lit(mark), F.lit(mark[0] + " " + mark[1:]))
+    return text
+
+
+def participant(role: Column, params: ChatParams) -> Column:
+    """The name of a role, one to one."""
+    return F.when(role.isNull(), F.lit(params.unknown)).when(F.rtrim(role, F.lit("'")) == params.unknown, F.concat(role, F.lit("'"))).otherwise(role)
+
+
 def perspectives(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
     """conv_id, perspective, turn, name, role, segment, mask_start, mask_end (half-open, in characters of it)."""
-    name = F.coalesce("role", F.lit(params.unknown))
+    name = participant(F.col("role"), params)
     said = turns.select("conv_id", "turn", name.alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     speakers = (
         said.filter(F.col("name") != params.system_role)
@@ -46,12 +64,9 @@ def perspectives(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFra
         .when(F.col("name") == params.system_role, F.lit("system"))
         .otherwise(F.lit("user"))
     )
-    text = F.col("text")
-    for mark in (params.start, params.end):
-        text = F.replace(text, F.lit(mark), F.lit(mark[0] + " " + mark[1:]))
-    head = F.concat(
-        F.lit(params.start), "role", F.when(F.col("role") == "user", F.concat(F.lit(" name="), "name")).otherwise(F.lit("")), F.lit("\n")
-    )
+    text = broken_up(F.col("text"), params)
+    shown = F.concat(F.lit(" name="), broken_up(F.regexp_replace("name", CONTROL, " "), params))
+    head = F.concat(F.lit(params.start), "role", F.when(F.col("role") == "user", shown).otherwise(F.lit("")), F.lit("\n"))
     trained = F.col("role") == "assistant"
     return (
         both.select("conv_id", "perspective", "turn", "name", role.alias("role"), text.alias("text"))

@@ -15,17 +15,31 @@ SELECT d.doc_id, joined.text, coalesce(n_lines, 0)::BIGINT n_lines, coalesce(n_r
 FROM d LEFT JOIN joined USING (r)
 """
 
-OP4 = r"""
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') name,
+_RENDERED = r"""
+said AS (SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'unknown' WHEN rtrim(role, chr(39)) = 'unknown' THEN role || chr(39) ELSE role END name,
     replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id conv, name perspective FROM said WHERE name <> 'system'),
-both_ AS (SELECT *, CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END "role"
+both_ AS (SELECT *, CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END "role",
+  replace(replace(regexp_replace(name, '[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') shown
   FROM said JOIN speakers ON conv_id IS NOT DISTINCT FROM conv),
-headed AS (SELECT *, '<|im_start|>' || "role" || CASE WHEN "role" = 'user' THEN ' name=' || name ELSE '' END || chr(10) head FROM both_)
-SELECT conv_id, perspective, turn, name, "role", head || text || '<|im_end|>' || chr(10) segment,
+headed AS (SELECT *, '<|im_start|>' || "role" || CASE WHEN "role" = 'user' THEN ' name=' || shown ELSE '' END || chr(10) head FROM both_),
+segments AS (SELECT conv_id, perspective, turn, name, "role", head || text || '<|im_end|>' || chr(10) segment,
   CASE WHEN "role" = 'assistant' THEN length(head) ELSE 0 END::BIGINT mask_start,
-  CASE WHEN "role" = 'assistant' THEN length(head) + length(text) + 10 ELSE 0 END::BIGINT mask_end
-FROM headed
+  CASE WHEN "role" = 'assistant' THEN length(head) + length(text) + 10 ELSE 0 END::BIGINT mask_end FROM headed)"""
+
+OP4 = f"""
+WITH {_RENDERED}
+SELECT conv_id, perspective, turn, name, "role", segment, mask_start, mask_end FROM segments
+"""
+
+DIALOGUES = f"""
+WITH {_RENDERED},
+placed AS (SELECT *, floor(coalesce(turn, 0) / 64)::BIGINT part FROM segments),
+at_ AS (SELECT *, row_number() OVER o place, coalesce(sum(length(segment)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT at_
+  FROM placed WINDOW o AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, name NULLS FIRST, segment))
+SELECT conv_id, perspective, part, string_agg(segment, '' ORDER BY place) text,
+  coalesce(string_agg((at_ + mask_start)::VARCHAR || '-' || (at_ + mask_end)::VARCHAR, ',' ORDER BY place) FILTER (mask_end > 0), '') masks
+FROM at_ GROUP BY conv_id, perspective, part
 """
 
 _WORDS = (

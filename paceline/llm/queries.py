@@ -32,6 +32,13 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def chat_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogues that operator 4 renders, with their masks as text: start-end,start-end."""
+    parts = chat.dialogue_parts(chat.perspectives(_table(spark, sf_dir, "conversations")))
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return parts.withColumn("masks", F.array_join(spans, ","))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,13 +80,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_dialogues": chat_dialogues}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": oracles.OP1,
         "op4_chat_rotation": oracles.OP4,
+        "chat_dialogues": oracles.DIALOGUES,
         "op5_decontamination": oracles.OP5,
         "op7_near_dedup": oracles.OP7,
         "op8_source_mix": oracles.OP8,
