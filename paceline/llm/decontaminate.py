@@ -1,8 +1,12 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton of all items (word ids as letters) is built once on the driver and broadcast; it grows with the
-benchmark, never with the documents, and building it stops with an error beyond ``max_item_words`` words.
-Documents are streamed through it: at each word it knows the longest suffix of what was read that occurs in
+Items are read by the driver as a stream and gathered into groups of at most ``max_item_words`` words; a longer item is cut
+into parts that overlap by a window less one word, so that every window lies in some part.  Each group becomes an automaton (word ids as
+letters), which costs about 1.4 kB for each of its words while it is built and is broadcast: 280 MB at most, whatever the size of
+the benchmark.  One group suffices for most benchmarks; the documents are then mapped once.  With more, each is streamed
+over the documents in turn, and what was found is merged by document: nothing is left out.
+
+Documents are streamed through an automaton: at each word it knows the longest suffix of what was read that occurs in
 some item.  Only stretches whose neighbouring words are all neighbours in some item too can hold a match of two
 words, so words outside them are skipped without a step.
 
@@ -12,19 +16,23 @@ which more than ``max_coverage`` is hit is dropped altogether.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items have no windows; items with
 a null item_id hit words but are not counted; items sharing an item_id count once; repeated rows are each
-returned; an empty benchmark hits nothing; extra columns pass through ``clean`` but not ``matches``.
+returned; very long texts are streamed whole; an empty benchmark hits nothing; extra columns pass through ``clean`` unless
+named like an output, but not ``matches``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import alnum_words, map_batches, others, shipped
+from paceline.llm.common import alnum_words, discard, free_name, map_batches, others, shipped, written
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 
@@ -34,7 +42,7 @@ class DecontaminationParams:
     window: int = 10
     min_span: int = 1
     max_coverage: float = 0.5
-    max_item_words: int = 20_000_000
+    max_item_words: int = 200_000
 
 
 class ItemAutomaton:
@@ -117,7 +125,7 @@ class ItemAutomaton:
         return (0, 0) if to is None else (to, depth + 1)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Maximal spans [start, end) of hit words, the items with a window here, the longest match."""
+        """Maximal spans [start, end) of hit words, the items with a window here, the longest match in words."""
         spans: list[tuple[int, int]] = []
         items: set = set()
         longest = 0
@@ -125,7 +133,10 @@ class ItemAutomaton:
             return spans, items, longest
         get = self.ids.get
         codes = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        for start, end in self._stretches(codes):
+        stretches = self._stretches(codes)
+        for start, end in stretches:
+            if end - start < self.shortest:
+                continue
             state = depth = 0
             for i, c in enumerate(codes[start:end].tolist(), start):
                 state, depth = self.step(state, depth, c)
@@ -137,10 +148,17 @@ class ItemAutomaton:
                             items |= who
                             _add(spans, i + 1 - size, i + 1)
                     at = self.marked[self.link[at]]
+        for start, end in sorted((s for s in stretches if s[1] - s[0] < self.shortest), key=lambda s: s[0] - s[1]):
+            if end - start <= longest:
+                break  # no shorter stretch holds a longer match
+            state = depth = 0
+            for c in codes[start:end].tolist():
+                state, depth = self.step(state, depth, c)
+                longest = max(longest, depth)
         return spans, items, longest
 
     def _stretches(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """Maximal runs of known words joined by known pairs, at least as long as the shortest window."""
+        """Maximal runs of known words joined by known pairs."""
         known = codes >= 0
         joined = known[:-1] & known[1:]
         at = np.flatnonzero(joined)
@@ -154,7 +172,7 @@ class ItemAutomaton:
         breaks = np.flatnonzero(~joined) + 1
         starts = np.concatenate(([0], breaks))
         ends = np.concatenate((breaks, [len(codes)]))
-        good = (ends - starts >= self.shortest) & known[starts]
+        good = known[starts]
         return list(zip(starts[good].tolist(), ends[good].tolist(), strict=True))
 
 
@@ -165,53 +183,139 @@ def _add(spans: list[tuple[int, int]], start: int, end: int) -> None:
     spans.append((start, end))
 
 
+def _item_words() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
+
+
 def build_automaton(benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> ItemAutomaton:
-    """The automaton of a benchmark, whose number of words is checked before it is brought to the driver."""
-    words = benchmark.select(
-        F.coalesce(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))
-    ).first()[0]
+    """One automaton of a benchmark that fits into one, which is checked before it is brought to the driver."""
+    words = benchmark.select(F.coalesce(F.sum(_item_words()), F.lit(0))).first()[0]
     if words > params.max_item_words:
         raise ValueError(f"the benchmark has {words} words; max_item_words is {params.max_item_words}")
-    rows = benchmark.select("item_id", F.col("text").cast("binary")).collect()
-    return ItemAutomaton([(r[0], alnum_words(bytes(r[1]) if r[1] is not None else None)) for r in rows], params.window)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """doc_id, n_words, n_hit, longest, item_ids (as strings), spans of hit words [start, end).
-
-    ``longest`` is the longest match in words among the stretches that could hold a window.
-    """
-    shared = shipped(docs.sparkSession, build_automaton(benchmark, params))
+    return next(automata(benchmark, params))
+
+
+def automata(benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> Iterator[ItemAutomaton]:
+    """Automata of at most ``max_item_words`` words each that together have all windows, at least one; the driver holds one
+    at a time."""
+    group, size, any_yet = [], 0, False
+    most = max(params.max_item_words, 2 * params.window)
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator()
+    for item, text in rows:
+        words = alnum_words(bytes(text) if text is not None else None)
+        for start in range(0, max(1, len(words) - params.window + 1), most - params.window + 1):
+            part = words[start : start + most]
+            if group and size + len(part) > most:
+                yield ItemAutomaton(group, params.window)
+                group, size, any_yet = [], 0, True
+            group.append((item, part))
+            size += len(part)
+    if group or not any_yet:
+        yield ItemAutomaton(group, params.window)
+
+
+def _scanned(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
+    """The columns of ``docs`` but text, with n_words, longest, item_ids (as strings) and spans of hit words [start, end)."""
+    shared = shipped(docs.sparkSession, automaton)
+    carried = [c for c in docs.columns if c != "text"]
 
     def look(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_words": [], "n_hit": [], "longest": [], "item_ids": [], "spans": []}
+        out = {c: batch[c] for c in carried} | {c: [] for c in ("n_words", "longest", "item_ids", "spans")}
         for text in batch["text"]:
             words = alnum_words(text)
             spans, items, longest = shared().scan(words)
             out["n_words"].append(len(words))
-            out["n_hit"].append(sum(b - a for a, b in spans))
             out["longest"].append(longest)
             out["item_ids"].append(sorted(str(i) for i in items if i is not None))
             out["spans"].append([{"start": a, "end": b} for a, b in spans])
         return out
 
-    schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, longest long, "
-        "item_ids array<string>, spans array<struct<start: long, end: long>>"
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    rows = docs.select(*carried, F.col("text").cast("binary").alias("text"))
+    return map_batches(rows, look, f"{fields}n_words long, longest long, item_ids array<string>, spans array<struct<start: long, end: long>>")
+
+
+def merged(spans: Column) -> Column:
+    """Spans united where they meet, in order."""
+    start = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
+        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), wider)).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), start, add)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> DataFrame | None:
+    """doc_id, t, u (hashes of the text), longest, item_ids and spans of every text that any of several automata hits; None if
+    there is one automaton only."""
+    some = automata(benchmark, params)
+    first, second = next(some), next(some, None)
+    if second is None:
+        return None
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), "text")
+    parts = [written(_scanned(rows, a).filter("longest > 0").drop("n_words").distinct(), "benchmark-hits") for a in chain((first, second), some)]
+    every = reduce(DataFrame.union, parts)
+    united = every.groupBy("doc_id", "t", "u").agg(
+        F.max("longest").alias("longest"),
+        # at most one list a part: bounded by the number of automata and the length of one text
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        merged(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), look, schema)
+    out = written(united, "benchmark-found")
+    discard(*parts)
+    return out
+
+
+def _with_found(docs: DataFrame, found: DataFrame, *wanted: str) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of the wanted columns of ``found`` by (doc_id, text), and its name."""
+    i, t, u, name = (free_name(docs, n) for n in ("found_id", "found_t", "found_u", "found"))
+    there = found.select(F.col("doc_id").alias(i), F.col("t").alias(t), F.col("u").alias(u), F.struct(*wanted).alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)) & (F.hash("text") == F.col(u))
+    return docs.join(there, same, "left").select(*docs.columns, name), name
+
+
+def _hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """doc_id, n_words, n_hit, longest (the longest match in words, with any part of an item that was cut), item_ids (as strings),
+    spans of hit words [start, end)."""
+    rows = docs.select("doc_id", "text")
+    found = _found(rows, benchmark, params)
+    if found is None:
+        got = _scanned(rows, next(automata(benchmark, params)))
+    else:
+        got = _with_found(rows, found, "longest", "item_ids", "spans")[0].select(
+            "doc_id",
+            _item_words().cast("long").alias("n_words"),
+            F.coalesce("found.longest", F.lit(0)).alias("longest"),
+            F.coalesce("found.item_ids", F.array().cast("array<string>")).alias("item_ids"),
+            F.coalesce("found.spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("spans"),
+        )
+    return got.select("doc_id", "n_words", _hit(F.col("spans")).alias("n_hit"), "longest", "item_ids", "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``; ``n_words``, ``n_hit`` and ``dropped`` beside it."""
-    shared = shipped(docs.sparkSession, build_automaton(benchmark, params))
     outputs = "n_words", "n_hit", "dropped"
     rest = others(docs, *outputs)
+    found = _found(docs, benchmark, params)
+    if found is None:
+        shared = shipped(docs.sparkSession, next(automata(benchmark, params)))
+        rows, told = docs.select(*rest), ""
+    else:
+        shared = None
+        rows, told = _with_found(docs.select(*rest), found, "spans")
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
         out = {c: batch[c] for c in rest} | {c: [] for c in outputs} | {"text": []}
-        for text in batch["text"]:
-            spans, _, _ = shared().scan(words := alnum_words(text.encode() if text is not None else None))
+        for i, text in enumerate(batch["text"]):
+            words = alnum_words(text.encode() if text is not None else None)
+            spans = shared().scan(words)[0] if shared else [(s["start"], s["end"]) for s in (batch[told][i] or {"spans": []})["spans"]]
             hit = sum(b - a for a, b in spans)
             out["text"].append(remove_spans(text, [s for s in spans if s[1] - s[0] >= params.min_span]))
             out["n_words"].append(len(words))
@@ -220,7 +324,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams =
         return out
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return map_batches(docs.select(*rest), cut, f"{fields}, n_words long, n_hit long, dropped boolean")
+    return map_batches(rows, cut, f"{fields}, n_words long, n_hit long, dropped boolean")
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
