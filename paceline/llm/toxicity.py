@@ -7,11 +7,16 @@ by far; a word that reads like a term once digits and marks are mapped back to l
 
 Learning takes at most ``train_rows`` labelled documents, in the order of a hash of the doc_id.  In folds, the lexicon of
 the other folds gives the features of each, so that the trees see the lexicon as unseen texts do, and
-out-of-fold scores calibrate.  Scoring is a map over all documents.
+out-of-fold scores calibrate.  Words are counted and features computed where the texts are: the driver gets the
+terms of each lexicon and one row of features a document.  Scoring is a map over all documents.
+
+Calibration is centred isotonic regression: pooled adjacent violators, joined by straight lines between the centres of the
+blocks, so that it rises wherever it can and ties only outside the outermost centres.
 
 Defined cases: null and empty texts have zero features and get the score of those; without labelled rows of both kinds the
-score is the share of toxic rows, or 0; labels of null are ignored, of repeated doc_ids the highest counts; repeated
-rows are each scored; an empty table gives an empty result; only doc_id is carried.
+score is the share of toxic rows, or 0; labels of null are ignored, of repeated doc_ids the highest counts, and of several
+texts with one doc_id that of the smallest hash is learnt from; very long texts are read whole, in time linear in their length;
+repeated rows are each scored; an empty table gives an empty result; only doc_id is carried.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import map_batches, shipped
+from paceline.llm.common import discard, map_batches, shipped, written
 
 
 @dataclass(frozen=True)
@@ -76,19 +81,7 @@ class Lexicon:
     bare: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def learn(cls, texts: list[set[str]], toxic: np.ndarray, params: ToxicParams) -> Lexicon:
-        bad, good = Counter(), Counter()
-        for words, y in zip(texts, toxic, strict=True):
-            (bad if y else good).update(words)
-        n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-        odds = {
-            w: math.log((n + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1))
-            for w, n in bad.items()
-            if n >= params.min_documents
-        }
-        # by how many toxic documents a term explains, not by odds alone
-        kept = sorted((w for w in odds if odds[w] >= params.min_log_odds), key=lambda w: (-bad[w] * odds[w], w))
-        terms = {w: odds[w] for w in kept[: params.lexicon_size]}
+    def of(cls, terms: dict[str, float]) -> Lexicon:
         bare: dict[str, float] = {}
         for w, o in terms.items():
             if len(b := unmask(w)) >= 4:
@@ -103,8 +96,8 @@ class Lexicon:
         n, chars = len(words), len(text)
         odds = self.odds
         terms = [i for i, w in enumerate(words) if w in odds]
-        distinct = set(words)
-        hidden = sum(words.count(w) for w in distinct if w not in odds and self._masked(w))
+        distinct = Counter(words)
+        hidden = sum(k for w, k in distinct.items() if w not in odds and self._masked(w))
         second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
         if terms and second:
@@ -199,16 +192,14 @@ def _walk(tree: list[tuple], bins: np.ndarray) -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots (score, non-decreasing probability) for linear interpolation."""
-    blocks: list[list[float]] = []  # sum of y, weight, lowest and highest score
+    """Centred isotonic regression: knots (mean score of a pooled block, probability) for linear interpolation."""
+    blocks: list[list[float]] = []  # sum of y, weight, sum of scores, lowest score
     for s, v in sorted(zip(score.tolist(), y.tolist(), strict=True)):
         blocks.append([v, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+        while len(blocks) > 1 and (blocks[-2][3] == blocks[-1][3] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
             top = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + top[0], blocks[-1][1] + top[1], blocks[-1][2], top[3]]
-    xs = np.array([k for b in blocks for k in (b[2], b[3])])
-    ys = np.array([b[0] / b[1] for b in blocks for _ in range(2)])
-    return xs, ys
+            blocks[-1] = [blocks[-1][0] + top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2], blocks[-1][3]]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 @dataclass
@@ -222,43 +213,81 @@ class ToxicModel:
         if self.trees is None:
             return [self.share] * len(texts)
         margin = self.trees.margin(np.array([self.lexicon.features(t) for t in texts]))
-        calibrated = np.interp(margin, *self.knots)
-        # a touch of the raw score keeps the order within flat stretches
-        return (0.98 * calibrated + 0.02 / (1 + np.exp(-margin))).tolist()
+        return np.interp(margin, *self.knots).tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
     """Learn from the rows of ``labels`` (doc_id, toxic) and their texts, at most ``train_rows`` of them."""
     h = F.xxhash64("doc_id")
     chosen = (
-        labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(h, "doc_id").limit(params.train_rows)
+        labels.filter("toxic is not null and doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .orderBy(h, "doc_id")
+        .limit(params.train_rows)
     )
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "doc_id", "text", "toxic")  # bounded by train_rows
-    return _fit(rows, params)
-
-
-def _fit(rows: DataFrame, params: ToxicParams) -> ToxicModel:
-    got = sorted((r["h"], r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows.toLocalIterator())
-    y = np.array([g[3] for g in got], dtype=float)
-    if not 0 < y.sum() < len(y):
-        return ToxicModel(Lexicon(), None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
-    texts = [g[2] for g in got]
-    sets = [{fold_word(w) for w in _WORD.findall(t)} - {""} for t in texts]
-    fold = np.arange(len(y)) % params.folds
-    margin, inner = np.zeros(len(y)), []
-    for k in range(params.folds):
-        # the lexicon of the other folds, as for texts never seen
-        out = np.flatnonzero(fold == k)
-        rest = np.flatnonzero(fold != k)
-        lexicon = Lexicon.learn([sets[i] for i in rest], y[rest], params)
-        inner.append((out, np.array([lexicon.features(texts[i]) for i in out])))
-    x = np.zeros((len(y), len(FEATURES)))
-    for out, part in inner:
-        x[out] = part
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows ids
+    one = known.groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    rows = written(one.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(params.folds)).cast("int")), "toxic-train")
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", (F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
+    bad, good = (sum(n for (_, t), n in sizes.items() if t == y) for y in (1, 0))
+    if not bad or not good:
+        discard(rows)
+        return ToxicModel(Lexicon(), None, (np.zeros(1), np.zeros(1)), 1.0 if bad else 0.0)
+    lexicons = _lexicons(rows, sizes, params)
+    x, y, fold = _train_features(rows, lexicons, params)
+    discard(rows)
+    margin = np.zeros(len(y))
     for k in range(params.folds):
         rest = fold != k
-        margin[~rest] = BoostedTrees.fit(x[rest], y[rest], params).margin(x[~rest])
-    return ToxicModel(Lexicon.learn(sets, y, params), BoostedTrees.fit(x, y, params), isotonic(margin, y), float(y.mean()))
+        if not rest.all():
+            margin[~rest] = BoostedTrees.fit(x[rest], y[rest], params).margin(x[~rest])
+    return ToxicModel(lexicons[params.folds], BoostedTrees.fit(x, y, params), isotonic(margin, y), float(y.mean()))
+
+
+def _lexicons(rows: DataFrame, sizes: dict[tuple[int, int], int], params: ToxicParams) -> list[Lexicon]:
+    """For each fold the lexicon of the others, and then that of all: the words that explain most toxic documents."""
+
+    def words(batch: dict[str, list]) -> dict[str, list]:
+        found = [sorted({fold_word(w) for w in _WORD.findall(t)} - {""}) for t in batch["text"]]
+        return {"fold": batch["fold"], "toxic": batch["toxic"], "words": found}
+
+    told = map_batches(rows.select("fold", "toxic", "text"), words, "fold int, toxic int, words array<string>")
+    once = told.select("fold", (F.col("toxic") > 0).alias("bad"), F.explode("words").alias("word"))
+    of = lambda k, bad: F.count_if((F.col("fold") != k) & (F.col("bad") == bad))
+    variants = range(params.folds + 1)
+    counts = once.groupBy("word").agg(
+        F.array(*(F.struct(F.lit(k).alias("k"), of(k, True).alias("bad"), of(k, False).alias("good")) for k in variants)).alias("by")
+    )
+    total = lambda k, y: max(1, sum(n for (f, t), n in sizes.items() if f != k and t == y))
+    n_bad, n_good = (F.array(*(F.lit(float(total(k, y))) for k in variants)) for y in (1, 0))
+    odds = F.log((F.col("bad") + 0.5) / (F.get(n_bad, F.col("k")) + 1)) - F.log((F.col("good") + 0.5) / (F.get(n_good, F.col("k")) + 1))
+    terms = (
+        counts.select("word", F.inline("by"))
+        .filter(F.col("bad") >= params.min_documents)
+        .withColumn("odds", odds)
+        .filter(F.col("odds") >= params.min_log_odds)
+        # by how many toxic documents a term explains, not by odds alone
+        .withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy((-F.col("bad") * F.col("odds")), "word")))
+        .filter(F.col("place") <= params.lexicon_size)
+    )
+    found: list[dict[str, float]] = [{} for _ in variants]
+    for r in terms.orderBy("k", "place").collect():  # at most lexicon_size rows for each
+        found[r["k"]][r["word"]] = r["odds"]
+    return [Lexicon.of(f) for f in found]
+
+
+def _train_features(rows: DataFrame, lexicons: list[Lexicon], params: ToxicParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and folds, ordered by doc_id; at most train_rows rows of FEATURES numbers."""
+    shared = shipped(rows.sparkSession, lexicons)
+
+    def look(batch: dict[str, list]) -> dict[str, list]:
+        found = [shared()[k].features(t) for k, t in zip(batch["fold"], batch["text"], strict=True)]
+        return {"doc_id": batch["doc_id"], "fold": batch["fold"], "toxic": batch["toxic"], "x": found}
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = sorted(map_batches(rows, look, f"doc_id {kind}, fold int, toxic int, x array<double>").collect(), key=lambda r: r["doc_id"])
+    return np.array([r["x"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]), np.array([r["fold"] for r in got])
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
