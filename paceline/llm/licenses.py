@@ -9,12 +9,14 @@ The normalised text is its alphanumeric words joined by single blanks, so that l
 markup do not count as edits.  Base phrases are runs of whole words in it.
 
 Defined cases: null and wordless texts have no words, places or labels and score 0; of overlapping finds the
-one with the fewest edits stays, then the longest, then the leftmost; repeated rows are each scanned; an empty table gives an
-empty result; only doc_id is carried.
+one with the fewest edits stays, then the longest, then the leftmost; repeated rows are each scanned; very long
+texts are scanned whole, in time about linear in their length; an empty table gives an empty result; only doc_id is carried.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +53,9 @@ NOTICES = (
 )
 
 
+_BLANK = re.compile(" ")
+
+
 @dataclass(frozen=True)
 class LicenseParams:
     #: One edit for so many characters of a notice, between the two bounds.
@@ -90,11 +95,12 @@ class NoticeFinder:
                 else:
                     mine.append([lo, hi])
         hits = [hit for k, spans in windows.items() for hit in self._verify(text, k, spans)]
-        best: list[tuple[int, int, str, int]] = []
+        best: list[tuple[int, int, str, int]] = []  # ascending and apart from each other
         for hit in sorted(hits, key=lambda x: (x[3], x[0] - x[1], x)):
-            if all(hit[1] <= b[0] or hit[0] >= b[1] for b in best):
-                best.append(hit)
-        return sorted(best)
+            at = bisect_left(best, hit)
+            if (not at or best[at - 1][1] <= hit[0]) and (at == len(best) or hit[1] <= best[at][0]):
+                best.insert(at, hit)
+        return best
 
     def _verify(self, text: str, k: int, spans: list[list[int]]) -> Iterator[tuple[int, int, str, int]]:
         """The best match of each span, then those of what is left before and behind it."""
@@ -134,12 +140,13 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
             words = alnum_words(raw)
             text = b" ".join(words).decode()
             framed = f" {text} "
-            found = sorted((framed.count(" ", 0, at), label) for phrase, label in params.phrases for at in phrase_places(framed, phrase))
+            blanks = [m.start() for m in _BLANK.finditer(framed)]  # word k of the text follows the k-th of them
+            found = sorted((bisect_left(blanks, at), label) for phrase, label in params.phrases for at in phrase_places(framed, phrase))
             out["n_words"].append(len(words))
             out["places"].append([{"word": w, "label": label} for w, label in found])
             out["notices"].append(
                 [
-                    {"first_word": text.count(" ", 0, a), "last_word": text.count(" ", 0, b), "label": label, "edits": edits, "text": text[a:b]}
+                    {"first_word": bisect_right(blanks, a) - 1, "last_word": bisect_right(blanks, b) - 1, "label": label, "edits": edits, "text": text[a:b]}
                     for a, b, label, edits in ready[0].find(text)
                 ]
             )
