@@ -328,9 +328,9 @@ def test_a_text_without_a_doc_id_links_others(spark):
 def test_near_dedup_thresholds_follow_the_miss_rate():
     for percent in (80, 85, 95):
         p = neardup.NearDupParams(percent=percent)
-        for n, share in ((p.index, p.share), (p.k, p.floor)):
+        for n, share, miss in ((p.index, p.share, p.miss), (p.k, p.floor, p.miss_estimate)):
             lost = sum(math.comb(n, c) * p.similarity**c * (1 - p.similarity) ** (n - c) for c in range(round(share * n)))
-            assert lost <= p.miss < lost + math.comb(n, round(share * n)) * p.similarity ** round(share * n) * (1 - p.similarity) ** (n - round(share * n))
+            assert lost <= miss < lost + math.comb(n, round(share * n)) * p.similarity ** round(share * n) * (1 - p.similarity) ** (n - round(share * n))
 
 
 def test_near_dedup_of_long_texts(spark, prose):
