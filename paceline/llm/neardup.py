@@ -13,8 +13,8 @@
 4. Union sketches of ``k`` values estimate the similarity of pairs, those below ``floor`` go, and the rest is decided
    on the full sets.  Confirmed links are merged to components by label propagation with pointer jumping.
 
-``share`` and ``floor`` are binomial quantiles at ``miss`` and ``miss_estimate``: a link at the threshold is lost with at most about
-that probability at either place, and a closer one less.
+``share`` and ``floor`` are binomial quantiles at ``miss``: a link at the threshold is lost with at most about that probability
+at either place, and a closer one less.
 
 The plan is the same at every size: all joins are between tables, which the optimiser may broadcast by its own
 threshold.  Texts are shuffled once for the full sets and once more by ``unique_documents``.
@@ -50,8 +50,7 @@ class NearDupParams:
     percent: int = 85
     k: int = 128
     index: int = 64
-    miss: float = 3e-4
-    miss_estimate: float = 1e-5
+    miss: float = 1e-5
     rounds: int = 3
     block: int = 256
 
@@ -61,18 +60,18 @@ class NearDupParams:
 
     @property
     def share(self) -> float:
-        return self._least(self.index, self.miss) / self.index
+        return self._least(self.index) / self.index
 
     @property
     def floor(self) -> float:
-        return self._least(self.k, self.miss_estimate) / self.k
+        return self._least(self.k) / self.k
 
-    def _least(self, n: int, miss: float) -> int:
+    def _least(self, n: int) -> int:
         """The number of common values among n that a link at the threshold falls short of with probability ``miss`` at most."""
         below = 0.0
         for c in range(n + 1):
             below += math.comb(n, c) * self.similarity**c * (1 - self.similarity) ** (n - c)
-            if below > miss:
+            if below > self.miss:
                 return c
         return n
 
@@ -298,11 +297,15 @@ def _members(docs: DataFrame, params: NearDupParams, *carried: Column) -> DataFr
 
 
 def _classes(members: DataFrame) -> DataFrame:
-    """node (an id of its own), n, a, b, v, and rep (unnamed, doc_id, t): the row that stands for the class."""
+    """node (an id of its own, in the order of rep), n, a, b, v, and rep (unnamed, doc_id, t): the row that stands for the class.
+
+    Originals mostly have smaller doc_ids than their copies; with ids in that order, ties between leaders go to originals.
+    """
     rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")
     found = members.filter("n > 0").groupBy("n", "a", "b").agg(F.min(rep).alias("rep"), F.first("v").alias("v"))
     # ids are drawn while the table is written and never again
-    return written(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    ordered = found.repartitionByRange("rep").sortWithinPartitions("rep")
+    return written(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
