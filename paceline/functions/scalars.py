@@ -46,6 +46,44 @@ def title_case(slug: Column) -> Column:
     return F.initcap(F.regexp_replace(slug, "[-_#]+", " "))
 
 
+def with_suffix(columns: list[str], *suffixes: str) -> list[str]:
+    return [c for c in columns if c.endswith(suffixes)]
+
+
+def age_group(age: Column, width: int = 10) -> Column:
+    """The lower end of the age group."""
+    return (F.floor(age / width) * width).cast("int")
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def percent_text(share: Column) -> Column:
+    return F.format_string("%.1f%%", 100 * share)
+
+
+def slug(*parts: Column) -> Column:
+    """Parts in lower case with - for what separates words, joined by _."""
+    return F.concat_ws("_", *(F.lower(F.regexp_replace(p, "[ #]+", "-")) for p in parts))
+
+
+def slug_parts(slug_: Column) -> list[Column]:
+    """cohort, sex and mrc of a slice's slug."""
+    parts = F.split(slug_, "_")
+    return [F.get(parts, F.lit(0)).alias("cohort"), F.get(parts, F.lit(1)).alias("sex"), F.regexp_extract(slug_, "mrc([0-9]+)", 1).cast("int").alias("mrc")]
+
+
+def log_positive(x: Column) -> Column:
+    """Logarithm where there is one, else null."""
+    return F.when(x > 0, F.log(x))
+
+
+def finite(x: Column) -> Column:
+    """Null for what is not a finite number."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
+
+
 def bucket_label(n: Column) -> Column:
     """Race counts as 1, 2, 3, 4, 5, 6-10, >10."""
     return F.when(n <= 5, n.cast("string")).when(n <= 10, "6-10").otherwise(">10")

@@ -60,12 +60,12 @@ def demographics(athletes: DataFrame) -> DataFrame:
 
 
 def finish_times(cells: DataFrame, athletes: DataFrame) -> DataFrame:
-    """Time distribution by sex and for all."""
+    """Time distribution by sex and for all; quantiles in full, as interpolated times of four digits tie when cut shorter."""
     joined = cells.join(athletes.select("athlete_id", "sex"), "athlete_id")
     both = joined.select("sex", "t").unionByName(joined.select(F.lit("All").alias("sex"), "t"))
     quantiles = [(1, 0.01), (10, 0.1), (50, 0.5), (90, 0.9), (99, 0.99)]
     return both.groupBy("sex").agg(
-        F.count("*").alias("n"), rounded(F.avg("t"), 4).alias("mean"), *(rounded(F.percentile("t", q), 4).alias(f"p{p}") for p, q in quantiles)
+        F.count("*").alias("n"), rounded(F.avg("t"), 4).alias("mean"), *(rounded(F.percentile("t", q), 6).alias(f"p{p}") for p, q in quantiles)
     )
 
 
@@ -114,7 +114,7 @@ def mode_country(cells: DataFrame, athletes: DataFrame, races: DataFrame) -> Dat
 
 
 def span_ecdf(cells: DataFrame) -> DataFrame:
-    """Career spans by race-count stratum: size, share under half a year and two years, median."""
+    """Career spans by race-count stratum: size, share under half a year and five years, median."""
     per = cells.groupBy("athlete_id").agg(F.count("*").alias("n"), (F.max("a_n") - F.min("a_n")).alias("span"))
     stratum = F.when(F.col("n") < 30, "under 30").when(F.col("n") < 40, "30-39").otherwise("40 and more")
     return per.groupBy(stratum.alias("stratum")).agg(
@@ -152,3 +152,10 @@ def ordinal_rank(values: DataFrame, column: str, key: str, name: str, partition:
     """Ranks 1, 2, 3, ...; ties by key.  Without a partition the table must be one row per race."""
     order = F.desc(column) if descending else F.asc(column)
     return values.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(order, key)))
+
+
+def slice_sizes(cells: DataFrame, key: str) -> DataFrame:
+    """n_cells, n_athletes, n_races of each run of keyed cells (athlete_id and race_id are structs with the run)."""
+    return cells.groupBy(F.col("athlete_id.run").alias(key)).agg(
+        F.count("*").alias("n_cells"), F.count_distinct("athlete_id.id").alias("n_athletes"), F.count_distinct("race_id.id").alias("n_races")
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import hash_uniform, log_density, rounded
+from paceline.operators import engine
 from paceline.operators.model import refits
 
 
@@ -18,13 +19,29 @@ def folds(cells: DataFrame, k: int, seed: int) -> DataFrame:
     return cells.withColumn("fold", ((F.row_number().over(order) - 1 + start) % k).cast("long"))
 
 
-def held_out(test: DataFrame, u: DataFrame, v: DataFrame, sigma2: float, nu: float = math.inf) -> DataFrame:
-    """Log density and squared error of held-out cells; those without a fitted athlete or race are counted apart."""
-    scored = test.join(u, "athlete_id", "left").join(v, "race_id", "left")
-    r = F.col("y") - F.col("u") - F.col("v")
-    return scored.agg(
-        F.count(r).alias("n_scored"), F.count_if(r.isNull()).alias("n_orphans"),
-        rounded(F.sum(log_density(r, sigma2, nu)), 4).alias("logdensity"), rounded(F.sqrt(F.avg(r * r))).alias("rmse"),
+def fold_fits(marked: DataFrame, k: int, config: engine.EngineConfig) -> engine.Fits:
+    """For each fold a fit of the cells of the others (run_id is the fold left out), all in the same jobs; with several candidate
+    ``nu`` in the configuration, run_id is candidate * k + fold."""
+    candidates = config.nu if isinstance(config.nu, tuple) else (config.nu,)
+    each = [(F.col("fold") != f).cast("double") for f in range(k)]
+    config = replace(config, nu=tuple(nu for nu in candidates for _ in range(k)))
+    return engine.fit_runs(marked.withColumn("g", F.array(*(each * len(candidates)))), list(range(k * len(candidates))), config)
+
+
+def held_out_residuals(marked: DataFrame, fits: engine.Fits, k: int, candidates: int = 1) -> DataFrame:
+    """run_id, fold, s2 and r (null for orphans) of every cell under the fits that did not see it."""
+    runs = F.explode(F.array(*((F.col("fold") + c * k).cast("long") for c in range(candidates))))
+    each = marked.select("athlete_id", "race_id", "y", "fold", runs.alias("run_id"))
+    scored = each.join(fits.athletes.select("run_id", "athlete_id", "u"), ["run_id", "athlete_id"], "left").join(fits.races, ["run_id", "race_id"], "left")
+    scales = fits.scales.select("run_id", F.col("sigma2").alias("s2"))
+    return scored.join(F.broadcast(scales), "run_id").select("run_id", "fold", "s2", (F.col("y") - F.col("u") - F.col("v")).alias("r"))  # one row a run
+
+
+def held_out(marked: DataFrame, fits: engine.Fits, nu: float, k: int = 5) -> DataFrame:
+    """Log density and squared error of each fold; cells without a fitted athlete or race are counted apart."""
+    return held_out_residuals(marked, fits, k).groupBy("fold").agg(
+        F.count("r").alias("n_scored"), F.count_if(F.col("r").isNull()).alias("n_orphans"),
+        rounded(F.sum(log_density(F.col("r"), F.col("s2"), nu)), 4).alias("logdensity"), rounded(F.sqrt(F.avg(F.col("r") ** 2))).alias("rmse"),
     )
 
 
@@ -36,6 +53,13 @@ def bootstrap_weights(athletes: DataFrame, runs: int, seed: int) -> DataFrame:
     return raw.join(F.broadcast(means), "run_id").select("run_id", "athlete_id", (F.col("e") / F.col("mean_e")).alias("g"))  # one row a run
 
 
+def with_weights(cells: DataFrame, runs: int, seed: int) -> DataFrame:
+    """``cells`` with g: the array of their athlete's weight in each run."""
+    per = bootstrap_weights(cells.select("athlete_id").distinct(), runs, seed).groupBy("athlete_id")
+    weights = per.agg(F.array_sort(F.collect_list(F.struct("run_id", "g"))).alias("g"))  # one value a run
+    return cells.join(weights.select("athlete_id", F.transform("g", lambda x: x["g"]).alias("g")), "athlete_id")
+
+
 def bootstrap_races(cells: DataFrame, u: DataFrame, weights: DataFrame) -> DataFrame:
     """run_id, race_id, v: one weighted race update for all runs at once, centred within each run.
 
@@ -96,6 +120,34 @@ def permuted(residuals: DataFrame, draws: int, seed: int) -> DataFrame:
     return placed.drop("to").join(moved, ["k", "athlete_id", "pos"]).select("k", "athlete_id", "race_id", "a_til", F.col("r_new").alias("r"))
 
 
+def year_free_correlation(values: DataFrame, by: str) -> DataFrame:
+    """t by group: correlation of delta and v once a straight line in year is taken from both."""
+    per = Window.partitionBy(by)  # a value a race
+    rest = lambda c: F.col(c) - F.regr_intercept(c, "year").over(per) - F.regr_slope(c, "year").over(per) * F.col("year")
+    return values.select(by, rest("delta").alias("x"), rest("v").alias("z")).groupBy(by).agg(F.corr("x", "z").alias("t"))
+
+
+def permutation_null(residuals: DataFrame, races: DataFrame, draws: int, seed: int) -> DataFrame:
+    """One row: the observed correlation of leave-one-out drift prices with difficulty, freed of year, and mean, sd, z, one- and
+    two-sided p (with the +1 correction) over permutations within athletes.  ``races`` has race_id, v and year."""
+    mine = residuals.select(F.lit(0).cast("long").alias("k"), "athlete_id", "race_id", "a_til", "r")
+    every = mine.unionByName(permuted(residuals, draws, seed))
+    per = Window.partitionBy("k", "athlete_id")
+    xy, xx = F.col("a_til") * F.col("r"), F.col("a_til") * F.col("a_til")
+    left = every.withColumn("sxy", F.sum(xy).over(per) - xy).withColumn("sxx", F.sum(xx).over(per) - xx)
+    slope = F.when(F.col("sxx") > 1e-9, F.col("sxy") / F.col("sxx"))
+    deltas = left.groupBy("k", "race_id").agg(F.coalesce(F.avg(slope * F.col("a_til")), F.lit(0.0)).alias("delta"))
+    t = year_free_correlation(deltas.join(races, "race_id"), "k")
+    seen = t.filter("k = 0").select(F.col("t").alias("o"))
+    both = t.filter("k > 0").crossJoin(F.broadcast(seen))  # one row
+    n = F.count("*")
+    return both.agg(
+        n.alias("n_draws"), rounded(F.first("o"), 5).alias("t_obs"), rounded(F.avg("t"), 5).alias("null_mean"), rounded(F.stddev_samp("t"), 5).alias("null_sd"),
+        rounded((F.first("o") - F.avg("t")) / F.stddev_samp("t"), 3).alias("z"), rounded((1 + F.count_if(F.col("t") >= F.col("o"))) / (n + 1)).alias("p_one"),
+        rounded((1 + F.count_if(F.abs("t") >= F.abs("o"))) / (n + 1)).alias("p_two"),
+    )
+
+
 def partial_correlation(values: DataFrame) -> DataFrame:
     """Correlation of x and y before and after a straight line in year is taken from both."""
     line = values.agg(

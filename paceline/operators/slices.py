@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.sources import adapter
+from paceline.sources.scratch import discard, written
 
 
 @dataclass(frozen=True)
@@ -89,13 +89,8 @@ def finishes(athletes: DataFrame, races: DataFrame, results: DataFrame, spec: Sl
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder that the cluster names; plain caching where none is named."""
-    path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        return df.cache()
-    path = f"{path.rstrip('/')}/paceline-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage by a table in the shared folder."""
+    return written(df, "cut")
 
 
 def prune_pass(cells: DataFrame, spec: SliceSpec) -> DataFrame:
@@ -109,30 +104,56 @@ def prune_pass(cells: DataFrame, spec: SliceSpec) -> DataFrame:
     return cells.withColumn("_n", F.count("*").over(by_race)).filter(F.col("_n") >= spec.min_field).drop("_n")
 
 
-def prune(cells: DataFrame, spec: SliceSpec, max_passes: int = 50) -> DataFrame:
-    """Passes until nothing goes; each cuts its lineage."""
-    n = -1
-    for _ in range(max_passes):
-        cells = cut(prune_pass(cells, spec))
-        left = cells.count()
-        if left == n:
-            break
-        n = left
-    return cells
+def prune(cells: DataFrame, spec: SliceSpec) -> DataFrame:
+    """Passes of ``prune_pass`` until nothing goes.
+
+    Cells stay where they are: a pass counts those of the athletes and races still kept, combined before the shuffle, and writes
+    the two shorter lists.  The lists only shrink, so that the passes end.
+    """
+    base, athletes, races, sizes = cut(cells), None, None, None
+    while True:
+        left = base if athletes is None else base.join(athletes, "athlete_id", "left_semi").join(races, "race_id", "left_semi")
+        banded = spec.min_age is not None or spec.max_age is not None
+        age = F.year(F.min("date")) - F.min("yob") if banded else F.lit(None).cast("double")
+        per = left.groupBy("athlete_id").agg(F.count("*").alias("n"), age.alias("age"))
+        lo, hi = (-math.inf if spec.min_age is None else spec.min_age), (math.inf if spec.max_age is None else spec.max_age)
+        mine = cut(per.filter((F.col("n") >= spec.min_race_count) & (F.col("age").isNull() | F.col("age").between(lo, hi))).select("athlete_id"))
+        fields = left.join(mine, "athlete_id", "left_semi").groupBy("race_id").agg(F.count("*").alias("n"))
+        theirs = cut(fields.filter(F.col("n") >= spec.min_field).select("race_id"))
+        now = mine.count(), theirs.count()
+        if now == sizes:
+            return left
+        if athletes is not None:
+            discard(athletes, races)
+        athletes, races, sizes = mine, theirs, now
 
 
 def race_components(cells: DataFrame) -> DataFrame:
-    """race_id, comp: components of the athlete-race graph, by races linked through an athlete's smallest race."""
-    hub = Window.partitionBy("athlete_id")
-    links = cut(cells.select("race_id", F.min("race_id").over(hub).alias("hub")).distinct())
-    both = links.union(links.select("hub", "race_id")).distinct()
+    """race_id, comp: components of the athlete-race graph, by races linked through an athlete's smallest race.
+
+    Labels spread to neighbours and then jump to the label of the label, so that long chains take few rounds.
+    """
+    hubs = cells.groupBy("athlete_id").agg(F.min("race_id").alias("hub"))
+    links = cut(cells.select("athlete_id", "race_id").join(hubs, "athlete_id").select("race_id", "hub").distinct())
+    both = cut(links.union(links.select("hub", "race_id")).distinct())
     labels = cut(both.groupBy("race_id").agg(F.min("hub").alias("comp")))
+    discard(links)
     while True:
         near = both.join(labels.select(F.col("race_id").alias("hub"), F.col("comp").alias("c")), "hub")
-        new = cut(near.groupBy("race_id").agg(F.min("c").alias("c")).join(labels, "race_id").select("race_id", F.least("c", "comp").alias("comp"), F.col("comp").alias("old")))
-        labels = new.select("race_id", "comp")
+        least = near.groupBy("race_id").agg(F.min("c").alias("c"))
+        lower = cut(labels.join(least, "race_id").select("race_id", F.least("c", "comp").alias("comp"), F.col("comp").alias("old")))
+        jump = lower.select(F.col("race_id").alias("comp"), F.col("comp").alias("up"))
+        new = cut(lower.join(jump, "comp", "left").select("race_id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"))
+        discard(labels, lower)
+        labels = new
         if new.filter("comp <> old").isEmpty():
-            return labels
+            discard(both)
+            return new.select("race_id", "comp")
+
+
+def is_connected(cells: DataFrame) -> bool:
+    """Whether all races hang together."""
+    return race_components(cells).select("comp").distinct().limit(2).count() <= 1
 
 
 def giant_component(cells: DataFrame) -> DataFrame:
@@ -167,16 +188,36 @@ def career(cells: DataFrame, spec: SliceSpec) -> DataFrame:
     )
 
 
+def subset(cells: DataFrame, keep: Column) -> DataFrame:
+    """The giant component of the cells that are kept; career ages are those of the whole."""
+    return giant_component(cut(cells.filter(keep)))
+
+
 def load_slice(spark: SparkSession, sf_dir: str, spec: SliceSpec = SliceSpec()) -> DataFrame:
     """The whole preparation; an empty slice is an error."""
     cells = finishes(adapter.athletes(spark, sf_dir), adapter.competitions(spark, sf_dir), adapter.results(spark, sf_dir), spec)
     cells = prune(cells, spec)
+    cells = cut(cells)
     if cells.isEmpty():
         raise ValueError(f"slice {spec.key} is empty")
     return career(giant_component(cells), spec)
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Distinct ids of a column with their 0-based rank; one row for each id, never for each cell."""
-    ids = df.select(column).distinct()
-    return ids.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(name))
+    """Distinct ids of a column with their 0-based rank.
+
+    Ids are dealt by range; a rank is the place in the part and the ids of the parts before, of which there are as many as shuffle
+    partitions.
+    """
+    dealt = cut(df.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return dealt.join(parts, "_part").select(column, (F.col("_before") + place).cast("long").alias(name))
+
+
+def first_seen_index(df: DataFrame, column: str, order: str, name: str) -> DataFrame:
+    """Distinct ids with their 0-based place by first appearance (smallest ``order``, then the id)."""
+    first = df.groupBy(column).agg(F.min(order).alias("_first")).withColumn("_key", F.struct("_first", column))
+    ranked = dense_index(first, "_key", name)
+    return ranked.select(F.col(f"_key.{column}").alias(column), name)

@@ -10,29 +10,34 @@ from pyspark.sql import functions as F
 from paceline.functions.scalars import horner, rounded
 from paceline.functions.scalars import hash_uniform_sql as hashed
 from paceline.operators import curves, inference, model, regression, selection, sensitivity, slices
-from paceline.plans.queries import _BOOT, _FIN, _FITTED, _FOLDS, _RESIDUALS, _SLICE, _X, SEED, SPEC, _boot, _fitted, _r, _residuals, query
+from paceline.plans.queries import _BOOT, _FIN, _FITTED, _FOLDS, _RESIDUALS, _SLICE, _X, NU, SEED, SPEC, _boot, _fitted, _r, _residuals, _sigma2, fit_sql, query
 from paceline.sources import adapter, tables
 
 NUS = [math.inf, 15.0, 8.0, 4.0]
 
 
-def _sql_density(nu: float, s2: float) -> str:
+def _sql_density(nu: float, s2: float | str) -> str:
     if math.isinf(nu):
         return f"-0.5 * (ln(2 * pi()) + ln({s2}) + r * r / {s2})"
     const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)
     return f"{const!r} - 0.5 * ln({s2}) - {(nu + 1) / 2} * ln(1 + r * r / ({nu} * {s2}))"
 
 
-_SCORED = f"""{_SLICE}, f AS ({_FOLDS}), tr AS (SELECT * FROM f, (SELECT unnest(range(5))::BIGINT out_) WHERE fold <> out_),
-tu AS (SELECT out_, athlete_id, avg(y) u FROM tr GROUP BY 1, 2),
-tv AS (SELECT out_, race_id, v - avg(v) OVER (PARTITION BY out_) v FROM (SELECT out_, race_id, avg(y - u) v FROM tr JOIN tu USING (out_, athlete_id) GROUP BY 1, 2)),
-s AS (SELECT out_ fold, y - u - v r FROM (SELECT fold out_, athlete_id, race_id, y FROM f) JOIN tu USING (out_, athlete_id) JOIN tv USING (out_, race_id)),
-per AS ({" UNION ALL ".join(f"SELECT '{'inf' if math.isinf(n) else f'{n:g}'}' nu, fold, count(*) n, sqrt(avg(r * r)) rmse, sum({_sql_density(n, 0.09)}) l FROM s GROUP BY fold" for n in NUS)}),
+_NU_OF = "CASE " + " ".join(f"WHEN run_id // 5 = {i} THEN {'1' if math.isinf(n) else f'{n + 1} / ({n} + r * r / s2)'}" for i, n in enumerate(NUS)) + " END"
+_SCORED = f"""RECURSIVE {_SLICE}, f AS MATERIALIZED ({_FOLDS}),
+tr AS MATERIALIZED (SELECT c * 5 + out_ run_id, athlete_id, race_id, y, 1.0::DOUBLE g FROM f, (SELECT unnest(range(5))::BIGINT out_), (SELECT unnest(range({len(NUS)}))::BIGINT c) WHERE fold <> out_),
+{fit_sql("tr", "cv", _NU_OF, 40)},
+s AS MATERIALIZED (SELECT s.run_id, f.fold, s2, y - u - v r FROM f JOIN (SELECT run_id, any_value(s2) s2 FROM cv GROUP BY 1) s ON s.run_id % 5 = fold
+  JOIN (SELECT run_id, id athlete_id, x u FROM cv WHERE k = 'u') a ON a.run_id = s.run_id AND a.athlete_id = f.athlete_id
+  JOIN (SELECT run_id, id race_id, x v FROM cv WHERE k = 'v') b ON b.run_id = s.run_id AND b.race_id = f.race_id),
+per AS ({" UNION ALL ".join(f"SELECT '{'inf' if math.isinf(n) else f'{n:g}'}' nu, fold, count(*) n, sqrt(avg(r * r)) rmse, sum({_sql_density(n, 's2')}) l FROM s WHERE run_id // 5 = {i} GROUP BY fold" for i, n in enumerate(NUS))}),
 roll AS (SELECT nu, sum(n)::BIGINT n, sum(l) total, avg(l / n) mean, stddev_samp(l / n) / sqrt(count(*)) se, sqrt(sum(rmse * rmse * n) / sum(n)) rmse FROM per GROUP BY nu)"""
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return slices.cut(selection.cross_validate(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED), 5, NUS, 0.09))
+    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
+    key = (tables.core_fingerprint(spark, d), SPEC.key, tuple(map(str, NUS)), SEED)
+    return tables.cached(spark, "nu-scores", key, lambda: selection.cross_validate(marked, 5, NUS))
 
 
 @query(
@@ -99,7 +104,7 @@ def rs_kde(spark: SparkSession, d: str) -> DataFrame:
     return curves.kernel_density(v, "v", curves.grid(spark, -0.3, 0.3, 21)).select("k", rounded(F.col("density")).alias("density"))
 
 
-_SLOPES = f"""{_RESIDUALS}, slopes AS (SELECT athlete_id, count(*) n, sum(a_til * r) / 0.09 / (sum(a_til * a_til) / 0.09 + 1 / 1e-4) d FROM res GROUP BY athlete_id),
+_SLOPES = f"""{_RESIDUALS}, slopes AS (SELECT athlete_id, count(*) n, sum(a_til * r) / s2 / (sum(a_til * a_til) / s2 + 1 / 1e-4) d FROM res, scale GROUP BY athlete_id, s2),
 aged AS (SELECT s.*, a_e FROM slopes s JOIN (SELECT DISTINCT athlete_id, a_e FROM cells) USING (athlete_id)),
 edges AS (SELECT list_sort(list_distinct([{", ".join(f"quantile_cont(a_e, {i / 5})" for i in range(6))}])) e FROM aged),
 binned AS (SELECT *, CASE WHEN a_e IS NOT NULL THEN least(len(list_filter(e, lambda q: q <= a_e)), len(e) - 1) - 1 END::BIGINT bin FROM aged, edges)"""
@@ -107,7 +112,7 @@ binned AS (SELECT *, CASE WHEN a_e IS NOT NULL THEN least(len(list_filter(e, lam
 
 @query(f"SELECT bin, count(*) n, {_r('avg(d)', 9)} mean_d FROM binned GROUP BY bin", _SLOPES)
 def rs_entry_age_bins(spark: SparkSession, d: str) -> DataFrame:
-    slopes = inference.drift_slopes(_residuals(spark, d), 1e-4, 0.09)
+    slopes = inference.drift_slopes(_residuals(spark, d), 1e-4, _sigma2(spark, d))
     ages = tables.cached_slice(spark, d, SPEC).select("athlete_id", "a_e").distinct()
     binned = curves.quantile_bins(slices.cut(slopes.join(ages, "athlete_id")), "a_e", 5)
     return binned.groupBy("bin").agg(F.count("*").alias("n"), rounded(F.avg("d"), 9).alias("mean_d"))
@@ -116,17 +121,17 @@ def rs_entry_age_bins(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT race_id, {_r('avg(d * a_til)', 9)} delta FROM res JOIN slopes USING (athlete_id) GROUP BY race_id", _SLOPES)
 def rs_delta_eb(spark: SparkSession, d: str) -> DataFrame:
     rest = slices.cut(_residuals(spark, d))
-    slopes = inference.drift_slopes(rest, 1e-4, 0.09)
+    slopes = inference.drift_slopes(rest, 1e-4, _sigma2(spark, d))
     return rest.join(slopes, "athlete_id").groupBy("race_id").agg(rounded(F.avg(F.col("d") * F.col("a_til")), 9).alias("delta"))
 
 
 @query(
     f"SELECT run_id, {_r('sum(g * d) / sum(g)', 9)} mean_d, {_r('sqrt(sum(g * d * d) / sum(g) - pow(sum(g * d) / sum(g), 2))', 7)} sd_d FROM slopes JOIN g USING (athlete_id) GROUP BY run_id",
     f"""{_BOOT}, res AS (SELECT athlete_id, race_id, a_n - avg(a_n) OVER (PARTITION BY athlete_id) a_til, y - u - v r FROM cells JOIN u2 USING (athlete_id) JOIN v2 USING (race_id)),
-slopes AS (SELECT athlete_id, sum(a_til * r) / 0.09 / (sum(a_til * a_til) / 0.09 + 1 / 1e-4) d FROM res GROUP BY athlete_id)""",
+slopes AS (SELECT athlete_id, sum(a_til * r) / s2 / (sum(a_til * a_til) / s2 + 1 / 1e-4) d FROM res, scale GROUP BY athlete_id, s2)""",
 )
 def rs_drift_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    slopes = slices.cut(inference.drift_slopes(_residuals(spark, d), 1e-4, 0.09))
+    slopes = slices.cut(inference.drift_slopes(_residuals(spark, d), 1e-4, _sigma2(spark, d)))
     drawn = slopes.join(inference.bootstrap_weights(slopes, 12, SEED), "athlete_id")
     mean = F.sum(F.col("g") * F.col("d")) / F.sum("g")
     square = F.sum(F.col("g") * F.col("d") * F.col("d")) / F.sum("g")
@@ -260,9 +265,14 @@ def sn_join(spark: SparkSession, d: str) -> DataFrame:
     return sensitivity.join_labels(cells, athletes, 0.05, SEED)
 
 
-_LEFT = f"""{_FITTED}, runs AS (SELECT 'NATION_' || unnest([1, 2, 3]) left_out), kept AS (SELECT left_out, athlete_id, race_id, y FROM cells JOIN athletes USING (athlete_id), runs WHERE country <> left_out),
-ku AS (SELECT left_out, athlete_id, avg(y) u FROM kept GROUP BY 1, 2),
-kv AS (SELECT left_out, race_id, v - avg(v) OVER (PARTITION BY left_out) v FROM (SELECT left_out, race_id, avg(y - u) v FROM kept JOIN ku USING (left_out, athlete_id) GROUP BY 1, 2))"""
+_LEFT_PASS = """k{n} AS (SELECT * FROM (SELECT * FROM k{m} QUALIFY count(*) OVER (PARTITION BY left_out, athlete_id) >= 25)
+  QUALIFY count(*) OVER (PARTITION BY left_out, race_id) >= 60)"""
+_LEFT = f"""{_FITTED}, runs AS (SELECT country left_out, row_number() OVER (ORDER BY country)::BIGINT run_id FROM (SELECT DISTINCT country FROM cells JOIN athletes USING (athlete_id) WHERE country IS NOT NULL)),
+k0 AS (SELECT left_out, run_id, athlete_id, race_id, ln(t) y FROM p0 JOIN athletes USING (athlete_id), runs WHERE country IS DISTINCT FROM left_out),
+{", ".join(_LEFT_PASS.format(n=n, m=n - 1) for n in range(1, 16))},
+kept AS MATERIALIZED (SELECT run_id, athlete_id, race_id, y, 1.0::DOUBLE g FROM k15),
+{fit_sql("kept", "left_fit")},
+kv AS (SELECT left_out, id race_id, x v FROM left_fit JOIN runs USING (run_id) WHERE k = 'v')"""
 
 
 @query(
@@ -270,20 +280,12 @@ kv AS (SELECT left_out, race_id, v - avg(v) OVER (PARTITION BY left_out) v FROM
     _LEFT,
 )
 def sn_leave_country_out(spark: SparkSession, d: str) -> DataFrame:
+    """Every country of the slice's athletes in turn left out of the whole preparation and fit, against the fit with all."""
     cells, _, v = _fitted(spark, d)
-    people = adapter.athletes(spark, d).select("athlete_id", "country")
-    runs = spark.range(1, 4).select(F.concat(F.lit("NATION_"), F.col("id").cast("string")).alias("country"))
-    return sensitivity.leave_out_summary(sensitivity.leave_out(cells.join(people, "athlete_id"), "country", runs), slices.cut(v))
-
-
-@query()
-def sn_leave_country_out_refit(spark: SparkSession, d: str) -> DataFrame:
-    """Every country of the slice's athletes in turn left out of the whole preparation and fit, against the converged fit; no SQL."""
-    cells, people = tables.cached_slice(spark, d, SPEC), adapter.athletes(spark, d)
+    people = adapter.athletes(spark, d)
     countries = slices.cut(cells.join(people, "athlete_id").select("country").dropna().distinct())
-    base = model.refits(cells.withColumns({"run_id": F.lit(0), "g": F.lit(1.0)}))
     timed = slices.finishes(people, adapter.competitions(spark, d), adapter.results(spark, d), SPEC).join(people.select("athlete_id", "country"), "athlete_id")
-    return sensitivity.leave_out_summary(sensitivity.leave_out_refits(timed, "country", countries, SPEC, base), base)
+    return sensitivity.leave_out_summary(sensitivity.leave_out_refits(timed, "country", countries, SPEC, v, NU), v)
 
 
 _U = hashed(SEED, "athlete_id", "race_id")
@@ -327,12 +329,12 @@ _OMEGAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2]
 
 
 @query(
-    f"""SELECT omega2, {_r('sum(-0.5 * ln(1 + omega2 * sxx / 0.09) + 0.5 * pow(sxy / 0.09, 2) / (sxx / 0.09 + 1 / omega2))', 4)} loglik
-FROM (SELECT sum(a_til * r) sxy, sum(a_til * a_til) sxx FROM res GROUP BY athlete_id), (SELECT unnest([{", ".join(f"{o!r}::DOUBLE" for o in _OMEGAS)}]) omega2) GROUP BY omega2""",
+    f"""SELECT omega2, {_r('sum(-0.5 * ln(1 + omega2 * sxx / s2) + 0.5 * pow(sxy / s2, 2) / (sxx / s2 + 1 / omega2))', 4)} loglik
+FROM scale, (SELECT sum(a_til * r) sxy, sum(a_til * a_til) sxx FROM res GROUP BY athlete_id), (SELECT unnest([{", ".join(f"{o!r}::DOUBLE" for o in _OMEGAS)}]) omega2) GROUP BY omega2""",
     _RESIDUALS,
 )
 def rs_omega_profile(spark: SparkSession, d: str) -> DataFrame:
-    return inference.omega_profile(_residuals(spark, d), _OMEGAS, 0.09)
+    return inference.omega_profile(_residuals(spark, d), _OMEGAS, _sigma2(spark, d))
 
 
 def _weather(spark: SparkSession, d: str) -> DataFrame:
@@ -353,10 +355,15 @@ def rg_random_intercept(spark: SparkSession, d: str) -> DataFrame:
     return regression.as_table(data, regression.random_intercept(data, "v", ["temp", "gain"], "series_key"), ["temp", "gain"])
 
 
+#: Runs of each operation and rate in the registered query; a parameter of the operator, 50 in the published study.
+MISMATCH_RUNS = 2
+
+
 @query()
 def sn_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    """Refits under broken, joined and both kinds of wrong identities, at the reference's rates and number of runs."""
+    """Refits under broken, joined and both kinds of wrong identities, at the published rates, all in one plan."""
     people = adapter.athletes(spark, d)
-    cells = tables.cached_slice(spark, d, SPEC).join(people.select("athlete_id", slices.yob_mid().alias("yob")), "athlete_id")
+    cells, _, v = _fitted(spark, d)
+    cells = cells.join(people.select("athlete_id", slices.yob_mid().alias("yob")), "athlete_id")
     rates = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
-    return sensitivity.mismatch_sweep(cells, people, ["break", "join", "both"], rates, 50, SEED, SPEC)
+    return sensitivity.mismatch_sweep(cells, people, ["break", "join", "both"], rates, MISMATCH_RUNS, SEED, SPEC, v, NU)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import scalars
 from paceline.functions.scalars import hash_uniform_sql, rounded
-from paceline.operators import describe, inference, model, ranking, regression, slices
+from paceline.operators import describe, engine, inference, model, ranking, regression, slices
 from paceline.operators.slices import SliceSpec
 from paceline.sources import adapter, tables
 
@@ -24,20 +25,51 @@ _PASS = """p{n} AS (SELECT * FROM (SELECT * FROM p{m} QUALIFY count(*) OVER (PAR
 _FIN = """p0 AS (SELECT r.athlete_id, r.race_id, coalesce(chip_time_sec, gun_time_sec) t, c."date",
   coalesce((yob_min + yob_max) / 2, yob_min, yob_max)::DOUBLE yob FROM results r JOIN athletes a USING (athlete_id)
   JOIN competitions c USING (race_id) WHERE coalesce(chip_time_sec, gun_time_sec) BETWEEN 7100 AND 36000)"""
-_CELLS = """cells AS (SELECT athlete_id, race_id, "date", t, ln(t) y, date_diff('day', first_, "date") / 365.25 a_n,
+_CELLS = """cells AS MATERIALIZED (SELECT athlete_id, race_id, "date", t, ln(t) y, date_diff('day', first_, "date") / 365.25 a_n,
   (year(first_) - yob)::DOUBLE a_e FROM (SELECT *, min("date") OVER (PARTITION BY athlete_id) first_ FROM p5))"""
 _SWEEP = """v{n} AS (SELECT race_id, v - avg(v) OVER () v FROM (SELECT race_id, avg(y - u) v FROM cells JOIN u{m} USING (athlete_id) GROUP BY race_id)),
 u{n} AS (SELECT athlete_id, avg(y - v) u FROM cells JOIN v{n} USING (race_id) GROUP BY athlete_id)"""
 _SLICE = ",\n".join([adapter.CTES, _FIN, *(_PASS.format(n=n, m=n - 1) for n in range(1, 6)), _CELLS])
-_FITTED = ",\n".join([_SLICE, "u0 AS (SELECT athlete_id, avg(y) u FROM cells GROUP BY athlete_id)", *(_SWEEP.format(n=n, m=n - 1) for n in (1, 2))])
+#: Two Gaussian sweeps from the mean start, for the checks of single updates.
+_SWEPT = ",\n".join([_SLICE, "u0 AS (SELECT athlete_id, avg(y) u FROM cells GROUP BY athlete_id)", *(_SWEEP.format(n=n, m=n - 1) for n in (1, 2))])
+NU = 8.0
+_STUDENT = "9 / (8 + r * r / s2)"
+
+
+def fit_sql(cells: str, out: str, weight: str = _STUDENT, sweeps: int = 32) -> str:
+    """DuckDB: reweighted sweeps of all runs of ``cells`` (run_id, athlete_id, race_id, y, g) until far below rounding, as table
+    ``out``: k ('u' or 'v'), run_id, id, x and the scale s2."""
+    return f"""{out}_ AS (
+SELECT 0 it, 'u' k, run_id, athlete_id id, sum(g * y) / sum(g) x, any_value(s) s2 FROM {cells} JOIN (SELECT run_id, var_pop(y) s FROM {cells} GROUP BY 1) USING (run_id) GROUP BY 2, 3, 4
+UNION ALL SELECT 0, 'v', run_id, race_id, 0.0, any_value(s) FROM {cells} JOIN (SELECT run_id, var_pop(y) s FROM {cells} GROUP BY 1) USING (run_id) GROUP BY 2, 3, 4
+UNION ALL (
+WITH e AS (SELECT *, {weight} w FROM (SELECT c.*, a.x u0, a.s2, c.y - a.x - b.x r, a.it it FROM {cells} c
+    JOIN {out}_ a ON a.k = 'u' AND a.run_id = c.run_id AND a.id = c.athlete_id
+    JOIN {out}_ b ON b.k = 'v' AND b.run_id = c.run_id AND b.id = c.race_id WHERE a.it < {sweeps})),
+  nv AS (SELECT run_id, race_id, x - avg(x) OVER (PARTITION BY run_id) v FROM (SELECT run_id, race_id, sum(g * w * (y - u0)) / sum(g * w) x FROM e GROUP BY 1, 2)),
+  nu AS (SELECT run_id, athlete_id, sum(g * w * (y - v)) / sum(g * w) u FROM e JOIN nv USING (run_id, race_id) GROUP BY 1, 2),
+  ns AS (SELECT run_id, sum(g * w * (y - u - v) ** 2) / sum(g) s2, any_value(it) + 1 it
+    FROM e JOIN nv USING (run_id, race_id) JOIN nu USING (run_id, athlete_id) GROUP BY 1)
+SELECT it, 'u', run_id, athlete_id, u, s2 FROM nu JOIN ns USING (run_id)
+UNION ALL SELECT it, 'v', run_id, race_id, v, s2 FROM nv JOIN ns USING (run_id))),
+{out} AS MATERIALIZED (SELECT k, run_id, id, x, s2 FROM {out}_ WHERE it = {sweeps})"""
+
+
+#: The converged Student-t fit: v2 (race_id, v), u2 (athlete_id, u), scale (s2).
+_FITTED = f"""RECURSIVE {_SLICE},
+one AS MATERIALIZED (SELECT 0::BIGINT run_id, athlete_id, race_id, y, 1.0::DOUBLE g FROM cells),
+{fit_sql("one", "fit")},
+u2 AS (SELECT id athlete_id, x u FROM fit WHERE k = 'u'), v2 AS (SELECT id race_id, x v FROM fit WHERE k = 'v'), scale AS (SELECT any_value(s2) s2 FROM fit)"""
 _E = hash_uniform_sql(SEED, "athlete_id", "run_id")
+#: Replicates refitted to convergence under athlete weights: boot (run_id, race_id, v).
 _BOOT = f"""{_FITTED},
 e AS (SELECT run_id, athlete_id, -ln({_E}) e FROM (SELECT DISTINCT athlete_id FROM cells), (SELECT unnest(range(1, {RUNS + 1}))::BIGINT run_id)),
-g AS (SELECT run_id, athlete_id, e / avg(e) OVER (PARTITION BY run_id) g FROM e),
-boot AS (SELECT run_id, race_id, v - avg(v) OVER (PARTITION BY run_id) v FROM (SELECT run_id, race_id, sum(g * (y - u)) / sum(g) v
-  FROM cells JOIN u2 USING (athlete_id) JOIN g USING (athlete_id) GROUP BY 1, 2))"""
+g AS MATERIALIZED (SELECT run_id, athlete_id, e / avg(e) OVER (PARTITION BY run_id) g FROM e),
+many AS MATERIALIZED (SELECT run_id, athlete_id, race_id, y, g FROM cells JOIN g USING (athlete_id)),
+{fit_sql("many", "refit")},
+boot AS (SELECT run_id, id race_id, x v FROM refit WHERE k = 'v')"""
 _RESIDUALS = f"""{_FITTED},
-res AS (SELECT athlete_id, race_id, a_n - avg(a_n) OVER (PARTITION BY athlete_id) a_til, y - u - v r
+res AS MATERIALIZED (SELECT athlete_id, race_id, a_n - avg(a_n) OVER (PARTITION BY athlete_id) a_til, y - u - v r
   FROM cells JOIN u2 USING (athlete_id) JOIN v2 USING (race_id))"""
 
 
@@ -61,18 +93,48 @@ def _core(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return adapter.athletes(spark, d), adapter.competitions(spark, d), adapter.results(spark, d)
 
 
-def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, u, v) after two sweeps."""
+def _swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, u, v) after two Gaussian sweeps."""
     cells = tables.cached_slice(spark, d, SPEC)
     return cells, *model.sweeps(cells, 2)
 
 
+def _fit_tables(spark: SparkSession, d: str, kind: str, key: tuple, fit: Callable[[DataFrame], engine.Fits]) -> dict[str, DataFrame]:
+    """races, athletes and scales of fits to the slice, by content key; made once."""
+    made: list[engine.Fits] = []
+
+    def of(name: str) -> DataFrame:
+        if not made:
+            made.append(fit(tables.cached_slice(spark, d, SPEC)))
+        return getattr(made[0], name)
+
+    whole = (tables.core_fingerprint(spark, d), SPEC.key, *key)
+    return {n: tables.cached(spark, f"{kind}-{n}", whole, lambda n=n: of(n)) for n in ("races", "athletes", "scales")}
+
+
+def _point(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return _fit_tables(spark, d, "fit", (NU,), lambda cells: engine.fit_runs(cells, config=engine.EngineConfig(nu=NU)))
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, u, v) of the converged Student-t fit."""
+    fit = _point(spark, d)
+    return tables.cached_slice(spark, d, SPEC), fit["athletes"].select("athlete_id", "u"), fit["races"].select("race_id", "v")
+
+
+def _sigma2(spark: SparkSession, d: str) -> float:
+    return _point(spark, d)["scales"].first()["sigma2"]
+
+
 def _boot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(v, replicates)."""
-    cells, u, v = _fitted(spark, d)
-    u = slices.cut(u)
-    weights = inference.bootstrap_weights(cells.select("athlete_id").distinct(), RUNS, SEED)
-    return slices.cut(v), slices.cut(inference.bootstrap_races(cells, u, weights))
+    """(v, replicates refitted to convergence from it)."""
+    _, _, v = _fitted(spark, d)
+    runs = list(range(1, RUNS + 1))
+    fit = _fit_tables(
+        spark, d, "boot", (NU, RUNS, SEED),
+        lambda cells: engine.fit_runs(inference.with_weights(cells, RUNS, SEED), runs, engine.EngineConfig(nu=NU), start=v),
+    )
+    return v, fit["races"]
 
 
 def _residuals(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +257,7 @@ def ag_demographics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT sex, count(*) n, {_r('avg(t)', 4)} mean, {", ".join(f"{_r(f'quantile_cont(t, {q})', 4)} p{p}" for p, q in [(1, 0.01), (10, 0.1), (50, 0.5), (90, 0.9), (99, 0.99)])}
+    f"""SELECT sex, count(*) n, {_r('avg(t)', 4)} mean, {", ".join(f"{_r(f'quantile_cont(t, {q})', 6)} p{p}" for p, q in [(1, 0.01), (10, 0.1), (50, 0.5), (90, 0.9), (99, 0.99)])}
 FROM (SELECT sex, t FROM cells JOIN athletes USING (athlete_id) UNION ALL SELECT 'All', t FROM cells) GROUP BY sex""",
     _SLICE,
 )
@@ -283,14 +345,14 @@ def ag_box_stats(spark: SparkSession, d: str) -> DataFrame:
 # ---- model
 
 
-@query(f"SELECT race_id, {_r('v')} v FROM v2", _FITTED)
+@query(f"SELECT race_id, {_r('v')} v FROM v2", _SWEPT)
 def nm_sweep_races(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d)[2].select("race_id", rounded(F.col("v")).alias("v"))
+    return _swept(spark, d)[2].select("race_id", rounded(F.col("v")).alias("v"))
 
 
-@query(f"SELECT athlete_id, {_r('u')} u FROM u2", _FITTED)
+@query(f"SELECT athlete_id, {_r('u')} u FROM u2", _SWEPT)
 def nm_sweep_athletes(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d)[1].select("athlete_id", rounded(F.col("u")).alias("u"))
+    return _swept(spark, d)[1].select("athlete_id", rounded(F.col("u")).alias("u"))
 
 
 @query(
@@ -312,11 +374,21 @@ def nm_loglik(spark: SparkSession, d: str) -> DataFrame:
     return got.select("n", rounded(F.col("s2"), 8).alias("sigma2"), rounded(loglik, 2).alias("loglik"))
 
 
-@query()
+@query(f"SELECT race_id, {_r('v')} v FROM v2", _FITTED)
 def nm_fit_student(spark: SparkSession, d: str) -> DataFrame:
-    """Converged Student-t fit; compared with recovery on synthetic data and with the block updates in the tests."""
-    fit = model.fit_races(tables.cached_slice(spark, d, SPEC), 8.0, model.FitConfig(max_iter=40, tol=1e-7))
-    return fit.races.select("race_id", rounded(F.col("v")).alias("v"))
+    """The converged Student-t fit itself, not its cached tables."""
+    cells = tables.cached_slice(spark, d, SPEC)
+    return engine.fit_runs(cells, config=engine.EngineConfig(nu=NU)).races.select("race_id", rounded(F.col("v")).alias("v"))
+
+
+@query(
+    f"""SELECT count(*) n, {_r('any_value(s2)', 8)} sigma2, {_r(f"sum({math.lgamma(4.5) - math.lgamma(4.0) - 0.5 * math.log(8 * math.pi)!r} - 0.5 * ln(s2) - 4.5 * ln(1 + r * r / (8 * s2)))", 4)} loglik
+FROM res, scale""",
+    _RESIDUALS,
+)
+def nm_student_loglik(spark: SparkSession, d: str) -> DataFrame:
+    got = _point(spark, d)["scales"]
+    return got.select(F.col("n").cast("long").alias("n"), rounded(F.col("sigma2"), 8).alias("sigma2"), rounded(F.col("loglik"), 4).alias("loglik"))
 
 
 # ---- resampling and validation
@@ -332,17 +404,24 @@ def rs_folds(spark: SparkSession, d: str) -> DataFrame:
     return inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED).select("athlete_id", "race_id", "fold")
 
 
+_HELD_OUT = f"""RECURSIVE {_SLICE}, f AS MATERIALIZED ({_FOLDS}),
+train AS MATERIALIZED (SELECT out_ run_id, athlete_id, race_id, y, 1.0::DOUBLE g FROM f, (SELECT unnest(range(5))::BIGINT out_) WHERE fold <> out_),
+{fit_sql("train", "cv")},
+scored AS MATERIALIZED (SELECT f.fold, s2, y - u - v r FROM f JOIN (SELECT run_id, any_value(s2) s2 FROM cv GROUP BY 1) s ON s.run_id = fold
+  LEFT JOIN (SELECT run_id, id athlete_id, x u FROM cv WHERE k = 'u') a ON a.run_id = fold AND a.athlete_id = f.athlete_id
+  LEFT JOIN (SELECT run_id, id race_id, x v FROM cv WHERE k = 'v') b ON b.run_id = fold AND b.race_id = f.race_id)"""
+_T8 = f"{math.lgamma(4.5) - math.lgamma(4.0) - 0.5 * math.log(8 * math.pi)!r} - 0.5 * ln(s2) - 4.5 * ln(1 + r * r / (8 * s2))"
+
+
 @query(
-    f"""SELECT count(r) n_scored, count(*) - count(r) n_orphans, {_r('sum(-0.5 * (ln(2 * pi()) + ln(0.09) + r * r / 0.09))', 4)} logdensity, {_r('sqrt(avg(r * r))')} rmse
-FROM (SELECT y - u - v r FROM f LEFT JOIN tu USING (athlete_id) LEFT JOIN tv USING (race_id) WHERE fold = 0)""",
-    f"""{_SLICE}, f AS ({_FOLDS}), tu AS (SELECT athlete_id, avg(y) u FROM f WHERE fold <> 0 GROUP BY 1),
-tv AS (SELECT race_id, v - avg(v) OVER () v FROM (SELECT race_id, avg(y - u) v FROM f JOIN tu USING (athlete_id) WHERE fold <> 0 GROUP BY race_id))""",
+    f"""SELECT fold, count(r) n_scored, count(*) - count(r) n_orphans, {_r(f'sum({_T8})', 4)} logdensity, {_r('sqrt(avg(r * r))')} rmse FROM scored GROUP BY fold""",
+    _HELD_OUT,
 )
 def rs_held_out(spark: SparkSession, d: str) -> DataFrame:
-    marked = inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED)
-    train = marked.filter("fold <> 0")
-    u = model.mean_init(train)
-    return inference.held_out(marked.filter("fold = 0"), u, model.centred(model.race_update(train, u)), 0.09)
+    """Every fold held out of a fit of the others, all fitted in the same jobs."""
+    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
+    fits = inference.fold_fits(marked, 5, engine.EngineConfig(nu=NU))
+    return inference.held_out(marked, fits, NU)
 
 
 @query(f"SELECT run_id, race_id, {_r('v')} v FROM boot", _BOOT)
@@ -350,14 +429,6 @@ def rs_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _boot(spark, d)[1].select("run_id", "race_id", rounded(F.col("v")).alias("v"))
 
 
-@query()
-def rs_bootstrap_refit(spark: SparkSession, d: str) -> DataFrame:
-    """Replicates refitted to convergence from the two-sweep fit; compared with a direct solution in the tests."""
-    cells, _, v = _fitted(spark, d)
-    weights = inference.bootstrap_weights(cells.select("athlete_id").distinct(), RUNS, SEED)
-    return inference.bootstrap_refits(cells, weights, slices.cut(v)).select("run_id", "race_id", rounded(F.col("v")).alias("v"))
-
-
 @query(
     f"""SELECT race_id, count(*) n_boot, {_r('median(v)')} median_v, {_r('stddev_samp(v)')} sd_v,
 {", ".join(f"{_r(f'quantile_cont(v, {q})')} {n}" for n, q in [("lo95", 0.025), ("lo90", 0.05), ("lo68", 0.16), ("hi68", 0.84), ("hi90", 0.95), ("hi95", 0.975)])}
@@ -405,19 +476,19 @@ def rs_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT count(*) n, {_r('stddev_samp(d)', 8)} raw_sd, {_r('sqrt(greatest(var_samp(d) - avg(pv), 0))', 8)} disatt_sd, {_r('avg(z * z * z)', 4)} skew, {_r('avg((d < 0)::INT)')} frac_improver
-FROM (SELECT *, (d - avg(d) OVER ()) / stddev_pop(d) OVER () z FROM (SELECT sum(a_til * r) / 0.09 / (sum(a_til * a_til) / 0.09 + 1 / 1e-4) d, 1 / (sum(a_til * a_til) / 0.09 + 1 / 1e-4) pv
-  FROM res GROUP BY athlete_id))""",
+FROM (SELECT *, (d - avg(d) OVER ()) / stddev_pop(d) OVER () z FROM (SELECT sum(a_til * r) / s2 / (sum(a_til * a_til) / s2 + 1 / 1e-4) d, 1 / (sum(a_til * a_til) / s2 + 1 / 1e-4) pv
+  FROM res, scale GROUP BY athlete_id, s2))""",
     _RESIDUALS,
 )
 def rs_drift_descriptors(spark: SparkSession, d: str) -> DataFrame:
-    return inference.drift_descriptors(inference.drift_slopes(_residuals(spark, d), 1e-4, 0.09))
+    return inference.drift_descriptors(inference.drift_slopes(_residuals(spark, d), 1e-4, _sigma2(spark, d)))
 
 
 @query(
     f"""SELECT count(*) n, {_r('corr(x, y)')} r_raw, {_r('corr(x - cx - sx * "year", y - cy - sy * "year")')} r_partial FROM (SELECT *, regr_slope(x, "year") OVER () sx,
 regr_intercept(x, "year") OVER () cx, regr_slope(y, "year") OVER () sy, regr_intercept(y, "year") OVER () cy
 FROM (SELECT v2.v x, v1.v + n * 0.001 y, "year"::DOUBLE "year" FROM v2 JOIN v1 USING (race_id) JOIN competitions USING (race_id) JOIN (SELECT race_id, count(*) n FROM cells GROUP BY 1) USING (race_id)))""",
-    _FITTED,
+    f"{_FITTED}, u0 AS (SELECT athlete_id, avg(y) u FROM cells GROUP BY athlete_id), {_SWEEP.format(n=1, m=0)}",
 )
 def rs_partial_correlation(spark: SparkSession, d: str) -> DataFrame:
     cells, _, v = _fitted(spark, d)
@@ -580,6 +651,6 @@ def fn_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str, spec: SliceSpec) -> DataFrame:
-    """Finishes to pruned slice to two sweeps to editions, hardest first."""
-    cells = slices.load_slice(spark, d, spec)
-    return ranking.rank_editions(model.sweeps(cells, 2)[1], adapter.competitions(spark, d))
+    """Finishes to pruned slice to converged fit to editions, hardest first."""
+    fit = engine.fit_runs(slices.load_slice(spark, d, spec), config=engine.EngineConfig(nu=NU))
+    return ranking.rank_editions(fit.races.drop("run_id"), adapter.competitions(spark, d))

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.operators.slices import SliceSpec, load_slice
+from paceline.sources.scratch import hadoop, publish, shared_dir
 
-_SLICES: dict[tuple[str, str, str], str] = {}
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """What identifies the content of input files: their number, names, sizes and times, in one row of sums."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
+    each = F.xxhash64(F.element_at(F.split("path", "/"), -1), "length", "modificationTime")
+    got = files.agg(F.count("*"), F.sum("length"), F.bit_xor(each), F.sum(F.pmod(each, F.lit(1 << 40)))).first()
+    return hashlib.sha256(repr(tuple(got)).encode()).hexdigest()[:16]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where the cluster names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="paceline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def core_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    return fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("customer", "lineitem", "nation", "orders", "supplier")])
+
+
+def cached(spark: SparkSession, kind: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table by its content key: built and published once, by whichever application comes first, then read back."""
+    name = hashlib.sha256(repr(key).encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/paceline-{kind}-{name}"
+    at, fs = hadoop(spark, path)
+    return spark.read.parquet(path) if fs.exists(at) else publish(build(), path)
 
 
 def cached_slice(spark: SparkSession, sf_dir: str, spec: SliceSpec = SliceSpec()) -> DataFrame:
-    """A slice by the key of its specification: prepared once for each application and input, then read back."""
-    name = (spark.sparkContext.applicationId, sf_dir, spec.key)
-    if name not in _SLICES:
-        path = f"{shared_dir(spark)}/paceline-slice-{spec.key}-{uuid.uuid4().hex}"
-        load_slice(spark, sf_dir, spec).write.parquet(path)
-        _SLICES[name] = path
-    return spark.read.parquet(_SLICES[name])
+    """A slice by the content of its input and the key of its specification."""
+    return cached(spark, "slice", (core_fingerprint(spark, sf_dir), spec.key), lambda: load_slice(spark, sf_dir, spec))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
