@@ -183,3 +183,17 @@ def omega_profile(residuals: DataFrame, omegas: list[float], sigma2: float) -> D
     information = F.col("sxx") / sigma2
     term = -0.5 * F.log1p(F.col("omega2") * information) + 0.5 * (F.col("sxy") / sigma2) ** 2 / (information + 1 / F.col("omega2"))
     return each.groupBy("omega2").agg(rounded(F.sum(term), 4).alias("loglik"))
+
+
+def drift_with_ability(slopes: DataFrame, by: str, many: int) -> DataFrame:
+    """By group: count, spread of drifts freed of their uncertainty, rank correlation with ability for all and for athletes of at
+    least ``many`` races (null for fewer than three), and a verdict in words."""
+    rank = lambda c, *keys: F.rank().over(Window.partitionBy(by, *keys).orderBy(c))
+    high = F.col("n") >= many
+    ranked = slopes.withColumn("_high", high).withColumns({"rd": rank("d"), "ru": rank("u"), "hd": F.when(high, rank("d", "_high")), "hu": F.when(high, rank("u", "_high"))})
+    share = F.avg((F.col("d") < 0).cast("double"))
+    return ranked.groupBy(by).agg(
+        F.count("*").alias("n"), rounded(F.sqrt(F.greatest(F.var_samp("d") - F.avg("pv"), F.lit(0.0))), 8).alias("disatt_sd"), rounded(F.corr("rd", "ru"), 5).alias("spearman"),
+        rounded(F.when(F.count_if("_high") >= 3, F.corr("hd", "hu")), 5).alias("spearman_high"),
+        F.when(F.count("*") < 30, "too few").when(share > 0.5, "mostly improving").otherwise("mostly slowing").alias("verdict"),
+    )

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from paceline.functions import scalars
 from paceline.functions.scalars import rounded
-from paceline.operators import curves, describe, engine, full, inference, ranking, regression, selection, sensitivity, slices, synthetic
+from paceline.operators import describe, engine, full, inference, ranking, regression, selection, sensitivity, slices, synthetic
 from paceline.operators.slices import SliceSpec
 from paceline.plans.more import _COV, _covariates, _scores, _SCORED
-from paceline.plans.queries import _BOOT, _FIN, _FITTED, _MEDIANS, _RESIDUALS, _SLICE, _X, NU, RUNS, SEED, SPEC, _boot, _core, _fitted, _point, _r, _residuals, _sigma2, fit_sql, query
-from paceline.sources import adapter, registry, tables
+from paceline.plans.queries import _BOOT, _FIN, _FITTED, _MEDIANS, _RESIDUALS, _SLICE, _X, NU, SEED, SPEC, _boot, _core, _fitted, _point, _r, _residuals, _sigma2, fit_sql, query
+from paceline.sources import adapter, registry, report, tables
 from paceline.sources.scratch import shared_dir
 
 # ---- filters
@@ -689,3 +689,83 @@ def sn_headline_numbers(spark: SparkSession, d: str) -> DataFrame:
     cells, _, v = _fitted(spark, d)
     own = v.agg(F.max_by("race_id", "v").alias("hardest"), F.min_by("race_id", "v").alias("easiest"), rounded(F.stddev_samp("v")).alias("sd_v"))
     return cells.agg(F.count("*").alias("n_cells")).crossJoin(own).select("n_cells", rounded(F.lit(_sigma2(spark, d)), 8).alias("sigma2"), "hardest", "easiest", "sd_v")  # one row each
+
+
+# ---- more tables
+
+_COIN = scalars.hash_uniform_sql(SEED + 2, "athlete_id", "race_id")
+_BREAK = {
+    "datecut": "pos > 1 + floor({at} * (n - 1))",
+    "coin": f"{_COIN} < 0.5",
+    "singleton": "pos = 1 + floor({at} * n)",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{mode}' AS "mode", CASE WHEN {scalars.hash_uniform_sql(SEED, "athlete_id")} < 0.2 AND n > 1 AND {rule.format(at=scalars.hash_uniform_sql(SEED + 1, "athlete_id"))} THEN -1 - athlete_id ELSE athlete_id END athlete_id, race_id FROM b"""
+        for mode, rule in _BREAK.items()
+    ),
+    f"""{_SLICE}, b AS MATERIALIZED (SELECT athlete_id, race_id, count(*) OVER (PARTITION BY athlete_id) n, row_number() OVER (PARTITION BY athlete_id ORDER BY "date", race_id) pos FROM cells)""",
+)
+def sn_break_modes(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the athletes split at a date, by a coin for each race, or by one race."""
+    cells = tables.cached_slice(spark, d, SPEC)
+    parts = [sensitivity.break_labels(cells, 0.2, SEED, mode=m).select(F.lit(m).alias("mode"), "athlete_id", "race_id") for m in _BREAK]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT race_id, {_r('coalesce(m, 0)')} mean_r, coalesce(n, 0) n FROM competitions LEFT JOIN (SELECT race_id, avg(r) m, count(*) n FROM res GROUP BY 1) USING (race_id)", _RESIDUALS)
+def ag_race_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean residual of every race, 0 for races without cells."""
+    per = _residuals(spark, d).groupBy("race_id").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
+    races = adapter.competitions(spark, d).select("race_id")
+    return races.join(per, "race_id", "left").select("race_id", rounded(F.coalesce("m", F.lit(0.0))).alias("mean_r"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT coalesce((floor(a_e / 10)::INT * 10)::VARCHAR, 'unknown') age_group, least(floor((t - 7000) / 1450), 19)::BIGINT bin, count(*) n FROM cells WHERE t BETWEEN 7000 AND 36000 GROUP BY 1, 2", _SLICE)
+def ag_age_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Finish times in bins, stacked by age group at entry; the last bin is closed."""
+    group = F.coalesce(scalars.age_group(F.col("a_e")).cast("string"), F.lit("unknown"))
+    return describe.histogram(tables.cached_slice(spark, d, SPEC).withColumn("age_group", group), "t", 7000, 36000, 20, "age_group")
+
+
+@query(f"SELECT fold, arg_max(nu, l / n) best_nu, {_r('max(l / n)')} score FROM per GROUP BY fold", _SCORED)
+def ag_best_per_fold(spark: SparkSession, d: str) -> DataFrame:
+    per = F.col("logdensity") / F.col("n")
+    return _scores(spark, d).groupBy("fold").agg(F.max_by("nu", per).alias("best_nu"), rounded(F.max(per)).alias("score"))
+
+
+@query(
+    f"""SELECT sex, count(*) n, {_r('sqrt(greatest(var_samp(d) - avg(pv), 0))', 8)} disatt_sd, {_r('corr(rd, ru)', 5)} spearman, {_r('CASE WHEN count(*) FILTER (n >= 40) >= 3 THEN corr(hd, hu) END', 5)} spearman_high,
+CASE WHEN count(*) < 30 THEN 'too few' WHEN avg((d < 0)::INT) > 0.5 THEN 'mostly improving' ELSE 'mostly slowing' END verdict FROM (
+SELECT *, rank() OVER (PARTITION BY sex ORDER BY d) rd, rank() OVER (PARTITION BY sex ORDER BY u) ru, CASE WHEN n >= 40 THEN rank() OVER (PARTITION BY sex, n >= 40 ORDER BY d) END hd,
+CASE WHEN n >= 40 THEN rank() OVER (PARTITION BY sex, n >= 40 ORDER BY u) END hu FROM slopes JOIN u2 USING (athlete_id) JOIN athletes USING (athlete_id)) GROUP BY sex""",
+    _SLOPED,
+)
+def rs_drift_by_sex(spark: SparkSession, d: str) -> DataFrame:
+    """Spread of drifts and how they go with ability, for all and for athletes of many races."""
+    _, u, _ = _fitted(spark, d)
+    named = _slopes(spark, d).join(u, "athlete_id").join(adapter.athletes(spark, d).select("athlete_id", "sex"), "athlete_id")
+    return inference.drift_with_ability(slices.cut(named), "sex", 40)
+
+
+@query(
+    f"""SELECT line FROM (SELECT 0 k, '| series | races | mean v |' line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY v DESC, series_key), '| ' || series_key || ' | ' || n || ' | ' || printf('%.4f', v) || ' |'
+FROM (SELECT series_key, count(*) n, avg(v) v FROM v2 JOIN competitions USING (race_id) GROUP BY 1 ORDER BY v DESC, series_key LIMIT 10))""",
+    _FITTED,
+)
+def sc_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten hardest series as the lines of a Markdown table (a top-k report)."""
+    named = _fitted(spark, d)[2].join(adapter.competitions(spark, d).select("race_id", "series_key"), "race_id")
+    top = named.groupBy("series_key").agg(F.count("*").alias("n"), F.avg("v").alias("v")).orderBy(F.desc("v"), "series_key").limit(10)
+    rows = top.select(F.col("series_key").alias("series"), F.col("n").cast("string").alias("races"), F.format_string("%.4f", "v").alias("mean v"))
+    return spark.createDataFrame([(x,) for x in report.markdown(rows)], "line string")
+
+
+@query()
+def rs_nu_refined(spark: SparkSession, d: str) -> DataFrame:
+    """The noise law by golden sections of log nu between its neighbours on the grid; compared with the grid in the tests."""
+    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
+    nu, score = selection.refine_nu(marked, 5, 3.0, 60.0, 8)
+    return spark.range(1).select(rounded(F.lit(nu), 2).alias("nu"), rounded(F.lit(score), 5).alias("score"))
