@@ -77,7 +77,7 @@ def test_url_model_on_hosts_it_has_not_seen(spark):
 def test_urls_of_empty_and_odd_rows(spark):
     schema = "page_id long, url string, p_block string, carried long"
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
-    odd = [(1, None, "x", 5), (1, "", "x", 5), (2, "no scheme", None, None), (None, "http://" + "a" * 50_000 + ".org/" + "b" * 50_000, "", 1), (3, "x://?q", "", 1)]
+    odd = [(1, None, "x", 5), (1, "", "x", 5), (2, "no scheme", None, None), (None, "http://" + "a" * 9000 + ".org/" + "b" * 9000, "", 1), (3, "x://?q", "", 1)]
     got = urls.judge(spark.createDataFrame(odd, schema)).collect()
     assert len(got) == 5 and {r["carried"] for r in got} == {5, None, 1}
     assert [(r["rule"], r["verdict"]) for r in got if r["page_id"] is None] == [("org/", "allow")]
@@ -132,8 +132,8 @@ def test_many_automata_find_what_one_finds(spark):
         words[at:at] = rng.choice(items)[1].split()[:30]
         rows.append((i if i % 7 else None, " ".join(words) if i % 11 else None, "s"))
     docs = docs_of(spark, rows + rows[:9]).withColumn("found", F.lit(1)).withColumn("t", F.lit("x"))
-    one, many = decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(max_item_words=25)
-    assert len(list(decontaminate.automata(bench, one))) == 1 and len(list(decontaminate.automata(bench, many))) > 20
+    one, many = decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(max_item_words=60)
+    assert len(list(decontaminate.automata(bench, one))) == 1 and len(list(decontaminate.automata(bench, many))) > 8
     key = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], r["item_ids"], r["spans"])
     got = [sorted(map(key, decontaminate.matches(docs, bench, p).collect())) for p in (one, many)]
     assert got[0] == got[1] and any(x[2] for x in got[0])
