@@ -9,7 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: During a write: shuffle files go when it ends, and Arrow batches stay small, so that Python workers need little memory.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paceline-{name}-{uuid.uuid4().hex}"
-    with without_shuffle_files(spark):
+    with settled(spark):
         df.write.parquet(path)
     at, fs = hadoop(spark, path)
     fs.deleteOnExit(at)
@@ -51,7 +52,7 @@ def publish(df: DataFrame, path: str) -> DataFrame:
     at, fs = hadoop(spark, path)
     if not fs.exists(at):
         made = f"{path}-{uuid.uuid4().hex}"
-        with without_shuffle_files(spark):
+        with settled(spark):
             df.write.parquet(made)
         temporary, _ = hadoop(spark, made)
         if not fs.rename(temporary, at) or fs.exists(hadoop(spark, f"{path}/{made.rsplit('/', 1)[1]}")[0]):
@@ -67,10 +68,13 @@ def hadoop(spark: SparkSession, path: str) -> tuple:
 
 
 @contextmanager
-def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+def settled(spark: SparkSession) -> Iterator[None]:
+    """The settings of scratch writes, and those of before again."""
+    before = {k: spark.conf.get(k) for k in _WRITES}
+    for k, v in _WRITES.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
