@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the
 last return the columns of documents.  Stages may be run one by one with Parquet tables between them, as ``run``
 does, in the shared folder named by ``spark.checkpoint.dir``.
+
+Defined cases, for all stages: extra columns, whatever their names, are left out; an empty table gives an empty result; very long texts
+are worked on whole.  Quality rules: null, empty and short texts go; repeated rows each stay or go by their own text.  Line
+dedup: null and empty texts stay as they are, rows with a null doc_id lose boilerplate that others have.  Near-dedup: of rows whose
+texts are in one group one stays, that of the smallest doc_id, or one of null doc_id where there are no others; wordless texts stay, rows
+equal in every column once.  Decontamination: null and wordless texts stay.  Mixing: texts without words are not in the mix; rows with
+one doc_id, or none, are taken together.
 """
 
 from __future__ import annotations

@@ -8,7 +8,11 @@ stay.  The model has one double per bucket, so its size is fixed and does not gr
 Everything is DataFrame functions.  The trusted side takes at most ``target_rows`` labelled documents, in
 the order of a hash of their id; the raw side counts all documents.
 
-Defined cases: null text has no words (base_failed); texts with no n-gram score 0; null doc_id rows are scored
+``prior`` and ``threshold`` are constants, not rules of the corpus' size: the prior weighs about 1,500 documents of 200 words, so that
+fewer trusted documents move no weight far, and the threshold was set once with a margin below the trusted documents of the test
+tables.  Another corpus may need others.
+
+Defined cases: null text has no words (base_failed); very long texts are counted whole; texts with no n-gram score 0; null doc_id rows are scored
 like others; repeated rows are each returned; an empty table gives an empty result; extra columns pass through, but
 those named like an output are replaced; without trusted documents every score is 0 and the rule alone decides.
 """
