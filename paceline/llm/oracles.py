@@ -97,3 +97,35 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT n_shingles, least(d.doc_id, coalesce(m,
   d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ USING (doc_id)
 """
+
+
+def op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round is a CTE of its own: nearest entries, then sums divided and rounded down.
+
+    Squares and products stay far below 2 ** 53, where doubles are exact.
+    """
+    cut = f"len(x) // {parts}"
+    out = rf"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) r, vec_id, label, [floor(1024 * c::DOUBLE) for c in embedding] x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * ({cut}) + 1 : (part + 1) * ({cut})] y FROM v, range({parts}) q(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 entry, y FROM p WHERE r <= {entries})"""
+    for k in range(rounds + 1):
+        out += rf""",
+a{k} AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := list_dot_product(p.y, p.y) + list_dot_product(c.y, c.y) - 2 * list_dot_product(p.y, c.y), entry := c.entry)) best
+  FROM p JOIN c{k} c ON p.part = c.part GROUP BY p.r, p.part)"""
+        if k < rounds:
+            out += rf""",
+s{k} AS (SELECT part, entry, list(m ORDER BY i) y FROM (SELECT a.part, a.best.entry entry, i, floor(sum(p.y[i]) / count(*)) m
+  FROM a{k} a JOIN p ON p.r = a.r AND p.part = a.part, range(1, {1 << 20}) g(i) WHERE i <= len(p.y) GROUP BY ALL) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(s.y, c.y) y FROM c{k} c LEFT JOIN s{k} s ON s.part = c.part AND s.entry = c.entry)"""
+    return out + rf""",
+coded AS (SELECT r, string_agg(lpad(to_hex(best.entry), 2, '0'), '' ORDER BY part) code, sum(best.d)::BIGINT error FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(n::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) digest
+  FROM (SELECT part, entry, unnest(y) n, unnest(range(len(y))) i FROM c{rounds}))
+SELECT vec_id, lower(code) code, error, (sum(error) OVER (PARTITION BY label))::BIGINT label_error, digest codebooks_sha256
+FROM v JOIN coded USING (r), books
+"""
+
+
+OP11 = op11()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, toxicity, urls
+from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = vectors.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_dialogues": chat_dialogues}
 
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": oracles.OP5,
         "op7_near_dedup": oracles.OP7,
         "op8_source_mix": oracles.OP8,
+        "op11_vector_codes": oracles.OP11,
     }
