@@ -129,3 +129,27 @@ FROM v JOIN coded USING (r), books
 
 
 OP11 = op11()
+
+# crc32 by bytes over its table of 256 remainders, which a recursive query makes from the polynomial.
+OP12 = rf"""
+WITH RECURSIVE step AS (SELECT i b, i c, 0 k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) t FROM step WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {_WORDS} w FROM documents),
+f AS (SELECT r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) g FROM d),
+g AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) g FROM (SELECT {_WORDS} w FROM benchmark)),
+n AS MATERIALIZED (SELECT r, g, count(*) n FROM f GROUP BY r, g),
+names AS (SELECT g FROM n UNION SELECT g FROM g),
+bucket AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h)::BIGINT for h in regexp_extract_all(hex(g), '..')]),
+    lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 10000 k FROM names, crc),
+s AS (SELECT k, sum(n) s FROM n JOIN bucket USING (g) GROUP BY k),
+t AS (SELECT k, count(*) t FROM g JOIN bucket USING (g) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT gain FROM s FULL JOIN t USING (k)),
+mean AS (SELECT r, sum(n)::BIGINT n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT weight FROM n JOIN bucket USING (g) JOIN gain USING (k) GROUP BY r),
+scored AS (SELECT doc_id, len(w) n_words, coalesce(n_features, 0)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score
+  FROM d LEFT JOIN mean USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) place, count(*) OVER (PARTITION BY n_words >= 20) n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS "rank" FROM ranked
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, toxicity, urls, vectors
+from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, resample, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("label")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_dialogues": chat_dialogues}
 
@@ -97,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": oracles.OP7,
         "op8_source_mix": oracles.OP8,
         "op11_vector_codes": oracles.OP11,
+        "op12_importance_resampling": oracles.OP12,
     }
