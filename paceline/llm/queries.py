@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, quality, resample, toxicity, urls, vectors
+from paceline.llm import chat, decontaminate, langid, licenses, lines, mixing, neardup, oracles, packing, quality, resample, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, _table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_dialogues": chat_dialogues}
 
