@@ -1,9 +1,10 @@
 """Importance resampling towards a target distribution, by a dictionary of distinct features.
 
 Features are runs of one and two alphanumeric words.  A batch of documents numbers its words, sorts its pairs of numbers, and gives each distinct
-feature of the batch with its count, all that begin with one word in few rows: the word, a salt from the second word, the second words
-and counts.  Rows are dealt by word and salt, so that pairs after a very common word spread over ``salts`` parts, and a grouped count
-makes the dictionary: every distinct string of the corpus once, with its count.  Each is hashed there, once; counts by bucket give the gains.
+feature of the batch with its count.  Features with one first word share a line, which names that word once; lines are dealt to ``parts`` by
+first word and a salt from the second, so that pairs after a very common word spread over ``salts`` parts, and each batch sends one text for each part.
+A grouped count makes the dictionary: every distinct string of the corpus once, with its count.  Each is hashed there, once; counts by
+bucket give the gains.
 
 The gains (one number for each bucket, whatever the corpus) then go back to the documents' feature counts: a batch looks up the bucket of each of
 its own distinct strings and adds up its documents' gains.  A join by string instead would shuffle every pair of a document and a feature, about
@@ -40,43 +41,75 @@ class ResampleParams:
     min_words: int = 20
     share: int = 25  # per cent of the eligible documents
     seed: str = "7"
+    parts: int = 1 << 14  # of the dictionary; at least as many as tasks that count it
     salts: int = 16
-    words: int = 2_000_000  # of documents that are worked on together
+    words: int = 1 << 20  # of documents that are worked on together
 
 
 class Batch:
     """Words of some documents as numbers, and their distinct pairs."""
 
-    def __init__(self, salts: int) -> None:
-        self.salts, self.known, self.ids, self.sizes = salts, {}, [], []
+    def __init__(self) -> None:
+        self.known, self.ids, self.sizes = {}, [], []
 
     def add(self, text: bytes | None) -> None:
         known, words = self.known, alnum_words(text)
         self.ids += [known.setdefault(w, len(known)) for w in words]
         self.sizes.append(len(words))
 
-    def pairs(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, number of each word of the text, its document, first and second word of each distinct pair, its salt, its count, the pair
-        that begins at each word but the last of its document); pairs of one first word and salt follow each other."""
-        words, ids = list(self.known), np.array(self.ids, dtype=np.int64)
+    def arrays(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, number of each word of the text, its document, places with a next word in the same document)."""
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        salt = np.array([zlib.crc32(w) % self.salts for w in words], dtype=np.int64)
-        inside = np.flatnonzero(doc[1:] == doc[:-1])
-        a, b, n = ids[inside], ids[inside + 1], max(1, len(words))
-        keys, which, counts = np.unique((a * self.salts + salt[b]) * n + b, return_inverse=True, return_counts=True) if len(a) else (a, a, a)
-        return words, ids, doc, keys // (n * self.salts), keys % n, keys // n % self.salts, counts, which
+        return list(self.known), np.array(self.ids, dtype=np.int64), doc, np.flatnonzero(doc[1:] == doc[:-1])
+
+
+def _lines(batch: Batch, params: ResampleParams) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Some parts, and the lines of each as one text: a first word (none for single words), then what follows it, with counts over one."""
+    words, ids, _, inside = batch.arrays()
+    n, strings = max(1, len(words)), pa.array(words, pa.string())
+    crc = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
+
+    def rows(part: np.ndarray, prefix: pa.Array, starts: np.ndarray, follow: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """``starts``: where a line begins among the words that follow; lines of a part stand together."""
+        some = strings.take(pa.array(follow))
+        some = pc.if_else(pa.array(counts == 1), some, pc.binary_join_element_wise(some, pa.array(counts).cast(pa.string()), "\t"))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(follow)), pa.int32()), some), " ")
+        lines = pc.binary_join_element_wise(prefix, joined, " ")
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        return pa.array(part[first]), pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(part)), pa.int32()), lines), "\n")
+
+    if not words:
+        return
+    part = crc % params.parts
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    yield rows(part[order][first], pa.array([""] * len(first)), first, order, np.bincount(ids, minlength=n)[order])
+    if not len(inside):
+        return
+    keys, counts = np.unique(ids[inside] * n + ids[inside + 1], return_counts=True)
+    a, b = keys // n, keys % n
+    salt = crc[b] % params.salts
+    part = (crc[a] // 7 + salt * 7919) % params.parts
+    order = np.lexsort((salt, a, part))
+    a, b, salt, part, counts = (x[order] for x in (a, b, salt, part, counts))
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])])
+    ends = np.append(starts[1:], len(a))
+    for lo in range(0, len(starts), 100_000):  # so many lines at once
+        hi = min(lo + 100_000, len(starts))
+        span = slice(starts[lo], ends[hi - 1])
+        yield rows(part[starts[lo:hi]], strings.take(pa.array(a[starts[lo:hi]])), starts[lo:hi] - starts[lo], b[span], counts[span])
 
 
 def _batches(column: Iterator[pa.Array], params: ResampleParams) -> Iterator[tuple[Batch, int]]:
     """Batches of about so many words, and the number of rows of each."""
-    batch, rows = Batch(params.salts), 0
+    batch, rows = Batch(), 0
     for texts in column:
         for text in texts.cast(pa.binary()):
             batch.add(text.as_py())
             rows += 1
             if len(batch.ids) >= params.words:
                 yield batch, rows
-                batch, rows = Batch(params.salts), 0
+                batch, rows = Batch(), 0
     if rows:
         yield batch, rows
 
@@ -86,24 +119,16 @@ def dictionary(texts: DataFrame, params: ResampleParams = ResampleParams(), text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in _batches((b.column(0) for b in batches), params):
-            words, ids, _, first, second, salt, counts, _ = batch.pairs()
-            strings = pa.array(words, pa.string())
-            n = np.bincount(ids, minlength=len(words))
-            alone = [strings, pa.array(np.full(len(words), -1)), pa.nulls(len(words), pa.string()), pa.array([[int(x)] for x in n], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(alone, names=names)
-            starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (salt[1:] != salt[:-1])]) if len(first) else first
-            for lo in range(0, len(starts), 20_000):
-                heads, end = starts[lo : lo + 20_000], starts[lo + 20_000] if lo + 20_000 < len(starts) else len(first)
-                offsets, span = pa.array(np.r_[heads, end] - heads[0], pa.int32()), slice(heads[0], end)
-                nexts = pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(pa.array(second[span]))), " ")
-                values = [strings.take(pa.array(first[heads])), pa.array(salt[heads]), nexts, pa.ListArray.from_arrays(offsets, pa.array(counts[span]))]
-                yield pa.RecordBatch.from_arrays(values, names=names)
-
-    names = ["word", "salt", "nexts", "counts"]
-    rows = texts.select(text).mapInArrow(count, "word string, salt long, nexts string, counts array<long>").repartition("word", "salt")
-    one = rows.select("word", "salt", F.posexplode(F.split(F.coalesce("nexts", F.lit("")), " ")).alias("i", "next"), "counts")
-    grouped = one.groupBy("word", "salt", "next").agg(F.sum(F.get("counts", "i")).alias("n"))  # dealt well already
-    feature = F.when(F.col("next") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "next"))
+            for parts, lines in _lines(batch, params):
+                yield pa.RecordBatch.from_arrays([parts, lines], names=["part", "lines"])
+
+    dealt = texts.select(text).mapInArrow(count, "part long, lines string").repartition("part")
+    lines = dealt.select("part", F.explode(F.split("lines", "\n")).alias("line"))
+    begun = lines.select("part", F.substring_index("line", " ", 1).alias("head"), F.expr("substring(line, locate(' ', line) + 1)").alias("rest"))
+    one = begun.select("part", "head", F.explode(F.split("rest", " ")).alias("next"))
+    n = F.when(F.contains("next", F.lit("\t")), F.substring_index("next", "\t", -1).cast("long")).otherwise(1)
+    grouped = one.groupBy("part", "head", F.substring_index("next", "\t", 1).alias("word")).agg(F.sum(n).alias("n"))  # dealt well already
+    feature = F.when(F.col("head") == "", F.col("word")).otherwise(F.concat_ws(" ", "head", "word"))
     return grouped.select(feature.alias("feature"), "n").withColumn("bucket", bucket(F.col("feature"), params))
 
 
@@ -144,13 +169,15 @@ def weigh(docs: DataFrame, gain: np.ndarray, params: ResampleParams = ResamplePa
 
         done = 0  # rows of the first carried batch that were given out
         for batch, rows in _batches(texts(), params):
-            words, ids, doc, first, second, _, _, which = batch.pairs()
+            words, ids, doc, inside = batch.arrays()
+            pairs, which = np.unique(ids[inside] * max(1, len(words)) + ids[inside + 1], return_inverse=True)
+            first, second = pairs // max(1, len(words)), pairs % max(1, len(words))
             alone = table[np.array([zlib.crc32(w) % len(table) for w in words], dtype=np.int64)]
             heads = [zlib.crc32(w + b" ") for w in words]
             both = table[np.array([zlib.crc32(words[b], heads[a]) % len(table) for a, b in zip(first.tolist(), second.tolist(), strict=True)], dtype=np.int64)]
             total = np.zeros(rows, dtype=np.int64)
             np.add.at(total, doc, alone[ids])
-            np.add.at(total, doc[1:][doc[1:] == doc[:-1]], both[which])
+            np.add.at(total, doc[inside], both[which])
             n = np.array(batch.sizes, dtype=np.int64)
             features = np.maximum(2 * n - 1, 0)
             weight = total // np.maximum(features, 1)  # rounds down
