@@ -7,21 +7,25 @@ by reweighted least squares to convergence and returns weighted sums by race and
 added up.  The driver then solves race effects and coefficients together (the race block is diagonal, so that only as many
 equations as there are covariates remain), applies the gauges, and mixes the step with those before it (Anderson).
 
-Runs (bootstrap replicates, folds, left-out groups, candidate noise laws) are either columns of weights ``g`` (an array with a
-value for each run, 0 for cells that are not in it) or a column ``run_id`` of the cells.  All active runs share each job.
+Runs (bootstrap replicates, folds, left-out groups, candidate forms, noise laws and prior variances) are weights by athlete (a table of
+arrays with a value for each run), weights by cell ``g`` (such an array, 0 for cells that are not in a run) or a column ``run_id`` of the cells.  All
+active runs share each job.  A run may have a noise law, a prior variance and a choice of covariates of its own.
 
-What the driver holds is one value for each run and race, at most ``race_limit`` in all; ``model.refits`` is the form without
-that limit.  A task holds about ``per_partition`` cells.
+What the driver holds is one value for each run and race, at most ``race_limit`` in all; ``chunked`` fits more runs than that, some at a time, and
+``model.refits`` is the form without that limit.  A task holds about ``per_partition`` cells and weights.  Fits that end at ``max_iter`` sweeps
+are named in a warning and marked in ``scales``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ from paceline.operators.slices import cut
 class EngineConfig:
     nu: float | tuple[float, ...] = 8.0  # one for all runs, or one for each
     drift: bool = False
-    omega2: float = 1e-4
-    omega2_fixed: bool = False
+    omega2: float | tuple[float, ...] = 1e-4  # where it starts, one for all runs or one for each
+    omega2_fixed: bool | tuple[bool, ...] = False
     tol: float = 1e-12
     loglik_tol: float = 0.0  # also ends a run whose log likelihood changes relatively by no more
     max_iter: int = 200
@@ -45,13 +49,14 @@ class EngineConfig:
 @dataclass
 class Fits:
     """races (run_id, race_id, v), athletes (run_id, athlete_id, u, d, pv, n), scales (run_id, sigma2, omega2, loglik, n, n_iter,
-    converged) and theta by run; trace has (sweep, largest change)."""
+    converged) and theta by run; trace has (sweep, largest change), history (run_id, sweep, loglik, sigma2, omega2, change)."""
 
     races: DataFrame
     athletes: DataFrame
     scales: DataFrame
     theta: dict[int, np.ndarray]
     trace: list[tuple[int, float]] = field(default_factory=list)
+    history: list[tuple[int, int, float, float, float, float]] = field(default_factory=list)
 
     @property
     def sigma2(self) -> float:
@@ -60,32 +65,37 @@ class Fits:
 
 
 def solve_athletes(rest: np.ndarray, who: np.ndarray, n: int, g: np.ndarray, til: np.ndarray | None, eligible: np.ndarray | None, s2: float, omega2: float, nu: float) -> tuple[np.ndarray, ...]:
-    """u, d, posterior variance of d, residuals and noise weights of the cells of n athletes, iterated until nothing moves."""
-    sums = lambda x: np.bincount(who, x, n)
-    total = np.maximum(sums(g), 1e-300)
-    u, d, pv = sums(g * rest) / total, np.zeros(n), np.zeros(n)
-    e, w = rest - u[who], np.ones(len(rest))
+    """u, d, posterior variance of d, residuals and noise weights of the cells of n athletes; each is iterated until it no longer moves, and
+    then leaves the iteration."""
+    u, d, pv = np.bincount(who, g * rest, n) / np.maximum(np.bincount(who, g, n), 1e-300), np.zeros(n), np.zeros(n)
+    if til is None and math.isinf(nu):
+        return u, d, pv, rest - u[who], np.ones(len(rest))
+    ids, cells = np.arange(n), (rest, who, g, til)
     for _ in range(200):
+        r, at, weight, x = cells
+        m = len(ids)
+        sums = lambda z: np.bincount(at, z, m)  # noqa: E731, B023
+        gw = weight
         if not math.isinf(nu):
-            w = (nu + 1) / (nu + e * e / s2)
-        gw = g * w
-        s0, t0 = np.maximum(sums(gw), 1e-300), sums(gw * rest)
-        new_u, new_d = t0 / s0, d
-        if til is not None:
-            s1, s22, t1 = sums(gw * til), sums(gw * til * til), sums(gw * til * rest)
-            ridge = s2 / omega2
-            det = s0 * (s22 + ridge) - s1 * s1
-            new_d = np.where(eligible, (s0 * t1 - s1 * t0) / det, 0.0)
+            e = r - u[ids][at] - (d[ids][at] * x if x is not None else 0.0)
+            gw = weight * ((nu + 1) / (nu + e * e / s2))
+        s0, t0 = np.maximum(sums(gw), 1e-300), sums(gw * r)
+        new_u, new_d = t0 / s0, d[ids]
+        if x is not None:
+            s1, s22, t1 = sums(gw * x), sums(gw * x * x), sums(gw * x * r)
+            known, ridge = eligible[ids], s2 / omega2
+            new_d = np.where(known, (s0 * t1 - s1 * t0) / (s0 * (s22 + ridge) - s1 * s1), 0.0)
             new_u = (t0 - s1 * new_d) / s0
-            pv = np.where(eligible, 1 / (s22 / s2 + 1 / omega2), 0.0)
-        moved = max(np.abs(new_u - u).max(initial=0.0), np.abs(new_d - d).max(initial=0.0))
-        u, d = new_u, new_d
-        e = rest - u[who] - (d[who] * til if til is not None else 0.0)
-        if moved < 1e-14 or (math.isinf(nu) and til is None):
+            pv[ids] = np.where(known, 1 / (s22 / s2 + 1 / omega2), 0.0)
+        moving = np.maximum(np.abs(new_u - u[ids]), np.abs(new_d - d[ids])) >= 1e-14
+        u[ids], d[ids] = new_u, new_d
+        if math.isinf(nu) or not moving.any():
             break
-    if not math.isinf(nu):
-        w = (nu + 1) / (nu + e * e / s2)
-    return u, d, pv, e, w
+        if moving.sum() < 0.8 * m:
+            stay, place = moving[at], np.cumsum(moving) - 1
+            ids, cells = ids[moving], (r[stay], place[at[stay]], weight[stay], None if x is None else x[stay])
+    e = rest - u[who] - (d[who] * til if til is not None else 0.0)
+    return u, d, pv, e, np.ones(len(rest)) if math.isinf(nu) else (nu + 1) / (nu + e * e / s2)
 
 
 def _density(e: np.ndarray, s2: float, nu: float) -> np.ndarray:
@@ -105,6 +115,7 @@ class _State:
     omega2: np.ndarray
     nu: np.ndarray
     active: np.ndarray
+    columns: np.ndarray  # whether a run has a covariate
 
 
 @dataclass
@@ -117,36 +128,50 @@ class Kernels:
     masked: bool
     by_row: bool
     drift: bool
+    by_athlete: bool
 
     def _shares(self, batches: Iterator[pa.RecordBatch], state: _State) -> Iterator[tuple]:
-        """(run, athlete ids, who, race, y less globals, g, rel, m, x, til, eligible) of each active run of a task."""
+        """(run, athlete ids, who, race, y less globals, g, rel, m, x, til, eligible, columns of x) of each active run of a task."""
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         t = pa.Table.from_batches(batches).combine_chunks()
+        flat = lambda z: z["g"].combine_chunks().flatten().to_numpy().reshape(z.num_rows, -1)
+        own = None
+        if self.by_athlete:
+            is_cell = pc.is_valid(t["race_id"])
+            weights, t = t.filter(pc.invert(is_cell)), t.filter(is_cell)
+            own = weights["athlete_id"].to_numpy(), flat(weights)
+        if not t.num_rows:
+            return
         col = lambda c: t[c].to_numpy() if c in t.column_names else None
         athlete, race, y = col("athlete_id"), np.searchsorted(self.ids, col("race_id")), col("y")
         x = np.stack([col(c) for c in self.covariates]) if self.covariates else np.zeros((0, len(y)))
         til, rel, m = col("til"), col("rel"), col("m")
         eligible = t["eligible"].to_numpy(zero_copy_only=False) if "eligible" in t.column_names else None
-        many = t["g"].combine_chunks().flatten().to_numpy().reshape(len(y), -1) if "g" in t.column_names else None
+        many = flat(t) if own is None and "g" in t.column_names else None
+        row = None if own is None else np.searchsorted(own[0], athlete)
         of_run = np.searchsorted(self.runs, col("run_id")) if self.by_row else None
         for r in np.flatnonzero(state.active):
-            at = np.flatnonzero(of_run == r) if self.by_row else np.flatnonzero(many[:, r] > 0) if many is not None else np.arange(len(y))
+            of = own[1][row, r] if own is not None else None if many is None else many[:, 0 if self.by_row else r]
+            at = np.flatnonzero(of_run == r) if self.by_row else np.flatnonzero(of > 0) if of is not None else np.arange(len(y))
             if not len(at):
                 continue
-            ids, first, who = np.unique(athlete[at], return_index=True, return_inverse=True)
-            g = many[at, 0 if self.by_row else r] if many is not None else np.ones(len(at))
+            mine, columns = athlete[at], np.flatnonzero(state.columns[r])
+            starts = np.r_[True, mine[1:] != mine[:-1]]  # cells of an athlete stand together
+            first, who = np.flatnonzero(starts), np.cumsum(starts) - 1
+            g = of[at] if of is not None else np.ones(len(at))
             pick = lambda z: None if z is None else z[at]  # noqa: E731, B023
-            rest = y[at] - state.v[r][race[at]] - state.theta[r] @ x[:, at]
-            yield r, ids, who, race[at], rest, g, pick(rel), pick(m), x[:, at], pick(til), None if eligible is None else eligible[at][first]
+            chosen = x[columns][:, at]
+            rest = y[at] - state.v[r][race[at]] - state.theta[r][columns] @ chosen
+            yield r, mine[first], who, race[at], rest, g, pick(rel), pick(m), chosen, pick(til), None if eligible is None else eligible[at][first], columns
 
     def sweep(self, shared):  # noqa: ANN001, ANN201  a broadcast state
         k, n_races, drift = len(self.covariates), len(self.ids), self.drift
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = _State(**shared.value)
-            for r, _, who, race, rest, g, rel, m, x, til, eligible in self._shares(batches, s):
+            for r, _, who, race, rest, g, rel, m, x, til, eligible, chosen in self._shares(batches, s):
                 n = int(who.max()) + 1
                 _, d, pv, e, w = solve_athletes(rest, who, n, g, til if drift else None, eligible, s.s2[r], s.omega2[r], s.nu[r])
                 gw = g * w
@@ -155,11 +180,17 @@ class Kernels:
                 by = lambda z: np.bincount(race, z, n_races)  # noqa: E731, B023
                 weight = by(wide)
                 here = np.flatnonzero(by(g) > 0)
-                columns = [by(wide * e), weight, *(by(wide * c) for c in x), *((by(fit * c) for c in x) if m is not None else ())]
+                none = np.zeros(n_races)
+                spread = lambda z: [by(z * x[i]) if i >= 0 else none for i in place]  # noqa: E731, B023
+                place = np.full(k, -1)
+                place[chosen] = np.arange(len(chosen))
+                columns = [by(wide * e), weight, *spread(wide), *(spread(fit) if m is not None else ())]
+                cross, gram = np.zeros(k), np.zeros((k, k))
+                cross[chosen], gram[np.ix_(chosen, chosen)] = x @ (fit * e), (x * fit) @ x.T
                 known = eligible if drift else np.zeros(n, dtype=bool)
                 whole = [
                     (gw * e * e).sum(), g.sum(), (g * _density(e, s.s2[r], s.nu[r])).sum(), (d * d + pv)[known].sum(), (d * d)[known].sum(), float(known.sum()),
-                    *(x @ (fit * e)), *((x * fit) @ x.T).ravel(),
+                    *cross, *gram.ravel(),
                 ]
                 width = len(columns)
                 whole += [0.0] * (-len(whole) % width)
@@ -175,7 +206,7 @@ class Kernels:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = _State(**shared.value)
-            for r, ids, who, _, rest, g, _, _, _, til, eligible in self._shares(batches, s):
+            for r, ids, who, _, rest, g, _, _, _, til, eligible, _ in self._shares(batches, s):
                 u, d, pv, *_ = solve_athletes(rest, who, len(ids), g, til if drift else None, eligible, s.s2[r], s.omega2[r], s.nu[r])
                 columns = [np.full(len(ids), self.runs[r]), ids, u, d, pv, np.bincount(who).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run_id", "athlete_id", "u", "d", "pv", "n"])
@@ -183,17 +214,24 @@ class Kernels:
         return run
 
 
-def _dealt(cells: DataFrame, covariates: tuple[str, ...], config: EngineConfig, runs: list[int], by_row: bool) -> tuple[DataFrame, Kernels]:
-    """The cells dealt by athlete and kept, and their kernels."""
+def _dealt(cells: DataFrame, covariates: tuple[str, ...], config: EngineConfig, runs: list[int], by_row: bool, weights: DataFrame | None) -> tuple[DataFrame, Kernels]:
+    """The cells, and rows of weights by athlete without a race, dealt by athlete and kept, and their kernels."""
     extra = [c for c in ("run_id", "g", "til", "eligible", "rel", "m") if c in cells.columns]
     cells = cells.select("athlete_id", "race_id", "y", *covariates, *extra)
-    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // config.per_partition))
-    dealt = cells.repartition(parts, "athlete_id").persist()
-    rows = dealt.select("race_id").distinct().orderBy("race_id").limit(config.race_limit + 1).toArrow()
+    size = cells.count()
+    if weights is not None:
+        size += weights.count() * len(runs)
+        cells = cells.drop("g").unionByName(weights.select("athlete_id", "g"), allowMissingColumns=True)
+    elif "g" in extra and not by_row:
+        size *= len(runs)
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-size // config.per_partition))
+    dealt = cells.repartition(parts, "athlete_id").sortWithinPartitions("athlete_id").persist()
+    rows = dealt.select("race_id").filter("race_id is not null").distinct().orderBy("race_id").limit(config.race_limit + 1).toArrow()
     ids = rows["race_id"].to_numpy().astype(np.int64)
     if len(ids) * len(runs) > config.race_limit:
-        raise ValueError(f"{len(runs)} runs of more than {config.race_limit // len(runs)} race effects; see model.refits")
-    return dealt, Kernels(ids, np.array(runs, dtype=np.int64), covariates, "m" in extra, by_row, config.drift)
+        dealt.unpersist()
+        raise ValueError(f"{len(runs)} runs of more than {config.race_limit // len(runs)} race effects; see chunked and model.refits")
+    return dealt, Kernels(ids, np.array(runs, dtype=np.int64), covariates, "m" in extra, by_row, config.drift, weights is not None)
 
 
 def _gauged(v: np.ndarray, theta: np.ndarray, here: np.ndarray, dates: np.ndarray | None) -> None:
@@ -208,22 +246,27 @@ def _gauged(v: np.ndarray, theta: np.ndarray, here: np.ndarray, dates: np.ndarra
 
 
 def fit_runs(
-    cells: DataFrame, runs: list[int] | None = None, config: EngineConfig = EngineConfig(), covariates: tuple[str, ...] = (), dates: DataFrame | None = None, start: DataFrame | None = None, by_row: bool = False
+    cells: DataFrame, runs: list[int] | None = None, config: EngineConfig = EngineConfig(), covariates: tuple[str, ...] = (), dates: DataFrame | None = None, start: DataFrame | None = None, by_row: bool = False,
+    weights: DataFrame | None = None, columns: np.ndarray | None = None, theta: np.ndarray | None = None, hook: Callable[[int, int, float, float], None] | None = None,
 ) -> Fits:
     """Fits of all runs to convergence.
 
     ``cells``: athlete_id, race_id, y, the covariates, and where needed g (array of weights by run), run_id (with ``by_row``), til and
     eligible (drift), rel (a weight for global terms), m (1 where a cell counts for the covariates).  ``dates`` (race_id, x in years) ask
-    for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id) warms the fits.
+    for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id) and
+    ``theta`` (by run) warm the fits.  ``weights`` (athlete_id, g: an array by run) stand for a column g; ``columns`` (by run and covariate) tell which
+    covariates a run has, all if not given.  ``hook`` is called with run, sweep, log likelihood and scale after each sweep of each run.
     """
     spark = cells.sparkSession
     runs = sorted(runs or [0])
-    dealt, kernels = _dealt(cells, covariates, config, runs, by_row)
+    dealt, kernels = _dealt(cells, covariates, config, runs, by_row, weights)
     k, n_runs, n_races = len(covariates), len(runs), len(kernels.ids)
     nu = np.broadcast_to(np.array(config.nu, dtype=float), n_runs)
-    v, theta = np.zeros((n_runs, n_races)), np.zeros((n_runs, k))
+    v, theta = np.zeros((n_runs, n_races)), np.zeros((n_runs, k)) if theta is None else np.array(theta, dtype=float)
+    columns = np.ones((n_runs, k), dtype=bool) if columns is None else np.asarray(columns, dtype=bool)
     s2 = np.full(n_runs, float(dealt.agg(F.var_pop("y")).first()[0] or 1e-300))
-    omega2, t = np.full(n_runs, config.omega2), None
+    omega2, t = np.broadcast_to(np.array(config.omega2, dtype=float), n_runs).copy(), None
+    fixed = np.broadcast_to(np.array(config.omega2_fixed), n_runs)
     if start is not None:
         rows = start.toArrow()
         at = np.searchsorted(kernels.ids, rows["race_id"].to_numpy())
@@ -237,10 +280,10 @@ def fit_runs(
         rows = dates.filter(F.col("race_id").isNotNull()).toArrow()
         by_id = dict(zip(rows["race_id"].to_pylist(), rows["x"].to_pylist(), strict=True))
         t = np.array([by_id[int(i)] for i in kernels.ids])
-    state = _State(v, theta, s2, omega2, nu, np.ones(n_runs, dtype=bool))
+    state = _State(v, theta, s2, omega2, nu, np.ones(n_runs, dtype=bool), columns)
     here, loglik, cells_of = np.ones((n_runs, n_races), dtype=bool), np.zeros(n_runs), np.zeros(n_runs)
     iterations, xs, gs = np.zeros(n_runs, dtype=np.int64), [[] for _ in runs], [[] for _ in runs]
-    trace = []
+    trace, history = [], []
     for it in range(1, config.max_iter + 1):
         shared = spark.sparkContext.broadcast(vars(state))  # race_limit values at most
         kernel, width = kernels.sweep(shared)
@@ -248,29 +291,35 @@ def fit_runs(
         got = dealt.mapInArrow(kernel, "k long, " + ", ".join(f"{n} double" for n in names)).groupBy("k").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         shared.unpersist()
         keys, values = got["k"].to_numpy(), np.stack([got[n].to_numpy() for n in names], axis=1)
-        change = 0.0
+        order = np.argsort(keys)
+        keys, values, change = keys[order], values[order], 0.0
         for r in np.flatnonzero(state.active):
-            of = (keys >= r * n_races) & (keys < (r + 1) * n_races)
+            of = slice(*np.searchsorted(keys, [r * n_races, (r + 1) * n_races]))
             sums = np.zeros((n_races, width))
             sums[keys[of] - r * n_races] = values[of]
-            mine = (keys < 0) & ((-1 - keys) // 1000 == r)
-            whole = values[mine][np.argsort(-keys[mine])].ravel()
+            mine = slice(*np.searchsorted(keys, [-1000 * (r + 1), -1000 * r]))
+            whole = values[mine][::-1].ravel()
             here[r] = sums[:, 1] > 0
-            x, g = _step(state, r, sums, whole, here[r], k, t, config)
+            x, g = _step(state, r, sums, whole, here[r], k, t, config.drift and not fixed[r])
             before = loglik[r]
             loglik[r], cells_of[r] = whole[2] - (whole[4] / (2 * state.omega2[r]) if config.drift else 0.0), whole[1]
             moved = float(np.abs(g - x).max())
             change, iterations[r] = max(change, moved), it
+            history.append((runs[r], it, float(loglik[r]), float(state.s2[r]), float(state.omega2[r]), moved))
+            if hook is not None:
+                hook(runs[r], it, float(loglik[r]), float(state.s2[r]))
             xs[r], gs[r], x = _mixed(xs[r], gs[r], x, g, config.memory)
             if moved <= config.tol or it > 1 and abs(loglik[r] - before) <= config.loglik_tol * (abs(before) + 1):
                 state.active[r], x = False, g
             state.v[r], state.theta[r] = x[:n_races], x[n_races : n_races + k]
-            _gauged(state.v[r], state.theta[r], here[r], t)
+            _gauged(state.v[r], state.theta[r], here[r], t if columns[r].any() else None)
             state.s2[r], state.omega2[r] = np.exp(x[-2]), np.exp(x[-1])
         trace.append((it, change))
         if not state.active.any():
             break
     converged = ~state.active
+    if not converged.all():
+        warnings.warn(f"runs not converged after {config.max_iter} sweeps: {[r for r, c in zip(runs, converged, strict=True) if not c]}", RuntimeWarning, stacklevel=2)
     state.active[:] = True
     shared = spark.sparkContext.broadcast(vars(state))
     athletes = cut(dealt.mapInArrow(kernels.abilities(shared), "run_id long, athlete_id long, u double, d double, pv double, n long"))
@@ -278,10 +327,17 @@ def fit_runs(
     r, j = np.nonzero(here)
     table = pa.table({"run_id": kernels.runs[r], "race_id": kernels.ids[j], "v": state.v[r, j]})
     scales = pa.table({"run_id": kernels.runs, "sigma2": state.s2, "omega2": state.omega2, "loglik": loglik, "n": cells_of, "n_iter": iterations, "converged": converged})
-    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace)
+    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace, history)
+
+
+def chunked(fit: Callable[[list[int]], Fits], runs: list[int], races: int, config: EngineConfig = EngineConfig()) -> Iterator[Fits]:
+    """``fit`` of the runs, as many at a time as the driver holds with so many races each."""
+    size = max(1, config.race_limit // max(1, races))
+    for at in range(0, len(runs), size):
+        yield fit(runs[at : at + size])
 
 
-def _step(state: _State, r: int, sums: np.ndarray, whole: np.ndarray, here: np.ndarray, k: int, t: np.ndarray | None, config: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
+def _step(state: _State, r: int, sums: np.ndarray, whole: np.ndarray, here: np.ndarray, k: int, t: np.ndarray | None, free_omega2: bool) -> tuple[np.ndarray, np.ndarray]:
     """The state of a run as a vector (v, theta, log s2, log omega2), and what one sweep makes of it."""
     x = np.concatenate([state.v[r], state.theta[r], np.log([state.s2[r], state.omega2[r]])])
     v, theta = state.v[r].copy(), state.theta[r].copy()
@@ -291,14 +347,16 @@ def _step(state: _State, r: int, sums: np.ndarray, whole: np.ndarray, here: np.n
         p = sums[:, 2 : 2 + k]
         q = sums[:, 2 + k :] if sums.shape[1] > 2 + k else p
         b, gram = whole[6 : 6 + k], whole[6 + k : 6 + k + k * k].reshape(k, k)
-        left = gram - q.T @ (p / weight[:, None])
-        move = np.linalg.solve(left + 1e-12 * np.eye(k), b - q.T @ step)
+        left, right, mine = gram - q.T @ (p / weight[:, None]), b - q.T @ step, state.columns[r]
+        move = np.zeros(k)
+        scale = 1 / np.sqrt(np.maximum(np.diag(left)[mine], 1e-300))  # high powers and low ones on one footing
+        move[mine] = scale * np.linalg.solve(left[np.ix_(mine, mine)] * np.outer(scale, scale) + 1e-14 * np.eye(mine.sum()), scale * right[mine])
         theta += move
         step = step - (p / weight[:, None]) @ move
     v[here] += step[here]
-    _gauged(v, theta, here, t)
+    _gauged(v, theta, here, t if state.columns[r].any() else None)
     s2 = max(whole[0] / whole[1], 1e-300)
-    omega2 = whole[3] / whole[5] if config.drift and not config.omega2_fixed and whole[5] else state.omega2[r]
+    omega2 = whole[3] / whole[5] if free_omega2 and whole[5] else state.omega2[r]
     return x, np.concatenate([v, theta, np.log([s2, min(max(omega2, 1e-12), 1.0)])])
 
 
