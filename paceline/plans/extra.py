@@ -269,12 +269,12 @@ def rg_screening(spark: SparkSession, d: str) -> DataFrame:
 # ---- the full model
 
 
-def _full(spark: SparkSession, d: str, name: str, config: full.FullConfig) -> full.FullFit:
-    """The fit of a configuration to the slice, saved once under its identity."""
-    path = f"{shared_dir(spark)}/paceline-{name}-{tables.core_fingerprint(spark, d)}-{registry.identity_key(SPEC, config)}"
+def _full(spark: SparkSession, d: str, name: str, config: full.FullConfig, spec: SliceSpec = SPEC) -> full.FullFit:
+    """The fit of a configuration to a slice, saved once under its identity."""
+    path = f"{shared_dir(spark)}/paceline-{name}-{tables.core_fingerprint(spark, d)}-{registry.identity_key(spec, config)}"
     at, fs = tables.hadoop(spark, path + "/settings/_SUCCESS")
     if not fs.exists(at):
-        registry.save_fit(spark, path, full.fit(tables.cached_slice(spark, d, SPEC), config))
+        registry.save_fit(spark, path, full.fit(tables.cached_slice(spark, d, spec), config))
     return registry.load_fit(spark, path)
 
 
