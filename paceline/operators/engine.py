@@ -57,6 +57,7 @@ class Fits:
     theta: dict[int, np.ndarray]
     trace: list[tuple[int, float]] = field(default_factory=list)
     history: list[tuple[int, int, float, float, float, float]] = field(default_factory=list)
+    held_out: DataFrame | None = None  # run_id, n, n_orphans, logdensity, sq: of the cells with weight 0 in a run, if asked for
 
     @property
     def sigma2(self) -> float:
@@ -129,9 +130,11 @@ class Kernels:
     by_row: bool
     drift: bool
     by_athlete: bool
+    slots: np.ndarray | None = None  # the entry of g that a run uses, its own place if not given
 
-    def _shares(self, batches: Iterator[pa.RecordBatch], state: _State) -> Iterator[tuple]:
-        """(run, athlete ids, who, race, y less globals, g, rel, m, x, til, eligible, columns of x) of each active run of a task."""
+    def _shares(self, batches: Iterator[pa.RecordBatch], state: _State, left_out: bool = False) -> Iterator[tuple]:
+        """(run, athlete ids, who, race, y less globals, g, rel, m, x, til, eligible, columns of x) of each active run of a task; with
+        ``left_out`` also (athlete, race, y less globals, til) of the cells that have weight 0 in it."""
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
@@ -153,7 +156,7 @@ class Kernels:
         row = None if own is None else np.searchsorted(own[0], athlete)
         of_run = np.searchsorted(self.runs, col("run_id")) if self.by_row else None
         for r in np.flatnonzero(state.active):
-            of = own[1][row, r] if own is not None else None if many is None else many[:, 0 if self.by_row else r]
+            of = own[1][row, r] if own is not None else None if many is None else many[:, 0 if self.by_row else r if self.slots is None else self.slots[r]]
             at = np.flatnonzero(of_run == r) if self.by_row else np.flatnonzero(of > 0) if of is not None else np.arange(len(y))
             if not len(at):
                 continue
@@ -164,7 +167,11 @@ class Kernels:
             pick = lambda z: None if z is None else z[at]  # noqa: E731, B023
             chosen = x[columns][:, at]
             rest = y[at] - state.v[r][race[at]] - state.theta[r][columns] @ chosen
-            yield r, mine[first], who, race[at], rest, g, pick(rel), pick(m), chosen, pick(til), None if eligible is None else eligible[at][first], columns
+            out = r, mine[first], who, race[at], rest, g, pick(rel), pick(m), chosen, pick(til), None if eligible is None else eligible[at][first], columns
+            if left_out:
+                no = np.flatnonzero(of == 0)
+                out += (athlete[no], race[no], y[no] - state.v[r][race[no]] - state.theta[r][columns] @ x[columns][:, no], None if til is None else til[no])
+            yield out
 
     def sweep(self, shared):  # noqa: ANN001, ANN201  a broadcast state
         k, n_races, drift = len(self.covariates), len(self.ids), self.drift
@@ -214,6 +221,24 @@ class Kernels:
         return run
 
 
+    def held_out(self, shared):  # noqa: ANN001, ANN201  a broadcast (state, races fitted by run)
+        """Scores of the cells that a run does not use, where its athlete and race were fitted; nothing is joined, as an athlete's cells are together."""
+        drift = self.drift
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, here = shared.value
+            s = _State(**state)
+            for r, ids, who, _, rest, g, _, _, _, til, eligible, _, athlete, race, y, til_out in self._shares(batches, s, True):
+                u, d, *_ = solve_athletes(rest, who, len(ids), g, til if drift else None, eligible, s.s2[r], s.omega2[r], s.nu[r])
+                at = np.minimum(np.searchsorted(ids, athlete), len(ids) - 1)
+                known = (ids[at] == athlete) & here[r][race]
+                e = (y - u[at] - (d[at] * til_out if drift else 0.0))[known]
+                values = [self.runs[r], int(known.sum()), int((~known).sum()), float(_density(e, s.s2[r], s.nu[r]).sum()), float((e * e).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in values], names=["run_id", "n", "n_orphans", "logdensity", "sq"])
+
+        return run
+
+
 def _dealt(cells: DataFrame, covariates: tuple[str, ...], config: EngineConfig, runs: list[int], by_row: bool, weights: DataFrame | None) -> tuple[DataFrame, Kernels]:
     """The cells, and rows of weights by athlete without a race, dealt by athlete and kept, and their kernels."""
     extra = [c for c in ("run_id", "g", "til", "eligible", "rel", "m") if c in cells.columns]
@@ -222,8 +247,6 @@ def _dealt(cells: DataFrame, covariates: tuple[str, ...], config: EngineConfig,
     if weights is not None:
         size += weights.count() * len(runs)
         cells = cells.drop("g").unionByName(weights.select("athlete_id", "g"), allowMissingColumns=True)
-    elif "g" in extra and not by_row:
-        size *= len(runs)
     parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-size // config.per_partition))
     dealt = cells.repartition(parts, "athlete_id").sortWithinPartitions("athlete_id").persist()
     rows = dealt.select("race_id").filter("race_id is not null").distinct().orderBy("race_id").limit(config.race_limit + 1).toArrow()
@@ -248,6 +271,7 @@ def _gauged(v: np.ndarray, theta: np.ndarray, here: np.ndarray, dates: np.ndarra
 def fit_runs(
     cells: DataFrame, runs: list[int] | None = None, config: EngineConfig = EngineConfig(), covariates: tuple[str, ...] = (), dates: DataFrame | None = None, start: DataFrame | None = None, by_row: bool = False,
     weights: DataFrame | None = None, columns: np.ndarray | None = None, theta: np.ndarray | None = None, hook: Callable[[int, int, float, float], None] | None = None,
+    slots: list[int] | None = None, score: bool = False,
 ) -> Fits:
     """Fits of all runs to convergence.
 
@@ -255,11 +279,13 @@ def fit_runs(
     eligible (drift), rel (a weight for global terms), m (1 where a cell counts for the covariates).  ``dates`` (race_id, x in years) ask
     for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id) and
     ``theta`` (by run) warm the fits.  ``weights`` (athlete_id, g: an array by run) stand for a column g; ``columns`` (by run and covariate) tell which
-    covariates a run has, all if not given.  ``hook`` is called with run, sweep, log likelihood and scale after each sweep of each run.
+    covariates a run has, all if not given; ``slots`` which entry of g a run uses, so that runs may share one.  ``hook`` is called with run, sweep, log
+    likelihood and scale after each sweep of each run.  ``score`` asks for the held-out scores of the cells that runs leave out.
     """
     spark = cells.sparkSession
     runs = sorted(runs or [0])
     dealt, kernels = _dealt(cells, covariates, config, runs, by_row, weights)
+    kernels.slots = None if slots is None else np.array(slots)
     k, n_runs, n_races = len(covariates), len(runs), len(kernels.ids)
     nu = np.broadcast_to(np.array(config.nu, dtype=float), n_runs)
     v, theta = np.zeros((n_runs, n_races)), np.zeros((n_runs, k)) if theta is None else np.array(theta, dtype=float)
@@ -323,11 +349,17 @@ def fit_runs(
     state.active[:] = True
     shared = spark.sparkContext.broadcast(vars(state))
     athletes = cut(dealt.mapInArrow(kernels.abilities(shared), "run_id long, athlete_id long, u double, d double, pv double, n long"))
+    held_out = None
+    if score:
+        shared = spark.sparkContext.broadcast((vars(state), here))
+        sums = ("n", "n_orphans", "logdensity", "sq")
+        held_out = dealt.mapInArrow(kernels.held_out(shared), "run_id long, n long, n_orphans long, logdensity double, sq double").groupBy("run_id").agg(*(F.sum(c).alias(c) for c in sums))
+        held_out = spark.createDataFrame(held_out.toArrow())  # a row a run
     dealt.unpersist()
     r, j = np.nonzero(here)
     table = pa.table({"run_id": kernels.runs[r], "race_id": kernels.ids[j], "v": state.v[r, j]})
     scales = pa.table({"run_id": kernels.runs, "sigma2": state.s2, "omega2": state.omega2, "loglik": loglik, "n": cells_of, "n_iter": iterations, "converged": converged})
-    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace, history)
+    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace, history, held_out)
 
 
 def chunked(fit: Callable[[list[int]], Fits], runs: list[int], races: int, config: EngineConfig = EngineConfig()) -> Iterator[Fits]:
@@ -356,8 +388,8 @@ def _step(state: _State, r: int, sums: np.ndarray, whole: np.ndarray, here: np.n
     v[here] += step[here]
     _gauged(v, theta, here, t if state.columns[r].any() else None)
     s2 = max(whole[0] / whole[1], 1e-300)
-    omega2 = whole[3] / whole[5] if free_omega2 and whole[5] else state.omega2[r]
-    return x, np.concatenate([v, theta, np.log([s2, min(max(omega2, 1e-12), 1.0)])])
+    omega2 = min(max(whole[3] / whole[5], 1e-12), 1.0) if free_omega2 and whole[5] else state.omega2[r]
+    return x, np.concatenate([v, theta, np.log([s2, omega2])])
 
 
 def _mixed(xs: list, gs: list, x: np.ndarray, g: np.ndarray, memory: int) -> tuple[list, list, np.ndarray]:

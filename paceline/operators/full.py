@@ -10,11 +10,12 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import natural_spline, rounded
-from paceline.operators import curves, engine, inference
+from paceline.operators import curves, engine
 from paceline.operators.slices import cut
 
 
@@ -180,25 +181,115 @@ def curve_descriptors(points: DataFrame, value: str = "career") -> DataFrame:
     )
 
 
+def wide_design(cells: DataFrame, forms: dict[str, FullConfig]) -> tuple[DataFrame, tuple[str, ...], np.ndarray]:
+    """(cells with the terms of all forms side by side, their names, which of them each form has); terms that forms share stand once.
+
+    The linear term comes first.  Splines of as many knots share their knots; entry age is centred once for all.
+    """
+    mean_ae = cells.select("athlete_id", "a_e").distinct().agg(F.avg("a_e")).first()[0] or 0.0
+    x, centred = F.col("a_n"), F.coalesce(F.col("a_e") - mean_ae, F.lit(0.0))
+    known: dict[str, Column] = {"x": x}
+    knots: dict[int, tuple[float, ...]] = {}
+    wanted = []
+    for c in forms.values():
+        career = {}
+        if c.basis == "poly":
+            career = {"x": x} | {f"x{d}": F.pow(x, d) for d in range(2, c.degree + 1)}
+        elif c.basis == "spline":
+            at = c.knots or knots.setdefault(c.n_knots, tuple(curves.knots(cells, c.n_knots)))
+            name = f"s{c.n_knots}" if not c.knots else "s" + "_".join(f"{q:g}" for q in at).replace(".", "p")
+            career = {"x": x} | {f"{name}_{i}": b for i, b in enumerate(natural_spline(x, list(at))[1:], 1)}
+        entry = {None: [], "scalar": ["x"], "varying": list(career)}[c.gamma]
+        mine = career | {f"e_{n}": centred * career.get(n, x) for n in entry}
+        known |= mine
+        wanted.append(set(mine))
+    names = tuple(known)
+    kept = [c for c in ("g", "run_id", "fold") if c in cells.columns]
+    return cells.select("athlete_id", "race_id", "y", *kept, *(v.alias(n) for n, v in known.items())), names, np.array([[n in w for n in names] for w in wanted])
+
+
+def form_fits(marked: DataFrame, k: int, forms: dict[str, FullConfig]) -> DataFrame:
+    """form, fold, n, n_orphans, logdensity, rmse (of held-out cells), loglik, n_params, n_iter, converged: every form fitted to the cells of all folds but
+    one, and to all cells (fold null), as runs of one plan.
+
+    Forms of one noise law are fitted together, Gaussian first, and the others warm from the law before where they have the same terms.  A run knows
+    its columns of the wide design and its entry of k + 1 weights, so that cells are held once, however many the forms.  Cells are scored where
+    their athlete was solved.
+    """
+    every = [n for n in forms]
+    ready, names, masks = wide_design(marked.withColumn("g", F.array(*((F.col("fold") != f).cast("double") for f in range(k)), F.lit(1.0))), forms)
+    ready = cut(ready)
+    n_athletes, n_races = marked.agg(F.count_distinct("athlete_id"), F.count_distinct("race_id")).first()
+    dates = cut(race_years(marked)) if any(c.basis for c in forms.values()) else None
+    rows, warm = [], {}
+    for nu in sorted({c.nu for c in forms.values()}, reverse=True):
+        same = [i for i, n in enumerate(every) if forms[n].nu == nu]
+        size = max(1, 5_000_000 // ((k + 1) * max(1, n_races)))  # forms whose race effects the driver holds at once
+        for chunk in (same[at : at + size] for at in range(0, len(same), size)):
+            runs = list(range(len(chunk) * (k + 1)))
+            of = lambda run: chunk[run // (k + 1)]  # noqa: E731, B023
+            before = [warm.get((masks[of(r)].tobytes(), r % (k + 1))) for r in runs]
+            first = forms[every[chunk[0]]]
+            settings = engine.EngineConfig(nu, tol=first.tol, loglik_tol=1e-12, max_iter=first.max_iter)  # high powers move long after the fit stands
+            theta = np.array([b[0] if b else np.zeros(len(names)) for b in before])
+            start = None
+            if all(b is not None for b in before):
+                start = ready.sparkSession.createDataFrame(pa.concat_tables([b[1].append_column("run_id", pa.array(np.full(len(b[1]), r))) for r, b in zip(runs, before, strict=True)]))
+            fits = engine.fit_runs(ready, runs, settings, names, dates, start, columns=masks[[of(r) for r in runs]], theta=theta, slots=[r % (k + 1) for r in runs], score=True)
+            scores = {r["run_id"]: r for r in fits.held_out.collect()}  # a row a run, as the next two
+            scales = {r["run_id"]: r for r in fits.scales.collect()}
+            races = fits.races.select("run_id", "race_id", "v").orderBy("run_id").toArrow()
+            bounds = np.searchsorted(races["run_id"].to_numpy(), [*runs, len(runs)])
+            for r in runs:
+                form, fold, s, scale = every[of(r)], r % (k + 1), scores.get(r), scales[r]
+                warm[masks[of(r)].tobytes(), fold] = fits.theta[r], races.slice(bounds[r], bounds[r + 1] - bounds[r]).select(["race_id", "v"])
+                n_params = n_athletes + n_races - 1 + int(masks[of(r)].sum()) + 1
+                held = (s["n"], s["n_orphans"], s["logdensity"], math.sqrt(s["sq"] / max(1, s["n"]))) if fold < k else (None,) * 4
+                rows.append((form, fold if fold < k else None, *held, scale["loglik"], n_params, scale["n_iter"], scale["converged"]))
+    schema = "form string, fold long, n long, n_orphans long, logdensity double, rmse double, loglik double, n_params long, n_iter long, converged boolean"
+    return ready.sparkSession.createDataFrame(rows, schema)
+
+
 def form_scores(marked: DataFrame, k: int, forms: dict[str, FullConfig]) -> DataFrame:
-    """form, fold, n, logdensity, rmse: held-out scores; drift takes no part in them, as it belongs to the athletes of the fit."""
-    out = None
-    for name, config in forms.items():
-        weights = F.array(*((F.col("fold") != f).cast("double") for f in range(k)))
-        ready, names, _, _ = design(marked.withColumn("g", weights), replace(config, drift=False))
-        settings = engine.EngineConfig(config.nu, tol=config.tol, max_iter=config.max_iter)
-        dates = race_years(marked) if config.basis else None
-        fits = engine.fit_runs(ready, list(range(k)), settings, names, dates)
-        curve = F.lit(0.0)
-        for j, x in enumerate(names):
-            curve = curve + F.col(x) * F.get(F.array(*(F.lit(float(fits.theta[f][j])) for f in range(k))), F.col("fold").cast("int"))
-        rest = inference.held_out_residuals(ready.withColumn("y", F.col("y") - curve), fits, k)
-        one = rest.filter("r is not null").groupBy("fold").agg(
-            F.count("*").alias("n"), F.sum(inference.log_density(F.col("r"), F.col("s2"), config.nu)).alias("logdensity"), F.sqrt(F.avg(F.col("r") ** 2)).alias("rmse")
-        )
-        one = cut(one.select(F.lit(name).alias("form"), "fold", "n", "logdensity", "rmse"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """form, fold, n, logdensity, rmse: held-out scores of ``form_fits``; drift takes no part in them, as it belongs to the athletes of the fit."""
+    return form_fits(marked, k, forms).filter("fold is not null").select("form", "fold", "n", "logdensity", "rmse")
+
+
+def omega_refits(cells: DataFrame, config: FullConfig, omegas: list[float], fixed: list[bool], warm: FullFit | None = None, max_iter: int = 1000) -> tuple[engine.Fits, list[str], tuple[float, ...], float]:
+    """(fits, names, knots, mean entry age): a refit for each prior variance of drifts, held there or only begun there, as runs of one plan.
+
+    ``warm`` begins them all at the races and coefficients of a fit.
+    """
+    ready, names, knots, mean_ae = design(cells, replace(config, drift=True, knots=warm.knots if warm else config.knots))
+    dates = race_years(cells) if config.gauge_slope and config.basis else None
+    settings = engine.EngineConfig(config.nu, True, tuple(omegas), tuple(fixed), config.tol, config.loglik_tol, max_iter)
+    runs = list(range(len(omegas)))
+    start = None if warm is None else warm.fits.races.select("race_id", "v")
+    theta = None if warm is None else np.tile(warm.theta, (len(runs), 1))
+    return engine.fit_runs(ready, runs, settings, names, dates, start, theta=theta), list(names), knots, mean_ae
+
+
+def omega_metrics(fits: engine.Fits, n_params: int) -> DataFrame:
+    """By run: log likelihoods (of the data, penalised, and marginal over drifts by Laplace), degrees of freedom, criteria, the spread of drifts, and
+    how far abilities and races lie from run 0."""
+    athletes, known = fits.athletes.join(F.broadcast(fits.scales.select("run_id", "omega2")), "run_id"), F.col("pv") > 0  # one row a run
+    ridge, d = 1 / F.col("omega2"), F.when(known, F.col("d"))
+    signal = F.greatest(1 / F.col("pv") - ridge, F.lit(0.0))
+    base = fits.athletes.filter("run_id = 0").select("athlete_id", F.col("u").alias("u0"))
+    drifts = athletes.join(base, "athlete_id").groupBy("run_id").agg(
+        F.count_if(known).alias("n_eligible"), F.sum(d * d).alias("square"), F.sum(F.when(known, F.log("pv"))).alias("log_pv"), F.sum(F.when(known, signal / (signal + ridge))).alias("edf_d"),
+        F.stddev_samp(d).alias("d_sd"), F.avg((d < 0).cast("double")).alias("frac_improver"), F.avg((F.abs(d) > 2 * F.sqrt("pv")).cast("double")).alias("frac_credible"),
+        F.corr(d, F.when(known, F.col("u"))).alias("corr_du"), F.corr("u", "u0").alias("corr_u"),
+    )
+    v0 = fits.races.filter("run_id = 0").select("race_id", F.col("v").alias("v0"))
+    gap = F.col("v") - F.col("v0")
+    races = fits.races.join(v0, "race_id").groupBy("run_id").agg(F.corr("v", "v0").alias("corr_v"), F.max(F.abs(gap)).alias("max_dv"), F.sqrt(F.avg(gap * gap)).alias("rms_dv"))
+    one = fits.scales.join(drifts, "run_id").join(races, "run_id")
+    data = F.col("loglik") + F.col("square") / (2 * F.col("omega2"))
+    total = F.lit(float(n_params)) + F.col("edf_d")
+    return one.withColumn("data_loglik", data).withColumn("log_ml", F.col("loglik") - 0.5 * F.col("n_eligible") * F.log("omega2") + 0.5 * F.col("log_pv")).withColumns(
+        {"aic": 2 * total - 2 * F.col("data_loglik"), "bic": F.log("n") * total - 2 * F.col("data_loglik")}
+    )
 
 
 def best_of_starts(cells: DataFrame, config: FullConfig, restarts: int = 2, spread: float = 0.05, seed: int = 7) -> tuple[FullFit, DataFrame]:

@@ -334,15 +334,6 @@ def nm_best_of_starts(spark: SparkSession, d: str) -> DataFrame:
     return table.select("run", rounded(F.col("loglik"), 3).alias("loglik"), (F.col("max_shift") < 1e-7).alias("same"))
 
 
-@query()
-def rs_form_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Forms of the career curve by cross-validation; the form without one is compared with rs_held_out in the tests."""
-    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
-    forms = {"none": full.baseline(8.0), "poly2-gscalar": full.FullConfig(8.0, "poly", degree=2, gamma="scalar"), "spline4-gvarying": full.aging(8.0)}
-    scores = full.form_scores(marked, 5, forms).withColumnRenamed("form", "nu")
-    return selection.rollup(scores).withColumnRenamed("nu", "form")
-
-
 @query(
     f"SELECT out_, count(*) n_cells, count(DISTINCT athlete_id) n_athletes, {_r('avg(a_n)')} mean_a_n FROM (SELECT athlete_id, race_id, a_n, 'W' out_ FROM cells JOIN athletes USING (athlete_id) WHERE sex = 'W') GROUP BY out_", _SLICE
 )

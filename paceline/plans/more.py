@@ -353,17 +353,3 @@ def rg_random_intercept(spark: SparkSession, d: str) -> DataFrame:
     """Restricted likelihood; compared with a direct computation in the tests."""
     data = _weather(spark, d)
     return regression.as_table(data, regression.random_intercept(data, "v", ["temp", "gain"], "series_key"), ["temp", "gain"])
-
-
-#: Runs of each operation and rate in the registered query; a parameter of the operator, 50 in the published study.
-MISMATCH_RUNS = 2
-
-
-@query()
-def sn_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    """Refits under broken, joined and both kinds of wrong identities, at the published rates, all in one plan."""
-    people = adapter.athletes(spark, d)
-    cells, _, v = _fitted(spark, d)
-    cells = cells.join(people.select("athlete_id", slices.yob_mid().alias("yob")), "athlete_id")
-    rates = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
-    return sensitivity.mismatch_sweep(cells, people, ["break", "join", "both"], rates, MISMATCH_RUNS, SEED, SPEC, v, NU)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import rounded
-from paceline.operators import fan, full
+from paceline.operators import fan, full, inference, mismatch, selection, slices
 from paceline.operators.slices import SliceSpec
 from paceline.plans.extra import _full
-from paceline.plans.queries import SEED, SPEC, query
-from paceline.sources import registry, tables
+from paceline.plans.queries import NU, SEED, SPEC, _boot, _fitted, query
+from paceline.sources import adapter, registry, tables
+from paceline.sources.ledger import Ledger
+from paceline.sources.scratch import shared_dir
 
 REPLICATES = 100
 ENTRY_AGES = [35.0, 45.0, 55.0, 65.0]
@@ -63,3 +66,127 @@ def rk_career_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Descriptors of the career curve with intervals over the replicates of rk_aging_fan."""
     cells, _, made = _replicates(spark, d, SPEC, replace(PRODUCTION, drift=False))
     return fan.descriptors(fan.curves_by_run(made, fan.grid(spark, fan.horizon(cells), 400)))
+
+
+# ---- selection of forms and of the spread of drifts
+
+
+def _form_fits(spark: SparkSession, d: str) -> DataFrame:
+    forms = {"none-8": full.baseline(8.0), "none-inf": full.baseline(math.inf)} | full.candidates()
+    key = (tables.core_fingerprint(spark, d), SPEC.key, SEED, sorted(forms))
+    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
+    return tables.cached(spark, "form-fits", key, lambda: full.form_fits(marked, 5, forms))
+
+
+@query()
+def rs_form_selection(spark: SparkSession, d: str) -> DataFrame:
+    """All 54 forms of the career curve, and none, by cross-validation: held-out scores over five folds, the fit to all cells, and the best form of
+    each noise law; forms fitted alone give the same figures in the tests."""
+    fits = _form_fits(spark, d)
+    scores = selection.rollup(fits.filter("fold is not null").withColumnRenamed("form", "nu")).withColumnRenamed("nu", "form")
+    whole = fits.filter("fold is null").select("form", "loglik", (2 * F.col("n_params") - 2 * F.col("loglik")).alias("aic"), "n_params", "n_iter", "converged")
+    law = F.substring_index("form", "-", -1)
+    best = scores.groupBy(law.alias("law")).agg(F.max_by("form", "mean").alias("best"))
+    out = scores.drop("near_best").join(whole, "form").withColumn("law", law).join(F.broadcast(best), "law")  # two laws
+    bic = rounded(F.col("n_params") * F.log("n") - 2 * F.col("loglik"), 2)
+    return out.select("form", "n", "total", "mean", "se", "rmse", rounded(F.col("loglik"), 3).alias("loglik"), "n_params", rounded(F.col("aic"), 2).alias("aic"), bic.alias("bic"), "converged", (F.col("form") == F.col("best")).alias("best"))
+
+
+@query()
+def rs_form_folds(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out scores of rs_form_selection fold by fold."""
+    return _form_fits(spark, d).filter("fold is not null").select("form", "fold", "n", "n_orphans", rounded(F.col("logdensity"), 3).alias("logdensity"), rounded(F.col("rmse")).alias("rmse"))
+
+
+#: Published multiples of the fitted prior variance and published starts of it; whole decades besides, for an estimate that is nearly nothing.
+MULTIPLES = (1 / 100, 1 / 30, 1 / 10, 1 / 3, 1 / 2, 1.0, 2.0, 3.0, 10.0, 30.0, 100.0)
+DECADES = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
+STARTS = (1e-8, 1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
+
+
+def _omega_rows(fits, names: list[str], knots: tuple[float, ...], mean_ae: float, cells: DataFrame, point: full.FullFit) -> DataFrame:  # noqa: ANN001
+    """Metrics by run, with how far the curves lie from those of run 0."""
+    spark, k = cells.sparkSession, point.n_basis
+    n_params = full.n_params(point) - point.fits.athletes.filter("pv > 0").count()
+    rows = [(run, "career" if j < k else "entry", j if j < k else j - k, float(x)) for run, t in fits.theta.items() for j, x in enumerate(t)]
+    made = fan.Replicates(point.config, knots, mean_ae, spark.createDataFrame(rows, "run_id long, block string, k int, value double"), fits.scales)
+    curves = fan.curves_by_run(made, fan.grid(spark, fan.horizon(cells)))
+    base = curves.filter("run_id = 0").select("point", F.col("career").alias("c0"), F.col("fan").alias("f0"))
+    gap = curves.join(F.broadcast(base), "point").groupBy("run_id").agg(F.max(F.abs(F.col("career") - F.col("c0"))).alias("career_dev"), F.max(10 * F.abs(F.col("fan") - F.col("f0"))).alias("entry_dev"))  # a grid
+    return full.omega_metrics(fits, n_params).join(gap, "run_id")
+
+
+_OMEGA_COLUMNS = {"data_loglik": 2, "log_ml": 2, "edf_d": 2, "aic": 2, "bic": 2, "d_sd": 7, "frac_improver": 4, "frac_credible": 4, "corr_du": 4, "sigma2": 8, "corr_u": 6, "corr_v": 6, "max_dv": 5, "rms_dv": 6, "career_dev": 5, "entry_dev": 5}
+
+
+@query()
+def rs_omega_refits(spark: SparkSession, d: str) -> DataFrame:
+    """The spread of drifts held at published multiples of its estimate and at whole decades, everything else refitted to convergence each time, as runs of one plan beside
+    the free fit (run 0); refits with the same values in NumPy agree in the tests."""
+    cells, point = tables.cached_slice(spark, d, SPEC), _full(spark, d, "omega", PRODUCTION)
+    free = float(point.fits.scales.first()["omega2"])
+    multiples = (1.0, *MULTIPLES, *(x / free for x in DECADES))
+    fits, *rest = full.omega_refits(cells, PRODUCTION, [free * m for m in multiples], [False] + [True] * (len(multiples) - 1), point)
+    out = _omega_rows(fits, *rest, cells, point)
+    multiple = F.get(F.array(*map(F.lit, multiples)), F.col("run_id").cast("int"))
+    columns = (rounded(F.col(c), digits).alias(c) for c, digits in _OMEGA_COLUMNS.items())
+    return out.select((F.col("run_id") == 0).alias("free"), rounded(F.log10(multiple), 4).alias("log10_multiple"), rounded(F.log10("omega2"), 4).alias("log10_omega2"), "n_eligible", *columns, "converged")
+
+
+@query()
+def rs_omega_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The free fit begun at published prior variances, and (run 0) at a ten-thousandth of the noise: all should end at one."""
+    cells, point, aging = tables.cached_slice(spark, d, SPEC), _full(spark, d, "omega", PRODUCTION), _full(spark, d, "aging", full.aging(8.0))
+    starts = (aging.fits.sigma2 / 1e4, *STARTS)
+    fits, *rest = full.omega_refits(cells, replace(PRODUCTION, loglik_tol=1e-12), list(starts), [False] * len(starts), aging)
+    out = _omega_rows(fits, *rest, cells, point)
+    start = F.log10(F.get(F.array(*map(F.lit, starts)), F.col("run_id").cast("int")))
+    base = out.filter("run_id = 0").select(F.col("log_ml").alias("log_ml0"))
+    out = out.crossJoin(F.broadcast(base))  # one row
+    return out.select((F.col("run_id") == 0).alias("reference"), rounded(start, 3).alias("log10_start"), rounded(F.log10("omega2"), 3).alias("log10_omega2"), (F.abs(F.col("log_ml") - F.col("log_ml0")) < 0.05).alias("same"), rounded(F.col("log_ml"), 2).alias("log_ml"), "converged")
+
+
+# ---- wrong identities
+
+#: Runs of each operation and rate in the registered queries; a parameter of the operator, 50 in the published study.
+MISMATCH_RUNS = 2
+RATES = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
+OPERATIONS = ["break", "join", "both"]
+
+
+def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(races of all runs, the fit without errors); the runs stay in a ledger, to which a longer sweep adds."""
+    people = adapter.athletes(spark, d)
+    cells, _, v = _fitted(spark, d)
+    cells = cells.join(people.select("athlete_id", slices.yob_mid().alias("yob")), "athlete_id")
+    signature = {"core": tables.core_fingerprint(spark, d), "spec": SPEC.key, "nu": NU, "seed": SEED}
+    ledger = Ledger(spark, f"{shared_dir(spark)}/paceline-mismatch-{signature['core']}-{SPEC.key}", signature, mismatch.KEYS)
+    races = mismatch.sweep(ledger, cells, people, OPERATIONS, RATES, MISMATCH_RUNS, SEED, SPEC, v, NU)
+    return races.filter(F.col("run_id") <= MISMATCH_RUNS), v
+
+
+@query()
+def sn_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Refits under broken, joined and both kinds of wrong identities, at the published rates, by chunks of runs kept in a ledger."""
+    return mismatch.shifts(*_sweep(spark, d))
+
+
+@query()
+def sn_mismatch_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Rank agreement, bias, spread against the bootstrap's, realised rates and the rate at which they meet, from the runs of sn_mismatch; compared
+    with NumPy in the tests."""
+    races, v = _sweep(spark, d)
+    spread = _boot(spark, d)[1].groupBy("race_id").agg(F.stddev_samp("v").alias("boot_sd"))
+    out = mismatch.summary(races, v, spread)
+    digits = {"record_frac": 5, "athlete_rate": 5, "p_star": 4}
+    counts = ["op", "n_runs", "n_ratio"]
+    return out.select(*counts, "p", *(rounded(F.col(c), digits.get(c, 5)).alias(c) for c in out.columns if c not in (*counts, "p")))
+
+
+@query()
+def sn_mismatch_races(spark: SparkSession, d: str) -> DataFrame:
+    """Race by race the bias and the spread that wrong identities bring."""
+    races, v = _sweep(spark, d)
+    spread = _boot(spark, d)[1].groupBy("race_id").agg(F.stddev_samp("v").alias("boot_sd"))
+    out = mismatch.by_race(races, v, spread)
+    return out.select("op", "p", "race_id", *(rounded(F.col(c)).alias(c) for c in ("v_point", "dv_mean", "dv_sd", "boot_sd", "ratio")), "n_runs")
