@@ -3,7 +3,8 @@
 A notice of a catalogue may be misspelt by up to ``errors`` edits (insertions, deletions, substitutions).  Split into
 errors + 1 pieces, at least one piece then stands in the text unharmed: one Aho-Corasick pass over the normalised
 text finds the pieces of all notices, each find gives the window in which its notice can lie, and the regex
-library's bounded-error matching verifies the window and reports the span and its edits.
+library's bounded-error matching verifies that window alone and reports the span and its edits.  Windows are never merged, so that the
+work is a bounded search for each find, however closely notices follow each other.
 
 The normalised text is its alphanumeric words joined by single blanks, so that line breaks, punctuation and
 markup do not count as edits.  Base phrases are runs of whole words in it.
@@ -83,18 +84,10 @@ class NoticeFinder:
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) in characters of a normalised text."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int]] = set()
         for end, (length, owners) in self.seeds.iter(text):
-            for k, offset in owners:
-                _, size, errors, _ = self.patterns[k]
-                start = end + 1 - length - offset
-                lo, hi = max(0, start - errors), min(len(text), start + size + errors + 1)
-                mine = windows.setdefault(k, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(lo, mine[-1][0]), max(hi, mine[-1][1])
-                else:
-                    mine.append([lo, hi])
-        hits = [hit for k, spans in windows.items() for hit in self._verify(text, k, spans)]
+            windows.update((k, end + 1 - length - offset) for k, offset in owners)
+        hits = {hit for k, start in windows if (hit := self._verify(text, k, start))}
         best: list[tuple[int, int, str, int]] = []  # ascending and apart from each other
         for hit in sorted(hits, key=lambda x: (x[3], x[0] - x[1], x)):
             at = bisect_left(best, hit)
@@ -102,16 +95,12 @@ class NoticeFinder:
                 best.insert(at, hit)
         return best
 
-    def _verify(self, text: str, k: int, spans: list[list[int]]) -> Iterator[tuple[int, int, str, int]]:
-        """The best match of each span, then those of what is left before and behind it."""
+    def _verify(self, text: str, k: int, start: int) -> tuple[int, int, str, int] | None:
+        """The best match where notice k would begin at ``start`` without edits: the window has room for its edits on either side, and not for
+        two notices, so that one search of bounded length does."""
         label, size, errors, pattern = self.patterns[k]
-        left = list(spans)
-        while left:
-            lo, hi = left.pop()
-            m = pattern.search(text, lo, hi) if hi - lo >= size - errors else None
-            if m:
-                yield m.start(), m.end(), label, sum(m.fuzzy_counts)
-                left += [(lo, m.start()), (m.end(), hi)]
+        m = pattern.search(text, max(0, start - errors), min(len(text), start + size + errors + 1))
+        return (m.start(), m.end(), label, sum(m.fuzzy_counts)) if m else None
 
 
 def split_pieces(notice: str, n: int) -> list[tuple[int, str]]:
