@@ -57,6 +57,7 @@ class Fits:
     theta: dict[int, np.ndarray]
     trace: list[tuple[int, float]] = field(default_factory=list)
     history: list[tuple[int, int, float, float, float, float]] = field(default_factory=list)
+    paths: DataFrame | None = None  # run_id, sweep, race_id, v, if asked for
     held_out: DataFrame | None = None  # run_id, n, n_orphans, logdensity, sq: of the cells with weight 0 in a run, if asked for
 
     @property
@@ -271,7 +272,7 @@ def _gauged(v: np.ndarray, theta: np.ndarray, here: np.ndarray, dates: np.ndarra
 def fit_runs(
     cells: DataFrame, runs: list[int] | None = None, config: EngineConfig = EngineConfig(), covariates: tuple[str, ...] = (), dates: DataFrame | None = None, start: DataFrame | None = None, by_row: bool = False,
     weights: DataFrame | None = None, columns: np.ndarray | None = None, theta: np.ndarray | None = None, hook: Callable[[int, int, float, float], None] | None = None,
-    slots: list[int] | None = None, score: bool = False,
+    slots: list[int] | None = None, score: bool = False, keep_paths: bool = False,
 ) -> Fits:
     """Fits of all runs to convergence.
 
@@ -280,7 +281,8 @@ def fit_runs(
     for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id) and
     ``theta`` (by run) warm the fits.  ``weights`` (athlete_id, g: an array by run) stand for a column g; ``columns`` (by run and covariate) tell which
     covariates a run has, all if not given; ``slots`` which entry of g a run uses, so that runs may share one.  ``hook`` is called with run, sweep, log
-    likelihood and scale after each sweep of each run.  ``score`` asks for the held-out scores of the cells that runs leave out.
+    likelihood and scale after each sweep of each run.  ``score`` asks for the held-out scores of the cells that runs leave out,
+    ``keep_paths`` for the race effects after each sweep.
     """
     spark = cells.sparkSession
     runs = sorted(runs or [0])
@@ -309,7 +311,7 @@ def fit_runs(
     state = _State(v, theta, s2, omega2, nu, np.ones(n_runs, dtype=bool), columns)
     here, loglik, cells_of = np.ones((n_runs, n_races), dtype=bool), np.zeros(n_runs), np.zeros(n_runs)
     iterations, xs, gs = np.zeros(n_runs, dtype=np.int64), [[] for _ in runs], [[] for _ in runs]
-    trace, history = [], []
+    trace, history, steps = [], [], []
     for it in range(1, config.max_iter + 1):
         shared = spark.sparkContext.broadcast(vars(state))  # race_limit values at most
         kernel, width = kernels.sweep(shared)
@@ -340,6 +342,8 @@ def fit_runs(
             state.v[r], state.theta[r] = x[:n_races], x[n_races : n_races + k]
             _gauged(state.v[r], state.theta[r], here[r], t if columns[r].any() else None)
             state.s2[r], state.omega2[r] = np.exp(x[-2]), np.exp(x[-1])
+            if keep_paths:
+                steps.append((runs[r], it, state.v[r][here[r]].copy(), kernels.ids[here[r]]))
         trace.append((it, change))
         if not state.active.any():
             break
@@ -356,10 +360,15 @@ def fit_runs(
         held_out = dealt.mapInArrow(kernels.held_out(shared), "run_id long, n long, n_orphans long, logdensity double, sq double").groupBy("run_id").agg(*(F.sum(c).alias(c) for c in sums))
         held_out = spark.createDataFrame(held_out.toArrow())  # a row a run
     dealt.unpersist()
+    paths = None
+    if steps:
+        lengths = [len(v) for _, _, v, _ in steps]
+        columns_of = {"run_id": np.repeat([s[0] for s in steps], lengths), "sweep": np.repeat([s[1] for s in steps], lengths), "race_id": np.concatenate([s[3] for s in steps]), "v": np.concatenate([s[2] for s in steps])}
+        paths = cut(spark.createDataFrame(pa.table(columns_of)))
     r, j = np.nonzero(here)
     table = pa.table({"run_id": kernels.runs[r], "race_id": kernels.ids[j], "v": state.v[r, j]})
     scales = pa.table({"run_id": kernels.runs, "sigma2": state.s2, "omega2": state.omega2, "loglik": loglik, "n": cells_of, "n_iter": iterations, "converged": converged})
-    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace, history, held_out)
+    return Fits(cut(spark.createDataFrame(table)), athletes, spark.createDataFrame(scales), dict(zip(runs, state.theta, strict=True)), trace, history, paths, held_out)
 
 
 def chunked(fit: Callable[[list[int]], Fits], runs: list[int], races: int, config: EngineConfig = EngineConfig()) -> Iterator[Fits]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.functions.scalars import natural_spline, rounded
+from paceline.functions.scalars import hash_uniform, natural_spline, rounded
 from paceline.operators import curves, engine
 from paceline.operators.slices import cut
 
@@ -294,8 +294,6 @@ def omega_metrics(fits: engine.Fits, n_params: int) -> DataFrame:
 
 def best_of_starts(cells: DataFrame, config: FullConfig, restarts: int = 2, spread: float = 0.05, seed: int = 7) -> tuple[FullFit, DataFrame]:
     """The fit of highest likelihood over the mean start and hashed normal restarts, and run, loglik, n_iter, max_shift of each."""
-    from paceline.functions.scalars import hash_uniform
-
     found, rows = [], []
     for r in range(restarts + 1):
         u1, u2 = (hash_uniform(seed + 2 * r + i, F.col("race_id")) for i in (0, 1))
@@ -310,6 +308,47 @@ def best_of_starts(cells: DataFrame, config: FullConfig, restarts: int = 2, spre
     return found[best], table
 
 
+def traced_starts(cells: DataFrame, config: FullConfig, restarts: int = 4, spread: float = 0.1, stepping: float = 15.0, seed: int = 7) -> tuple[engine.Fits, dict[int, str]]:
+    """Fits of one form without drift from many starts as runs of one plan, with their paths, and the name of each start.
+
+    ``mean`` begins at nothing, ``random`` at hashed normal race effects, ``warm`` at the Gaussian fit, ``stepping`` at a fit of a law between that
+    one began at the Gaussian fit.
+    """
+    ready, names, _, _ = design(cells, replace(config, drift=False))
+    ready, dates = cut(ready), cut(race_years(cells)) if config.gauge_slope and config.basis else None
+    before = {}
+    for nu in (math.inf, stepping):
+        last = before.get(math.inf)
+        before[nu] = engine.fit_runs(ready, [0], engine.EngineConfig(nu, tol=config.tol, max_iter=config.max_iter), names, dates, last and last.races.select("race_id", "v"), theta=last and [last.theta[0]])
+    kinds = {0: "mean", **{r: "random" for r in range(1, restarts + 1)}, restarts + 1: "warm", restarts + 2: "stepping"}
+    races = cells.select("race_id").distinct()
+    u1, u2 = (hash_uniform(seed + i, F.col("run_id"), F.col("race_id")) for i in (0, 1))
+    drawn = spread * F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
+    ids = F.explode(F.sequence(F.lit(0), F.lit(restarts)).cast("array<bigint>"))
+    start = races.withColumn("run_id", ids).select("run_id", "race_id", F.when(F.col("run_id") == 0, 0.0).otherwise(drawn).alias("v"))
+    for run, nu in ((restarts + 1, math.inf), (restarts + 2, stepping)):
+        start = start.unionByName(before[nu].races.select(F.lit(run).cast("long").alias("run_id"), "race_id", "v"))
+    theta = [np.zeros(len(names))] * (restarts + 1) + [before[math.inf].theta[0], before[stepping].theta[0]]
+    settings = engine.EngineConfig(config.nu, tol=config.tol, max_iter=config.max_iter)
+    return engine.fit_runs(ready, list(kinds), settings, names, dates, cut(start), theta=np.array(theta), keep_paths=True), kinds
+
+
+def trace_table(fits: engine.Fits, kinds: dict[int, str]) -> DataFrame:
+    """run_id, kind, sweep, loglik, sigma2, change: what every sweep of every run came to."""
+    spark = fits.races.sparkSession
+    return spark.createDataFrame([(r, kinds[r], it, ll, s2, moved) for r, it, ll, s2, _, moved in fits.history], "run_id long, kind string, sweep long, loglik double, sigma2 double, change double")
+
+
+def path_agreement(fits: engine.Fits) -> DataFrame:
+    """run_id, sweep, pearson, spearman, mae, max_gap: race effects after each sweep of each run against the end of the run of highest likelihood."""
+    best = fits.scales.orderBy(F.desc("loglik"), "run_id").first()["run_id"]
+    base = fits.races.filter(F.col("run_id") == best).select("race_id", F.col("v").alias("v0"))
+    per = Window.partitionBy("run_id", "sweep")  # a row a race
+    joined = fits.paths.join(base, "race_id").withColumns({"a": F.rank().over(per.orderBy("v")), "b": F.rank().over(per.orderBy("v0"))})
+    gap = F.abs(F.col("v") - F.col("v0"))
+    return joined.groupBy("run_id", "sweep").agg(F.corr("v", "v0").alias("pearson"), F.corr("a", "b").alias("spearman"), F.avg(gap).alias("mae"), F.max(gap).alias("max_gap"))
+
+
 def coordinate_descent(gram: np.ndarray, b: np.ndarray, theta: np.ndarray, rounds: int) -> np.ndarray:
     """Rounds of one-coefficient updates of a weighted least squares problem, from its cross products alone."""
     theta = theta.astype(float).copy()

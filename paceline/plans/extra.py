@@ -13,7 +13,7 @@ from paceline.functions.scalars import rounded
 from paceline.operators import describe, engine, full, inference, ranking, regression, selection, sensitivity, slices, synthetic
 from paceline.operators.slices import SliceSpec
 from paceline.plans.more import _COV, _covariates, _scores, _SCORED
-from paceline.plans.queries import _BOOT, _FIN, _FITTED, _MEDIANS, _RESIDUALS, _SLICE, _X, NU, SEED, SPEC, _boot, _core, _fitted, _point, _r, _residuals, _sigma2, fit_sql, query
+from paceline.plans.queries import _BOOT, _FIN, _FITTED, _MEDIANS, _RESIDUALS, _SEX_FITS, _SLICE, _X, NU, SEED, SPEC, _boot, _core, _fitted, _point, _r, _residuals, _sex_fits, _sigma2, fit_sql, query
 from paceline.sources import adapter, registry, report, tables
 from paceline.sources.scratch import shared_dir
 
@@ -353,38 +353,45 @@ def sc_fit_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _full(spark, d, "round", full.baseline(NU)).fits.races.select("race_id", rounded(F.col("v")).alias("v"))
 
 
-_STEMS = "(VALUES ('ALL_B_00-99_mrc25', 'baseline_L2_anderson', 'inf'), ('ALL_B_00-99_mrc25', 'baseline_nu8p00_anderson', '8.0'), ('ALL_W_00-99_mrc25', 'Ax_nu8p00_anderson', '8.0'), ('wmm_M_00-99_mrc25', 'AD_nu8p00_anderson', '8.0'))"
+#: DuckDB: the Gaussian fit beside the Student-t fit, and what the registry must say of three fits of the slice.
+_REGISTERED = f"""{_FITTED}, {fit_sql("one", "plain", "1.0")},
+sizes AS (SELECT count(DISTINCT athlete_id) n_athletes, count(DISTINCT race_id) n_races, count(*) n_cells FROM cells),
+fits AS (SELECT 'ALL_B_00-99_mrc25' slug, * FROM (SELECT 'baseline_L2_anderson' stem, 'inf' nu, (SELECT any_value(s2) FROM plain) s2 UNION ALL SELECT 'baseline_nu8p00_anderson', '8.0', (SELECT s2 FROM scale)
+  UNION ALL SELECT 'Ax_nu8p00_anderson', '8.0', NULL), sizes)"""
 
 
-def _registry(spark: SparkSession) -> str:
-    """A registry of four fits, in a folder of its own."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/paceline-registry-{uuid.uuid4().hex}"
-    fits = [(SPEC, full.baseline(math.inf)), (SPEC, full.baseline(8.0)), (SliceSpec(sex="W"), full.aging(8.0)), (SliceSpec(cohort="wmm", sex="M"), full.drift(8.0))]
-    names = lambda s, c: {"slug": registry.slice_slug(s), "stem": registry.model_stem(c), "key": registry.identity_key(s, c), "path": registry.fit_path("fits", s, c)}
-    registry.register(spark, path, [registry.identity(s, c) | names(s, c) for s, c in fits])
+def _registry(spark: SparkSession, d: str) -> str:
+    """A registry of fits of the slice, each fitted and saved once: Gaussian, Student-t, and with a career curve."""
+    fits = {"round": full.baseline(math.inf), "point": full.baseline(NU), "aging": full.aging(8.0)}
+    key = (tables.core_fingerprint(spark, d), *(registry.identity_key(SPEC, c) for c in fits.values()))
+    path = f"{shared_dir(spark)}/paceline-registry-{'-'.join(key)}"
+    at, fs = tables.hadoop(spark, path)
+    if not fs.exists(at):
+        registry.publish(spark, path, [registry.manifest(SPEC, _full(spark, d, n, c), "base", registry.fit_path("fits", SPEC, c)) for n, c in fits.items()])
     return path
 
 
-@query(f"SELECT slug, stem, nu FROM {_STEMS} t(slug, stem, nu) WHERE nu = '8.0' AND slug IN ('ALL_B_00-99_mrc25', 'wmm_M_00-99_mrc25')")
+@query("SELECT slug, stem, nu, n_athletes, n_races, n_cells FROM fits WHERE nu = '8.0'", _REGISTERED)
 def sc_registry(spark: SparkSession, d: str) -> DataFrame:
-    found = registry.query(spark, _registry(spark), model_nu="8.0", slug=["ALL_B_00-99_mrc25", "wmm_M_00-99_mrc25"])
-    return found.select("slug", "stem", F.col("model_nu").alias("nu"))
+    """Of the registered fits of the tables those with Student-t noise, and their sizes."""
+    found = registry.query(spark, _registry(spark, d), model_nu="8.0", slug=["ALL_B_00-99_mrc25", "wmm_M_00-99_mrc25"])
+    return found.select("slug", "stem", F.col("model_nu").alias("nu"), "n_athletes", "n_races", "n_cells")
 
 
-@query(f"SELECT slug, stem FROM {_STEMS} t(slug, stem, nu) WHERE stem LIKE 'baseline%'")
+@query(f"SELECT slug, stem, {_r('s2', 7)} sigma2 FROM fits WHERE stem LIKE 'baseline%'", _REGISTERED)
 def fl_fit_names(spark: SparkSession, d: str) -> DataFrame:
-    return registry.query(spark, _registry(spark), stem="baseline_*").select("slug", "stem")
+    """Fits found by a pattern of their names, with their scales."""
+    return registry.query(spark, _registry(spark, d), stem="baseline_*").select("slug", "stem", rounded(F.col("sigma2"), 7).alias("sigma2"))
 
 
-@query("SELECT * FROM (VALUES ('same fit', ''), ('same name', 'model_reliability')) t(clash, differs)")
+@query("SELECT clash, differs, n_cells FROM (VALUES ('same fit', ''), ('same name', 'model_reliability')) t(clash, differs), sizes", _REGISTERED)
 def sc_preflight(spark: SparkSession, d: str) -> DataFrame:
-    """What stands in the way of a fit that is registered, and of one that differs in a setting the name does not tell."""
-    path = _registry(spark)
+    """What stands in the way of a fit that is registered, and of one that differs in a setting the name does not tell; with the size of what is there."""
+    path = _registry(spark, d)
     same = registry.preflight(spark, path, SPEC, full.baseline(8.0))
     near = registry.preflight(spark, path, SPEC, full.FullConfig(8.0, reliability=2.0))
-    return same.unionByName(near).select("clash", "differs")
+    sizes = registry.query(spark, path).select("path", "n_cells")
+    return same.unionByName(near).join(sizes, "path").select("clash", "differs", "n_cells")
 
 
 @query(f"SELECT series_key, race_id, {_r('v')} v FROM v2 JOIN competitions USING (race_id)", _FITTED)
@@ -599,19 +606,20 @@ def rk_tiers(spark: SparkSession, d: str) -> DataFrame:
     return ranking.tiers(medians, 0.9)
 
 
-_PAIR = f"{_BOOT}, a AS (SELECT race_id, v FROM boot WHERE run_id = 1), b AS (SELECT race_id, v FROM boot WHERE run_id = 2)"
+_PAIR = f"{_BOOT}, q0 AS{_SEX_FITS.partition('q0 AS')[2]}"
 
 
 @query(
     f"""SELECT {_r('sqrt(avg(pow(y, 2)))')} rms, {_r('any_value(sl) * sqrt(var_pop(x))')} shift_per_sd, {_r('avg(sd)')} boot_sd, abs(any_value(sl)) * sqrt(var_pop(x)) < avg(sd) hidden FROM (SELECT x, y, sd, regr_slope(y, x) OVER () sl FROM (
-SELECT race_id, a.v - b.v y, {_X} x, sd FROM a JOIN b USING (race_id) JOIN competitions USING (race_id) JOIN (SELECT race_id, stddev_samp(v) sd FROM boot GROUP BY 1) USING (race_id)))""",
+SELECT race_id, a.v - b.v y, {_X} x, sd FROM (SELECT race_id, v FROM sexes WHERE run_id = 1) a JOIN (SELECT race_id, v FROM sexes WHERE run_id = 2) b USING (race_id) JOIN competitions USING (race_id)
+JOIN (SELECT race_id, stddev_samp(v) sd FROM boot GROUP BY 1) USING (race_id)))""",
     _PAIR,
 )
 def rk_contrast_identifiability(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the slope in date that a contrast may hide is below the replicates' spread."""
-    boot = _boot(spark, d)[1]
+    """Whether the slope in date that the contrast of men's and women's fits may hide is below the replicates' spread."""
+    boot, fits = _boot(spark, d)[1], _sex_fits(spark, d)
     dated = adapter.competitions(spark, d).select("race_id", (F.datediff("date", F.lit("2000-01-01").cast("date")) / 365.25).alias("x"))
-    a, b = (boot.filter(f"run_id = {k}").select("race_id", F.col("v").alias(n)) for k, n in ((1, "va"), (2, "vb")))
+    a, b = (fits[s].withColumnRenamed("v", n) for s, n in (("M", "va"), ("W", "vb")))
     spread = boot.groupBy("race_id").agg(F.stddev_samp("v").alias("sd"))
     joined = a.join(b, "race_id").join(dated, "race_id").join(spread, "race_id").withColumn("y", F.col("va") - F.col("vb"))
     shift = F.regr_slope("y", "x") * F.sqrt(F.var_pop("x"))

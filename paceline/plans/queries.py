@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -547,15 +548,35 @@ def rk_dominance(spark: SparkSession, d: str) -> DataFrame:
     return ranking.confident_counts(ranking.dominance(slices.cut(medians)), 0.9)
 
 
+#: DuckDB: slices of men (run 1) and women (run 2), pruned each by itself, and their fits: sexes (run_id, race_id, v).
+_SEX_FITS = f"""RECURSIVE {adapter.CTES}, {_FIN}, q0 AS (SELECT CASE sex WHEN 'M' THEN 1 ELSE 2 END::BIGINT run_id, athlete_id, race_id, ln(t) y FROM p0 JOIN athletes USING (athlete_id) WHERE sex IN ('M', 'W')),
+{", ".join(f"q{n} AS (SELECT * FROM (SELECT * FROM q{n - 1} QUALIFY count(*) OVER (PARTITION BY run_id, athlete_id) >= 10) QUALIFY count(*) OVER (PARTITION BY run_id, race_id) >= 20)" for n in range(1, 13))},
+both_ AS MATERIALIZED (SELECT run_id, athlete_id, race_id, y, 1.0::DOUBLE g FROM q12),
+{fit_sql("both_", "sexfit")},
+sexes AS (SELECT run_id, id race_id, x v FROM sexfit WHERE k = 'v')"""
+
+
+def _sex_fits(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """race_id, v by sex: fits of a slice of men and of a slice of women."""
+    out = {}
+    for sex in "MW":
+        spec = replace(SPEC, sex=sex, min_race_count=10, min_field=20)
+        key = (tables.core_fingerprint(spark, d), spec.key, NU)
+        fit = lambda spec=spec: engine.fit_runs(tables.cached_slice(spark, d, spec), config=engine.EngineConfig(nu=NU)).races.select("race_id", "v")
+        out[sex] = tables.cached(spark, "sex-fit", key, fit)
+    return out
+
+
 @query(
     f"""SELECT race_id, {_r('diff')} diff, {_r('rest')} rest, {_r('rest / sd', 4)} z, abs(rest / sd) > 2 moved FROM (SELECT *, stddev_samp(rest) OVER () sd FROM (SELECT race_id, diff,
-diff - regr_intercept(diff, x) OVER () - regr_slope(diff, x) OVER () * x rest FROM (SELECT race_id, a.v - b.v diff, {_X} x FROM boot a JOIN boot b USING (race_id) JOIN competitions USING (race_id)
+diff - regr_intercept(diff, x) OVER () - regr_slope(diff, x) OVER () * x rest FROM (SELECT race_id, a.v - b.v diff, {_X} x FROM sexes a JOIN sexes b USING (race_id) JOIN competitions USING (race_id)
 WHERE a.run_id = 1 AND b.run_id = 2)))""",
-    _BOOT,
+    _SEX_FITS,
 )
 def rk_movers(spark: SparkSession, d: str) -> DataFrame:
-    boot = _boot(spark, d)[1]
-    return ranking.movers(boot.filter("run_id = 1"), boot.filter("run_id = 2"), adapter.competitions(spark, d).select("race_id", "date"))
+    """Races that are harder for men than for women, or easier, beyond a straight line in the date: fits of two slices."""
+    fits = _sex_fits(spark, d)
+    return ranking.movers(fits["M"], fits["W"], adapter.competitions(spark, d).select("race_id", "date"))
 
 
 @query(

@@ -8,11 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.functions.scalars import rounded
-from paceline.operators import fan, full, inference, mismatch, selection, slices
+from paceline.functions.scalars import hash_uniform_sql, rounded
+from paceline.operators import fan, full, inference, mismatch, regression, selection, slices
 from paceline.operators.slices import SliceSpec
 from paceline.plans.extra import _full
-from paceline.plans.queries import NU, SEED, SPEC, _boot, _fitted, query
+from paceline.plans.more import _COV, _covariates, _weather
+from paceline.plans.queries import _FITTED, NU, SEED, SPEC, _boot, _fitted, _r, query
 from paceline.sources import adapter, registry, tables
 from paceline.sources.ledger import Ledger
 from paceline.sources.scratch import shared_dir
@@ -190,3 +191,75 @@ def sn_mismatch_races(spark: SparkSession, d: str) -> DataFrame:
     spread = _boot(spark, d)[1].groupBy("race_id").agg(F.stddev_samp("v").alias("boot_sd"))
     out = mismatch.by_race(races, v, spread)
     return out.select("op", "p", "race_id", *(rounded(F.col(c)).alias(c) for c in ("v_point", "dv_mean", "dv_sd", "boot_sd", "ratio")), "n_runs")
+
+
+# ---- many starts, and regressions
+
+
+def _starts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """trace, agreement and scales of the Student-t fit from seven starts, made once."""
+    made: dict[str, DataFrame] = {}
+
+    def of(name: str) -> DataFrame:
+        if not made:
+            fits, kinds = full.traced_starts(tables.cached_slice(spark, d, SPEC), full.baseline(NU))
+            made.update(trace=full.trace_table(fits, kinds), agreement=full.path_agreement(fits), scales=fits.scales)
+        return made[name]
+
+    key = (tables.core_fingerprint(spark, d), SPEC.key, NU)
+    return {n: tables.cached(spark, f"starts-{n}", key, lambda n=n: of(n)) for n in ("trace", "agreement", "scales")}
+
+
+@query()
+def nm_start_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Log likelihood and scale after every sweep from the mean start, four random ones, a warm one and one through a law between."""
+    trace = _starts(spark, d)["trace"]
+    return trace.select("run_id", "kind", "sweep", rounded(F.col("loglik"), 3).alias("loglik"), rounded(F.col("sigma2"), 7).alias("sigma2"))
+
+
+@query()
+def nm_start_spread(spark: SparkSession, d: str) -> DataFrame:
+    """How far the starts end from the best of them, in likelihood and in race effects, and after how many sweeps."""
+    starts = _starts(spark, d)
+    last = starts["agreement"].groupBy("run_id").agg(F.max_by("max_gap", "sweep").alias("max_gap"), F.max_by("pearson", "sweep").alias("pearson"))
+    kinds = starts["trace"].groupBy("run_id").agg(F.first("kind").alias("kind"))
+    top = starts["scales"].agg(F.max("loglik").alias("top"))
+    out = starts["scales"].join(last, "run_id").join(kinds, "run_id").crossJoin(F.broadcast(top))  # one row
+    return out.select("run_id", "kind", (F.col("top") - F.col("loglik") < 1e-3).alias("same_loglik"), (F.col("max_gap") < 1e-6).alias("same_effects"), rounded(F.col("pearson"), 9).alias("pearson"), "converged")
+
+
+@query()
+def rs_path_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Race effects after each sweep of each start against the end of the best: correlations, mean and largest gap."""
+    return _starts(spark, d)["agreement"].select("run_id", "sweep", *(rounded(F.col(c), 5).alias(c) for c in ("pearson", "spearman", "mae", "max_gap")))
+
+
+@query()
+def rg_cluster_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Difficulty on weather with errors robust to series by CR0, CR1 and CR2 and t intervals; compared with whole matrices in the tests."""
+    data = _weather(spark, d)
+    out = regression.cluster_intervals(data, "v", ["temp", "gain"], "series_key")
+    return out.select("kind", "term", *(rounded(F.col(c)).alias(c) for c in ("beta", "se", "lo", "hi")), "dof")
+
+
+DRAWS = 2000
+_U = hash_uniform_sql(SEED, "run", "race_id")
+_TWO = "(pow(r1, 2) + pow(r2, 2) - 2 * r1 * r2 * r12) / (1 - pow(r12, 2))"
+_CORR = lambda a, b: f"((sw * s{a}{b} - s{a} * s{b}) / sqrt((sw * s{a}{a} - s{a} * s{a}) * (sw * s{b}{b} - s{b} * s{b})))"
+
+
+@query(
+    f"""SELECT target, "set", any_value(n) n, {_r('any_value(x) FILTER (run = 0)')} r2, {_r('quantile_cont(x, 0.025) FILTER (run > 0)')} lo, {_r('quantile_cont(x, 0.975) FILTER (run > 0)')} hi
+FROM (SELECT target, run, n, unnest(['temp', 'gain', 'both']) "set", unnest([pow(r1, 2), pow(r2, 2), {_TWO}]) x FROM (
+  SELECT target, run, n, {_CORR('y', 't')} r1, {_CORR('y', 'g')} r2, {_CORR('t', 'g')} r12 FROM sums)) GROUP BY 1, 2""",
+    f"""{_FITTED}, {_COV}, rows_ AS MATERIALIZED (SELECT race_id, v, m, temp t, gain g FROM v2 JOIN cov USING (race_id) JOIN (SELECT race_id, avg(y) m FROM cells GROUP BY 1) USING (race_id) WHERE gain IS NOT NULL),
+drawn AS (SELECT *, CASE WHEN run = 0 THEN 1.0 ELSE {" + ".join(f"({_U} > {c!r})::INT" for c in regression.POISSON_STEPS)} END w FROM rows_, (SELECT unnest(range(0, {DRAWS + 1}))::BIGINT run)),
+long AS (SELECT 'v' target, run, w, v y, t, g FROM drawn UNION ALL SELECT 'mean_y', run, w, m, t, g FROM drawn),
+sums AS (SELECT target, run, (SELECT count(*) FROM rows_) n, sum(w) sw, sum(w * y) sy, sum(w * t) st, sum(w * g) sg, sum(w * y * y) syy, sum(w * t * t) stt, sum(w * g * g) sgg, sum(w * y * t) syt, sum(w * y * g) syg, sum(w * t * g) stg FROM long GROUP BY 1, 2)""",
+)
+def rg_r2_sets(spark: SparkSession, d: str) -> DataFrame:
+    """R2 of difficulty and of mean log time on each set of covariates, with intervals over 2,000 resampled tables."""
+    means = tables.cached_slice(spark, d, SPEC).groupBy("race_id").agg(F.avg("y").alias("mean_y"))
+    rows = slices.cut(_fitted(spark, d)[2].join(_covariates(spark, d).select("race_id", "temp", "gain"), "race_id").join(means, "race_id"))
+    out = regression.r2_intervals(rows, "race_id", ["v", "mean_y"], {"temp": ["temp"], "gain": ["gain"], "both": ["temp", "gain"]}, DRAWS, SEED)
+    return out.select("target", "set", "n", *(rounded(F.col(c)).alias(c) for c in ("r2", "lo", "hi")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import uuid
 from dataclasses import asdict
 
 import numpy as np
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from paceline.operators import engine
 from paceline.operators.full import FullConfig, FullFit
 from paceline.operators.slices import SliceSpec
+from paceline.sources.scratch import hadoop
 
+#: The forms of slugs, stems and tags below are names that must match.
 #: Numeric settings say how a fit was reached, not what it is.
 _NUMERIC = ("tol", "loglik_tol", "max_iter")
 
@@ -88,6 +91,15 @@ def register(spark: SparkSession, registry: str, rows: list[dict]) -> None:
     spark.createDataFrame([(json.dumps(r, sort_keys=True, default=str),) for r in rows], "value string").coalesce(1).write.mode("append").text(registry)
 
 
+def publish(spark: SparkSession, registry: str, rows: list[dict]) -> None:
+    """A registry of these manifests, there as a whole or not at all; one that is there already stays."""
+    made = f"{registry}-{uuid.uuid4().hex}"
+    register(spark, made, rows)
+    (to, fs), (at, _) = hadoop(spark, registry), hadoop(spark, made)
+    if fs.exists(to) or not fs.rename(at, to):
+        fs.delete(at, True)
+
+
 def query(spark: SparkSession, registry: str, **filters: object) -> DataFrame:
     """Registered fits by equality, membership, or with a pattern of * and ? (glob) on a text column."""
     rows = spark.read.json(registry)
