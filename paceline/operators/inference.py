@@ -60,6 +60,16 @@ def with_weights(cells: DataFrame, runs: int, seed: int) -> DataFrame:
     return cells.join(weights.select("athlete_id", F.transform("g", lambda x: x["g"]).alias("g")), "athlete_id")
 
 
+def weight_arrays(athletes: DataFrame, runs: list[int], seed: int) -> DataFrame:
+    """athlete_id, g: the weights of the runs, as bootstrap_weights has them; one for run 0."""
+    drawn = bootstrap_weights(athletes, max(runs), seed) if max(runs) else None
+    every = athletes.select("athlete_id", F.lit(0).cast("long").alias("run_id"), F.lit(1.0).alias("g"))
+    if drawn is not None:
+        every = every.unionByName(drawn.select("athlete_id", "run_id", "g"))
+    wanted = every.filter(F.col("run_id").isin(runs)).groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("run_id", "g"))).alias("g"))  # a value a run
+    return wanted.select("athlete_id", F.transform("g", lambda x: x["g"]).alias("g"))
+
+
 def bootstrap_races(cells: DataFrame, u: DataFrame, weights: DataFrame) -> DataFrame:
     """run_id, race_id, v: one weighted race update for all runs at once, centred within each run.
 

@@ -221,3 +221,33 @@ def first_seen_index(df: DataFrame, column: str, order: str, name: str) -> DataF
     first = df.groupBy(column).agg(F.min(order).alias("_first")).withColumn("_key", F.struct("_first", column))
     ranked = dense_index(first, "_key", name)
     return ranked.select(F.col(f"_key.{column}").alias(column), name)
+
+
+def _before(dealt: DataFrame, n: Column, name: str) -> DataFrame:
+    """_part and how much the parts before it hold, of which there are as many as shuffle partitions."""
+    parts = dealt.groupBy("_part").agg(F.sum(n).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.select("_part", F.coalesce(upto, F.lit(0)).alias(name))
+
+
+def row_places(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place in an order, from 1: rows are dealt by range, and a place is that within the part and the rows of the parts before."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = dealt.withColumn("_within", within).join(_before(dealt, F.lit(1), "_before"), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_within", "_before")
+
+
+def average_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """``df`` with the average rank of each column, ascending, under the names given; nulls have none.
+
+    Equal values are counted before the shuffle and their counts dealt by range, so that no task holds more than its range of distinct values.
+    """
+    for column, name in ranks.items():
+        counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_count"))
+        dealt = cut(counts.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()))
+        upto = F.coalesce(F.sum("_count").over(Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = dealt.withColumn("_upto", upto).join(_before(dealt, F.col("_count"), "_before"), "_part")
+        ranked = placed.select("_value", (F.col("_before") + F.col("_upto") + (F.col("_count") + 1) / 2).alias(name))
+        df = df.join(ranked, df[column] == F.col("_value"), "left").drop("_value")
+    return df

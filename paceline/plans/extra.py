@@ -212,8 +212,8 @@ def wn_percentile_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def wn_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     joined = _fitted(spark, d)[2].join(_covariates(spark, d).select("race_id", "gain"), "race_id")
-    place = F.row_number().over(Window.orderBy(F.col("gain").desc_nulls_last(), "race_id"))  # races are few
-    return joined.select("race_id", rounded(F.col("gain"), 3).alias("gain"), place.cast("long").alias("place"))
+    placed = slices.row_places(joined, [F.col("gain").desc_nulls_last(), F.col("race_id").asc()], "place")
+    return placed.select("race_id", rounded(F.col("gain"), 3).alias("gain"), "place")
 
 
 @query(

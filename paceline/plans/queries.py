@@ -133,7 +133,9 @@ def _boot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     runs = list(range(1, RUNS + 1))
     fit = _fit_tables(
         spark, d, "boot", (NU, RUNS, SEED),
-        lambda cells: engine.fit_runs(inference.with_weights(cells, RUNS, SEED), runs, engine.EngineConfig(nu=NU), start=v),
+        lambda cells: engine.fit_runs(
+            cells, runs, engine.EngineConfig(nu=NU), start=v, weights=inference.weight_arrays(cells.select("athlete_id").distinct(), runs, SEED)
+        ),
     )
     return v, fit["races"]
 
