@@ -66,7 +66,7 @@ class Fits:
         return self.scales.first()["sigma2"]
 
 
-def solve_athletes(rest: np.ndarray, who: np.ndarray, n: int, g: np.ndarray, til: np.ndarray | None, eligible: np.ndarray | None, s2: float, omega2: float, nu: float) -> tuple[np.ndarray, ...]:
+def solve_athletes(rest: np.ndarray, who: np.ndarray, n: int, g: np.ndarray, til: np.ndarray | None, eligible: np.ndarray | None, s2: float, omega2: float, nu: float, tol: float = 1e-14) -> tuple[np.ndarray, ...]:
     """u, d, posterior variance of d, residuals and noise weights of the cells of n athletes; each is iterated until it no longer moves, and
     then leaves the iteration."""
     u, d, pv = np.bincount(who, g * rest, n) / np.maximum(np.bincount(who, g, n), 1e-300), np.zeros(n), np.zeros(n)
@@ -89,7 +89,7 @@ def solve_athletes(rest: np.ndarray, who: np.ndarray, n: int, g: np.ndarray, til
             new_d = np.where(known, (s0 * t1 - s1 * t0) / (s0 * (s22 + ridge) - s1 * s1), 0.0)
             new_u = (t0 - s1 * new_d) / s0
             pv[ids] = np.where(known, 1 / (s22 / s2 + 1 / omega2), 0.0)
-        moving = np.maximum(np.abs(new_u - u[ids]), np.abs(new_d - d[ids])) >= 1e-14
+        moving = np.maximum(np.abs(new_u - u[ids]), np.abs(new_d - d[ids])) >= tol
         u[ids], d[ids] = new_u, new_d
         if math.isinf(nu) or not moving.any():
             break
@@ -118,6 +118,7 @@ class _State:
     nu: np.ndarray
     active: np.ndarray
     columns: np.ndarray  # whether a run has a covariate
+    inner: np.ndarray  # up to which change athletes are iterated: a small part of what the last sweep changed
 
 
 @dataclass
@@ -181,7 +182,7 @@ class Kernels:
             s = _State(**shared.value)
             for r, _, who, race, rest, g, rel, m, x, til, eligible, chosen in self._shares(batches, s):
                 n = int(who.max()) + 1
-                _, d, pv, e, w = solve_athletes(rest, who, n, g, til if drift else None, eligible, s.s2[r], s.omega2[r], s.nu[r])
+                _, d, pv, e, w = solve_athletes(rest, who, n, g, til if drift else None, eligible, s.s2[r], s.omega2[r], s.nu[r], s.inner[r])
                 gw = g * w
                 wide = gw * rel if rel is not None else gw
                 fit = wide * m if m is not None else wide
@@ -308,7 +309,7 @@ def fit_runs(
         rows = dates.filter(F.col("race_id").isNotNull()).toArrow()
         by_id = dict(zip(rows["race_id"].to_pylist(), rows["x"].to_pylist(), strict=True))
         t = np.array([by_id[int(i)] for i in kernels.ids])
-    state = _State(v, theta, s2, omega2, nu, np.ones(n_runs, dtype=bool), columns)
+    state = _State(v, theta, s2, omega2, nu, np.ones(n_runs, dtype=bool), columns, np.full(n_runs, 1e-4))
     here, loglik, cells_of = np.ones((n_runs, n_races), dtype=bool), np.zeros(n_runs), np.zeros(n_runs)
     iterations, xs, gs = np.zeros(n_runs, dtype=np.int64), [[] for _ in runs], [[] for _ in runs]
     trace, history, steps = [], [], []
@@ -332,7 +333,7 @@ def fit_runs(
             before = loglik[r]
             loglik[r], cells_of[r] = whole[2] - (whole[4] / (2 * state.omega2[r]) if config.drift else 0.0), whole[1]
             moved = float(np.abs(g - x).max())
-            change, iterations[r] = max(change, moved), it
+            change, iterations[r], state.inner[r] = max(change, moved), it, min(max(1e-3 * moved, 1e-14), 1e-4)
             history.append((runs[r], it, float(loglik[r]), float(state.s2[r]), float(state.omega2[r]), moved))
             if hook is not None:
                 hook(runs[r], it, float(loglik[r]), float(state.s2[r]))
