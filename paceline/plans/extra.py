@@ -760,11 +760,3 @@ def sc_report(spark: SparkSession, d: str) -> DataFrame:
     top = named.groupBy("series_key").agg(F.count("*").alias("n"), F.avg("v").alias("v")).orderBy(F.desc("v"), "series_key").limit(10)
     rows = top.select(F.col("series_key").alias("series"), F.col("n").cast("string").alias("races"), F.format_string("%.4f", "v").alias("mean v"))
     return spark.createDataFrame([(x,) for x in report.markdown(rows)], "line string")
-
-
-@query()
-def rs_nu_refined(spark: SparkSession, d: str) -> DataFrame:
-    """The noise law by golden sections of log nu between its neighbours on the grid; compared with the grid in the tests."""
-    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
-    nu, score = selection.refine_nu(marked, 5, 3.0, 60.0, 8)
-    return spark.range(1).select(rounded(F.lit(nu), 2).alias("nu"), rounded(F.lit(score), 5).alias("score"))

@@ -281,11 +281,20 @@ kv AS (SELECT left_out, id race_id, x v FROM left_fit JOIN runs USING (run_id) W
 )
 def sn_leave_country_out(spark: SparkSession, d: str) -> DataFrame:
     """Every country of the slice's athletes in turn left out of the whole preparation and fit, against the fit with all."""
+    return sensitivity.leave_out_summary(_countries_out(spark, d), _fitted(spark, d)[2])
+
+
+def _countries_out(spark: SparkSession, d: str) -> DataFrame:
+    """left_out, race_id, v: the refits without each country, made once."""
     cells, _, v = _fitted(spark, d)
     people = adapter.athletes(spark, d)
-    countries = slices.cut(cells.join(people, "athlete_id").select("country").dropna().distinct())
-    timed = slices.finishes(people, adapter.competitions(spark, d), adapter.results(spark, d), SPEC).join(people.select("athlete_id", "country"), "athlete_id")
-    return sensitivity.leave_out_summary(sensitivity.leave_out_refits(timed, "country", countries, SPEC, v, NU), v)
+
+    def made() -> DataFrame:
+        countries = slices.cut(cells.join(people, "athlete_id").select("country").dropna().distinct())
+        timed = slices.finishes(people, adapter.competitions(spark, d), adapter.results(spark, d), SPEC).join(people.select("athlete_id", "country"), "athlete_id")
+        return sensitivity.leave_out_refits(timed, "country", countries, SPEC, v, NU)
+
+    return tables.cached(spark, "countries-out", (tables.core_fingerprint(spark, d), SPEC.key, NU), made)
 
 
 _U = hashed(SEED, "athlete_id", "race_id")

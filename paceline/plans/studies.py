@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import hash_uniform_sql, rounded
-from paceline.operators import fan, full, inference, mismatch, regression, selection, slices
+from paceline.operators import fan, full, gauge, inference, mismatch, regression, selection, slices
 from paceline.operators.slices import SliceSpec
 from paceline.plans.extra import _full
-from paceline.plans.more import _COV, _covariates, _weather
-from paceline.plans.queries import _FITTED, NU, SEED, SPEC, _boot, _fitted, _r, query
+from paceline.plans.more import _COV, _LEFT, _countries_out, _covariates, _weather
+from paceline.plans.queries import _BOOT, _FITTED, _X, NU, SEED, SPEC, _boot, _fitted, _r, query
 from paceline.sources import adapter, registry, tables
 from paceline.sources.ledger import Ledger
 from paceline.sources.scratch import shared_dir
@@ -99,6 +99,20 @@ def rs_form_folds(spark: SparkSession, d: str) -> DataFrame:
     return _form_fits(spark, d).filter("fold is not null").select("form", "fold", "n", "n_orphans", rounded(F.col("logdensity"), 3).alias("logdensity"), rounded(F.col("rmse")).alias("rmse"))
 
 
+#: The laws walked from Gaussian to heavy tails.
+NU_GRID = [math.inf, 30.0, 15.0, 10.0, 8.0, 6.0, 5.0, 4.0, 3.0]
+
+
+@query()
+def rs_nu_refined(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out log density a cell of each law walked, warm from the one before, and of those tried between the neighbours of the best; compared with
+    cold fits in the tests."""
+    marked = slices.cut(inference.folds(tables.cached_slice(spark, d, SPEC), 5, SEED))
+    best, _, path = selection.refine_nu(marked, 5, NU_GRID)
+    rows = [("inf" if math.isinf(nu) else f"{nu:.3f}", x, n, nu == best) for nu, x, n in path.scores]
+    return spark.createDataFrame(rows, "nu string, score double, sweeps long, best boolean").select("nu", rounded(F.col("score")).alias("score"), "sweeps", "best")
+
+
 #: Published multiples of the fitted prior variance and published starts of it; whole decades besides, for an estimate that is nearly nothing.
 MULTIPLES = (1 / 100, 1 / 30, 1 / 10, 1 / 3, 1 / 2, 1.0, 2.0, 3.0, 10.0, 30.0, 100.0)
 DECADES = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
@@ -263,3 +277,45 @@ def rg_r2_sets(spark: SparkSession, d: str) -> DataFrame:
     rows = slices.cut(_fitted(spark, d)[2].join(_covariates(spark, d).select("race_id", "temp", "gain"), "race_id").join(means, "race_id"))
     out = regression.r2_intervals(rows, "race_id", ["v", "mean_y"], {"temp": ["temp"], "gain": ["gain"], "both": ["temp", "gain"]}, DRAWS, SEED)
     return out.select("target", "set", "n", *(rounded(F.col(c)).alias(c) for c in ("r2", "lo", "hi")))
+
+
+# ---- left-out groups, freed of the gauge
+
+#: What drifts are priced at, the prior spread of rs_drift_descriptors.
+OMEGA = 0.01
+_GAUGE = f"""{_BOOT}, runs AS{_LEFT.partition("runs AS")[2]},
+g1 AS (SELECT left_out, race_id, kv.v - v2.v dv, {_X} x, coalesce(country = left_out, false) home FROM kv JOIN v2 USING (race_id) JOIN competitions USING (race_id)),
+g2 AS (SELECT *, x - avg(x) OVER (PARTITION BY left_out) c FROM g1),
+g3 AS (SELECT *, c * c - avg(c * c) OVER w - regr_slope(c * c, c) OVER w * c q FROM g2 WINDOW w AS (PARTITION BY left_out)),
+g4 AS (SELECT *, avg(dv) OVER w m, regr_slope(dv, c) OVER w slope, regr_slope(dv, q) OVER w bend FROM g3 WINDOW w AS (PARTITION BY left_out)),
+g5 AS MATERIALIZED (SELECT *, dv - m - slope * c - bend * q rest FROM g4),
+b1 AS MATERIALIZED (SELECT left_out, run_id, race_id, home, boot.v - avg(boot.v) OVER w - regr_slope(boot.v, c) OVER w * c - regr_slope(boot.v, q) OVER w * q rest
+  FROM g3 JOIN boot USING (race_id) WINDOW w AS (PARTITION BY left_out, run_id)),
+sd AS (SELECT left_out, race_id, stddev_samp(rest) sd FROM b1 GROUP BY 1, 2),
+hs AS (SELECT left_out, stddev_samp(h) sd_home FROM (SELECT left_out, run_id, avg(rest) h FROM b1 WHERE home GROUP BY 1, 2) GROUP BY 1),
+debut AS (SELECT stddev_pop(x) s FROM (SELECT min({_X}) x FROM cells GROUP BY athlete_id)),
+summed AS (SELECT left_out, count(*) n, count(*) FILTER (home) n_home, any_value(slope) slope, any_value(bend) bend, var_pop(m + slope * c) / var_pop(dv) share_affine, var_pop(bend * q) / var_pop(dv) share_quadratic,
+  var_pop(rest) / var_pop(dv) share_rest, median(abs(dv)) median_shift, median(abs(rest)) median_rest, median(abs(rest) / sd) ratio_median, avg((abs(rest) / sd > 2)::INT) frac_above_two,
+  avg(dv) FILTER (home) home_shift, avg(rest) FILTER (home) home_rest, avg(rest) FILTER (NOT home) away_rest, {OMEGA} / (2 * any_value(s)) * abs(avg(q) FILTER (home)) home_priced
+  FROM g5 JOIN sd USING (left_out, race_id), debut GROUP BY left_out),
+judged AS (SELECT *, home_rest / sd_home z_home FROM summed LEFT JOIN hs USING (left_out))"""
+_GAUGE_COLUMNS = {"slope": 7, "bend": 8, "share_affine": 5, "share_quadratic": 5, "share_rest": 5, "median_shift": 6, "median_rest": 6, "ratio_median": 4, "frac_above_two": 4, "home_shift": 6, "home_rest": 6, "away_rest": 6, "z_home": 3, "home_priced": 5}
+
+
+@query(
+    f"""SELECT left_out, n, n_home, {", ".join(f"{_r(c, digits)} {c}" for c, digits in _GAUGE_COLUMNS.items())},
+CASE WHEN n_home = 0 THEN 'no home' WHEN z_home IS NULL THEN 'point only' WHEN abs(z_home) <= 2 THEN 'noise' WHEN abs(home_rest) <= home_priced THEN 'signal*' ELSE 'signal' END verdict FROM judged""",
+    _GAUGE,
+)
+def sn_country_gauge(spark: SparkSession, d: str) -> DataFrame:
+    """What leaving a country's athletes out moves beyond what no fit can know, at races in that country and away, against the replicates."""
+    cells, _, v = _fitted(spark, d)
+    races = adapter.competitions(spark, d)
+    x = F.datediff("date", F.lit("2000-01-01").cast("date")) / 365.25
+    refits = _countries_out(spark, d)
+    home = races.select(F.col("country").alias("left_out"), "race_id")
+    moved = slices.cut(gauge.split_shifts(refits, v, races.select("race_id", x.alias("x")), home))
+    rests = slices.cut(gauge.replicate_rests(moved, _boot(spark, d)[1]))
+    debut = cells.groupBy("athlete_id").agg(F.min(x).alias("x")).agg(F.stddev_pop("x")).first()[0] or 0.0
+    out = gauge.summary(moved, rests, OMEGA, float(debut))
+    return out.select("left_out", "n", "n_home", *(rounded(F.col(c), digits).alias(c) for c, digits in _GAUGE_COLUMNS.items()), "verdict")
