@@ -56,7 +56,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     labels = _table(spark, sf_dir, "labels").filter(~held_out)
     scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     found = langid.identify(docs, langid.learn(docs.filter(~held_out)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
