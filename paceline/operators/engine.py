@@ -273,14 +273,14 @@ def _gauged(v: np.ndarray, theta: np.ndarray, here: np.ndarray, dates: np.ndarra
 def fit_runs(
     cells: DataFrame, runs: list[int] | None = None, config: EngineConfig = EngineConfig(), covariates: tuple[str, ...] = (), dates: DataFrame | None = None, start: DataFrame | None = None, by_row: bool = False,
     weights: DataFrame | None = None, columns: np.ndarray | None = None, theta: np.ndarray | None = None, hook: Callable[[int, int, float, float], None] | None = None,
-    slots: list[int] | None = None, score: bool = False, keep_paths: bool = False,
+    slots: list[int] | None = None, score: bool = False, keep_paths: bool = False, sigma2: float | list[float] | None = None,
 ) -> Fits:
     """Fits of all runs to convergence.
 
     ``cells``: athlete_id, race_id, y, the covariates, and where needed g (array of weights by run), run_id (with ``by_row``), til and
     eligible (drift), rel (a weight for global terms), m (1 where a cell counts for the covariates).  ``dates`` (race_id, x in years) ask
-    for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id) and
-    ``theta`` (by run) warm the fits.  ``weights`` (athlete_id, g: an array by run) stand for a column g; ``columns`` (by run and covariate) tell which
+    for the slope-zero gauge, whose linear term is the first covariate.  ``start`` (race_id, v, or with run_id),
+    ``theta`` (by run) and ``sigma2`` (one or by run) warm the fits.  ``weights`` (athlete_id, g: an array by run) stand for a column g; ``columns`` (by run and covariate) tell which
     covariates a run has, all if not given; ``slots`` which entry of g a run uses, so that runs may share one.  ``hook`` is called with run, sweep, log
     likelihood and scale after each sweep of each run.  ``score`` asks for the held-out scores of the cells that runs leave out,
     ``keep_paths`` for the race effects after each sweep.
@@ -293,7 +293,8 @@ def fit_runs(
     nu = np.broadcast_to(np.array(config.nu, dtype=float), n_runs)
     v, theta = np.zeros((n_runs, n_races)), np.zeros((n_runs, k)) if theta is None else np.array(theta, dtype=float)
     columns = np.ones((n_runs, k), dtype=bool) if columns is None else np.asarray(columns, dtype=bool)
-    s2 = np.full(n_runs, float(dealt.agg(F.var_pop("y")).first()[0] or 1e-300))
+    s2 = float(dealt.agg(F.var_pop("y")).first()[0] or 1e-300) if sigma2 is None else np.array(sigma2, dtype=float)
+    s2 = np.broadcast_to(s2, n_runs).copy()
     omega2, t = np.broadcast_to(np.array(config.omega2, dtype=float), n_runs).copy(), None
     fixed = np.broadcast_to(np.array(config.omega2_fixed), n_runs)
     if start is not None:
@@ -338,7 +339,7 @@ def fit_runs(
             if hook is not None:
                 hook(runs[r], it, float(loglik[r]), float(state.s2[r]))
             xs[r], gs[r], x = _mixed(xs[r], gs[r], x, g, config.memory)
-            if moved <= config.tol or it > 1 and abs(loglik[r] - before) <= config.loglik_tol * (abs(before) + 1):
+            if moved <= config.tol or it > 1 and 0 < config.loglik_tol and abs(loglik[r] - before) <= config.loglik_tol * (abs(before) + 1):
                 state.active[r], x = False, g
             state.v[r], state.theta[r] = x[:n_races], x[n_races : n_races + k]
             _gauged(state.v[r], state.theta[r], here[r], t if columns[r].any() else None)

@@ -232,17 +232,18 @@ def form_fits(marked: DataFrame, k: int, forms: dict[str, FullConfig]) -> DataFr
             first = forms[every[chunk[0]]]
             settings = engine.EngineConfig(nu, tol=first.tol, loglik_tol=1e-12, max_iter=first.max_iter)  # high powers move long after the fit stands
             theta = np.array([b[0] if b else np.zeros(len(names)) for b in before])
-            start = None
+            start = sigma2 = None
             if all(b is not None for b in before):
                 start = ready.sparkSession.createDataFrame(pa.concat_tables([b[1].append_column("run_id", pa.array(np.full(len(b[1]), r))) for r, b in zip(runs, before, strict=True)]))
-            fits = engine.fit_runs(ready, runs, settings, names, dates, start, columns=masks[[of(r) for r in runs]], theta=theta, slots=[r % (k + 1) for r in runs], score=True)
+                sigma2 = [b[2] for b in before]
+            fits = engine.fit_runs(ready, runs, settings, names, dates, start, sigma2=sigma2, columns=masks[[of(r) for r in runs]], theta=theta, slots=[r % (k + 1) for r in runs], score=True)
             scores = {r["run_id"]: r for r in fits.held_out.collect()}  # a row a run, as the next two
             scales = {r["run_id"]: r for r in fits.scales.collect()}
             races = fits.races.select("run_id", "race_id", "v").orderBy("run_id").toArrow()
             bounds = np.searchsorted(races["run_id"].to_numpy(), [*runs, len(runs)])
             for r in runs:
                 form, fold, s, scale = every[of(r)], r % (k + 1), scores.get(r), scales[r]
-                warm[masks[of(r)].tobytes(), fold] = fits.theta[r], races.slice(bounds[r], bounds[r + 1] - bounds[r]).select(["race_id", "v"])
+                warm[masks[of(r)].tobytes(), fold] = fits.theta[r], races.slice(bounds[r], bounds[r + 1] - bounds[r]).select(["race_id", "v"]), scale["sigma2"]
                 n_params = n_athletes + n_races - 1 + int(masks[of(r)].sum()) + 1
                 held = (s["n"], s["n_orphans"], s["logdensity"], math.sqrt(s["sq"] / max(1, s["n"]))) if fold < k else (None,) * 4
                 rows.append((form, fold if fold < k else None, *held, scale["loglik"], n_params, scale["n_iter"], scale["converged"]))
@@ -266,7 +267,7 @@ def omega_refits(cells: DataFrame, config: FullConfig, omegas: list[float], fixe
     runs = list(range(len(omegas)))
     start = None if warm is None else warm.fits.races.select("race_id", "v")
     theta = None if warm is None else np.tile(warm.theta, (len(runs), 1))
-    return engine.fit_runs(ready, runs, settings, names, dates, start, theta=theta), list(names), knots, mean_ae
+    return engine.fit_runs(ready, runs, settings, names, dates, start, theta=theta, sigma2=None if warm is None else warm.fits.sigma2), list(names), knots, mean_ae
 
 
 def omega_metrics(fits: engine.Fits, n_params: int) -> DataFrame:

@@ -134,7 +134,7 @@ def _boot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fit = _fit_tables(
         spark, d, "boot", (NU, RUNS, SEED),
         lambda cells: engine.fit_runs(
-            cells, runs, engine.EngineConfig(nu=NU), start=v, weights=inference.weight_arrays(cells.select("athlete_id").distinct(), runs, SEED)
+            cells, runs, engine.EngineConfig(nu=NU), start=v, weights=inference.weight_arrays(cells.select("athlete_id").distinct(), runs, SEED), sigma2=_sigma2(spark, d)
         ),
     )
     return v, fit["races"]
