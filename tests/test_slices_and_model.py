@@ -55,6 +55,23 @@ def test_giant_component_counts_cells(spark):
     assert got == {1, 2, 3}
 
 
+def test_components_meet_few_links_and_agree_with_brute_force(spark, monkeypatch):
+    rng, seen, spread = random.Random(5), [], slices._spread
+    monkeypatch.setattr(slices, "_spread", lambda links: seen.append(links.count()) or spread(links))
+    dense = [(a, r) for a in range(60) for r in range(20)]
+    sparse = sorted({(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(75)})
+    label = {r: r for _, r in dense + sparse}
+    for _ in range(60):
+        low = {}
+        for a, r in dense + sparse:
+            low[a] = min(low.get(a, r), label[r])
+        for a, r in dense + sparse:
+            label[r] = min(label[r], low[a])
+    got = slices.race_components(cells_of(spark, dense + sparse).select("athlete_id", "race_id")).collect()
+    assert {r["race_id"]: r["comp"] for r in got} == label and len(got) == len(label)
+    assert seen[0] <= 2 * len(label) and sum(seen) < len(dense)
+
+
 def test_empty_slice_is_an_error(spark):
     with pytest.raises(ValueError):
         slices.load_slice(spark, SF, SliceSpec(min_race_count=60, min_field=60))
