@@ -102,6 +102,17 @@ def test_many_runs_are_single_fits(spark, truth):
     assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_sums_by_small_blocks_give_the_same_fit(spark, truth, monkeypatch):
+    cells = inference.with_weights(truth.cells.select("athlete_id", "race_id", "y", F.col("a_n").alias("x")), 2, 7)
+    fit = lambda: engine.fit_runs(cells, [1, 2], engine.EngineConfig(nu=8.0), ("x",))
+    whole = fit()
+    monkeypatch.setattr(engine, "BLOCK", 7)
+    parts = fit()
+    a, b = ({(r["run_id"], r["race_id"]): r["v"] for r in f.races.collect()} for f in (whole, parts))
+    assert a == pytest.approx(b, abs=1e-9) and len(a) == 48
+    assert np.allclose([whole.theta[r] for r in (1, 2)], [parts.theta[r] for r in (1, 2)], atol=1e-8)
+
+
 def test_gaussian_runs_agree_with_the_form_without_a_limit(spark, truth):
     cells = inference.with_weights(truth.cells.select("athlete_id", "race_id", "y"), 3, 7)
     got = engine.fit_runs(cells, [1, 2, 3], engine.EngineConfig(nu=math.inf)).races
