@@ -102,6 +102,17 @@ def test_many_runs_are_single_fits(spark, truth):
     assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_folds_beyond_the_limit_are_fitted_some_at_a_time(spark, truth):
+    marked = inference.folds(truth.cells.select("athlete_id", "race_id", "y"), 3, 5)
+    whole, parts = (inference.fold_fits(marked, 3, engine.EngineConfig(nu=(math.inf, 8.0), race_limit=n), score=True) for n in (5_000_000, 100))
+    for name, key in (("races", ["run_id", "race_id"]), ("held_out", ["run_id"])):
+        a, b = ([tuple(r) for r in getattr(f, name).orderBy(*key).collect()] for f in (whole, parts))
+        assert len(a) == len(b) and all(x == pytest.approx(y, abs=1e-7) for x, y in zip(a, b, strict=True))
+    rest = inference.held_out_residuals(marked, whole, 3, 2).filter("r is not null").groupBy("run_id").agg(F.count("*").alias("n"), F.sum(F.col("r") ** 2).alias("sq"))
+    want, got = ({r["run_id"]: (r["n"], r["sq"]) for r in f.collect()} for f in (rest, parts.held_out))
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want) and len(want) == len(got) == 6
+
+
 def test_sums_by_small_blocks_give_the_same_fit(spark, truth, monkeypatch):
     cells = inference.with_weights(truth.cells.select("athlete_id", "race_id", "y", F.col("a_n").alias("x")), 2, 7)
     fit = lambda: engine.fit_runs(cells, [1, 2], engine.EngineConfig(nu=8.0), ("x",))
