@@ -247,3 +247,14 @@ def test_cached_tables_follow_the_content(spark, tmp_path):
     assert table.count() == 4
     scratch.discard(table)
     assert not scratch.hadoop(spark, table.scratch_path)[1].exists(scratch.hadoop(spark, table.scratch_path)[0])
+
+
+def test_replicates_beyond_the_limit_are_fitted_some_at_a_time(spark, truth):
+    cells = truth.cells.select("athlete_id", "race_id", "y")
+    point = engine.fit_runs(cells, config=engine.EngineConfig(nu=8.0))
+    assert len(point.trace) <= 11  # 13 by reweighted steps
+    start = point.races.select("race_id", "v")
+    whole, parts = (inference.replicate_fits(cells, [1, 2, 3], 7, engine.EngineConfig(nu=8.0, race_limit=n), start, point.sigma2) for n in (5_000_000, 50))
+    a, b = ([tuple(r) for r in f.races.select("run_id", "race_id", "v").orderBy("run_id", "race_id").collect()] for f in (whole, parts))
+    assert len(a) == len(b) == 72 and all(x == pytest.approx(y, abs=1e-10) for x, y in zip(a, b, strict=True))
+    assert engine.at_once(1000, terms=8) <= engine.at_once(1000) // 3  # means of covariates are held too
