@@ -258,3 +258,22 @@ def test_replicates_beyond_the_limit_are_fitted_some_at_a_time(spark, truth):
     a, b = ([tuple(r) for r in f.races.select("run_id", "race_id", "v").orderBy("run_id", "race_id").collect()] for f in (whole, parts))
     assert len(a) == len(b) == 72 and all(x == pytest.approx(y, abs=1e-10) for x, y in zip(a, b, strict=True))
     assert engine.at_once(1000, terms=8) <= engine.at_once(1000) // 3  # means of covariates are held too
+
+
+def test_counts_of_dominance_are_those_of_its_matrix(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=40) * 1.5
+    rows = [(run, f"s{i:02d}", round(float(base[i] + rng.normal()), 1)) for i in range(40) for run in range(10) if i % 7 or run % 3]
+    m = {}
+    for run, name, x in rows + [(99, "alone", 0.0)]:
+        m.setdefault(name, {})[run] = x
+    want = {}
+    for a in m:
+        met = [[m[a][r] < m[b][r] for r in m[a] if r in m[b]] for b in m if b != a]
+        shares = [sum(z) / len(z) for z in met if z]
+        if shares:
+            want[a] = (sum(p >= 0.9 for p in shares), sum(p <= 0.1 for p in shares))
+    medians = spark.createDataFrame(rows + [(99, "alone", 0.0), (1, None, 5.0)], "run_id long, series_key string, m double")
+    for block in (2048, 7):
+        got = {r["series_key"]: (r["n_slower_conf"], r["n_faster_conf"]) for r in ranking.dominance_counts(medians, 0.9, block).collect()}
+        assert got == want
