@@ -193,3 +193,19 @@ def test_mismatch_sweep_breaks_joins_and_both(spark):
         want, full = (direct_races([(f(a), r, y, 1.0) for a, r, y, _, _ in rows]) for f in (lambda a: to.get(a, a), lambda a: a))
         shift = max(abs(want[r] - full[r]) for r in full)
         assert to and abs(next(r["max_shift"] for r in got if (r["op"], r["p"], r["run_id"]) == ("join", 0.5, run)) - shift) < 2e-6
+
+
+def test_runs_as_bits_hold_each_cell_once(spark):
+    rng, rows = np.random.default_rng(6), []
+    for a in range(60):
+        for r in rng.choice(12, 7, replace=False) if a < 54 else (12, 13, 14, 15, 16):
+            rows.append((a, int(r), math.exp(9 + 0.1 * rng.normal()), datetime.date(2000 + int(r), 1, 1), "ABCD"[a % 4], 1970.0 if a % 5 else None))
+    timed = spark.createDataFrame(rows, "athlete_id long, race_id long, t double, date date, country string, yob double")
+    spec = slices.SliceSpec(min_race_count=5, min_field=3, min_age=31.0)
+    marked = slices.cut(timed.withColumn("alive", sum((F.when(F.col("country") != c, F.lit(1 << i)).otherwise(0) for i, c in enumerate("ABCD")), F.lit(0)).cast("long")))
+    found = sensitivity.giant_runs(sensitivity.prune_runs(marked, spec, 4), 4)
+    assert found.count() == found.select("athlete_id", "race_id").distinct().count() <= len(rows)
+    for i, c in ((0, "A"), (2, "C")):
+        want = slices.giant_component(slices.prune(timed.filter(F.col("country") != c), spec)).select("athlete_id", "race_id").collect()
+        got = found.filter(F.shiftright("alive", i) % 2 == 1).select("athlete_id", "race_id").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
