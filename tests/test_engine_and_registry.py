@@ -277,3 +277,24 @@ def test_counts_of_dominance_are_those_of_its_matrix(spark):
     for block in (2048, 7):
         got = {r["series_key"]: (r["n_slower_conf"], r["n_faster_conf"]) for r in ranking.dominance_counts(medians, 0.9, block).collect()}
         assert got == want
+
+
+def test_groups_of_runs_share_dealt_cells_and_means_stay_in_the_tasks(spark, truth, monkeypatch):
+    cells = inference.with_weights(truth.cells.select("athlete_id", "race_id", "y", F.col("a_n").alias("x")), 3, 7)
+    dealt, sent = [], []
+    deal, sweep = engine._dealt, engine._swept
+    monkeypatch.setattr(engine, "_dealt", lambda *a: dealt.append(1) or deal(*a))
+
+    def swept(*args):
+        got = list(sweep(*args))
+        sent.append((len(args[2].v), [len(step) for _, step, *_ in got]))
+        return iter(got)
+
+    monkeypatch.setattr(engine, "_swept", swept)
+    fit = lambda n: engine.fit_runs(cells, [1, 2, 3], engine.EngineConfig(nu=8.0, group_limit=n), ("x",), score=True)
+    whole, parts = fit(1_000_000), fit(48)
+    assert len(dealt) == 2  # each fit deals once, however many its groups
+    assert {n for n, _ in sent} == {3, 2, 1} and all(lengths == [24] * len(lengths) for _, lengths in sent)  # a step a race, no means
+    for name, key in (("races", ["run_id", "race_id"]), ("athletes", ["run_id", "athlete_id"]), ("scales", ["run_id"]), ("held_out", ["run_id"])):
+        a, b = ([tuple(r) for r in getattr(f, name).drop("n_iter").orderBy(*key).collect()] for f in (whole, parts))
+        assert len(a) == len(b) and all(x == pytest.approx(y, abs=1e-8) for x, y in zip(a, b, strict=True))
