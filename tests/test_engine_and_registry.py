@@ -298,3 +298,12 @@ def test_groups_of_runs_share_dealt_cells_and_means_stay_in_the_tasks(spark, tru
     for name, key in (("races", ["run_id", "race_id"]), ("athletes", ["run_id", "athlete_id"]), ("scales", ["run_id"]), ("held_out", ["run_id"])):
         a, b = ([tuple(r) for r in getattr(f, name).drop("n_iter").orderBy(*key).collect()] for f in (whole, parts))
         assert len(a) == len(b) and all(x == pytest.approx(y, abs=1e-8) for x, y in zip(a, b, strict=True))
+
+
+def test_tasks_hold_fewer_cells_where_there_are_covariates(spark, truth):
+    cells = truth.cells.select("athlete_id", "race_id", "y", F.col("a_n").alias("x"), *((F.col("a_n") * k).alias(f"x{k}") for k in range(2, 7)))
+    config = engine.EngineConfig(per_partition=cells.count() // 5)
+    deal = lambda *names: engine._dealt(cells, names, config, [0], False, None, np.ones((1, len(names)), dtype=bool))[0]
+    bare, wide = deal(), deal("x", *(f"x{k}" for k in range(2, 7)))
+    assert 5 <= bare.rdd.getNumPartitions() <= 6 and wide.rdd.getNumPartitions() >= 10
+    assert engine.EngineConfig().per_partition <= 1_000_000
