@@ -292,7 +292,7 @@ def test_groups_of_runs_share_dealt_cells_and_means_stay_in_the_tasks(spark, tru
 
     monkeypatch.setattr(engine, "_swept", swept)
     fit = lambda n: engine.fit_runs(cells, [1, 2, 3], engine.EngineConfig(nu=8.0, group_limit=n), ("x",), score=True)
-    whole, parts = fit(1_000_000), fit(48)
+    whole, parts = fit(engine.EngineConfig().group_limit), fit(48)
     assert len(dealt) == 2  # each fit deals once, however many its groups
     assert {n for n, _ in sent} == {3, 2, 1} and all(lengths == [24] * len(lengths) for _, lengths in sent)  # a step a race, no means
     for name, key in (("races", ["run_id", "race_id"]), ("athletes", ["run_id", "athlete_id"]), ("scales", ["run_id"]), ("held_out", ["run_id"])):
@@ -306,4 +306,4 @@ def test_tasks_hold_fewer_cells_where_there_are_covariates(spark, truth):
     deal = lambda *names: engine._dealt(cells, names, config, [0], False, None, np.ones((1, len(names)), dtype=bool))[0]
     bare, wide = deal(), deal("x", *(f"x{k}" for k in range(2, 7)))
     assert 5 <= bare.rdd.getNumPartitions() <= 6 and wide.rdd.getNumPartitions() >= 10
-    assert engine.EngineConfig().per_partition <= 1_000_000
+    assert engine.EngineConfig().per_partition <= 1_000_000 and engine.EngineConfig().group_limit <= 250_000
