@@ -307,3 +307,23 @@ def test_tasks_hold_fewer_cells_where_there_are_covariates(spark, truth):
     bare, wide = deal(), deal("x", *(f"x{k}" for k in range(2, 7)))
     assert 5 <= bare.rdd.getNumPartitions() <= 6 and wide.rdd.getNumPartitions() >= 10
     assert engine.EngineConfig().per_partition <= 1_000_000 and engine.EngineConfig().group_limit <= 250_000
+
+
+def test_steps_travel_as_a_byte_a_race_and_athletes_are_solved_some_at_a_time():
+    rng = np.random.default_rng(3)
+    step = rng.normal(size=5_000) * np.repeat([1.0, 1e-9], 2_500)
+    step[[7, 4_999]] = np.nan
+    packed = engine.narrowed(step)
+    back = engine.widened(packed, len(step))
+    assert len(packed) < 1.1 * len(step)  # four bytes a race before
+    for at in range(0, len(step), engine.SCALED):
+        a, b = step[at : at + engine.SCALED], back[at : at + engine.SCALED]
+        assert (np.isnan(a) == np.isnan(b)).all() and np.nanmax(np.abs(a - b)) <= np.nanmax(np.abs(a)) / 253
+    assert (engine.widened(engine.narrowed(np.array([0.0, np.nan])), 2)[:1] == 0).all()
+
+    counts = rng.integers(1, 60, 3_000)
+    n = counts.sum()
+    rest, g, til, eligible = rng.standard_t(4, n), rng.random(n) + 0.1, rng.normal(size=n), counts >= 5
+    for x, ok in ((None, None), (til, eligible)):
+        got, want = (f(rest, counts, g, x, ok, 0.8, 0.01, 8.0, 1e-14) for f in (engine.solve_athletes, engine._solved))
+        assert n > 2 * engine.TOGETHER and all(np.allclose(a, b, atol=1e-11) for a, b in zip(got, want, strict=True))
