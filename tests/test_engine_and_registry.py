@@ -313,9 +313,10 @@ def test_steps_travel_as_a_byte_a_race_and_athletes_are_solved_some_at_a_time():
     rng = np.random.default_rng(3)
     step = rng.normal(size=5_000) * np.repeat([1.0, 1e-9], 2_500)
     step[[7, 4_999]] = np.nan
+    single = engine.narrowed(step.astype(np.float32))
     packed = engine.narrowed(step)
     back = engine.widened(packed, len(step))
-    assert len(packed) < 1.1 * len(step)  # four bytes a race before
+    assert len(single) == len(packed) < 1.1 * len(step)  # four bytes a race before
     for at in range(0, len(step), engine.SCALED):
         a, b = step[at : at + engine.SCALED], back[at : at + engine.SCALED]
         assert (np.isnan(a) == np.isnan(b)).all() and np.nanmax(np.abs(a - b)) <= np.nanmax(np.abs(a)) / 253
