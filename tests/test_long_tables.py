@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import describe, inference, quantiles, regression
+from paceline.operators import describe, engine, inference, quantiles, regression, synthetic
 
 SHARES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
@@ -68,3 +68,19 @@ def test_permutation_null_is_that_of_the_joined_tables(spark, monkeypatch):
     assert not made and [k for k, _ in got] == [k for k, _ in want] and [t for _, t in got] == pytest.approx([t for _, t in want], abs=1e-10)
     one = inference.permutation_null(rest, races, 5, 7).first()
     assert one["n_draws"] == 5 and one["t_obs"] == pytest.approx(want[0][1], abs=1e-5) and one["null_mean"] == pytest.approx(np.mean([t for _, t in want[1:]]), abs=1e-5)
+
+
+def test_paths_of_sweeps_leave_the_driver_as_they_come(spark, monkeypatch):
+    truth = synthetic.generate(spark, 60, 12, 0.7, seed=4, nu=6.0)
+    held, wrote = [], engine._Paths._write
+
+    def counted(self):
+        held.append(sum(map(len, self.rows)))
+        wrote(self)
+
+    monkeypatch.setattr(engine._Paths, "_write", counted)
+    got = engine.fit_runs(truth.cells, [0, 1], engine.EngineConfig(nu=8.0, group_limit=30), slots=None, keep_paths=True)
+    rows = got.paths.collect()
+    assert max(held) <= 30 and len(held) > 2 and sum(held) == len(rows) == 12 * len(got.history)
+    last = {(r["run_id"], r["race_id"]): r["v"] for r in sorted(rows, key=lambda r: r["sweep"])}
+    assert last == pytest.approx({(r["run_id"], r["race_id"]): r["v"] for r in got.races.collect()}, abs=1e-12)
