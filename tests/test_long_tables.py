@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import describe, engine, inference, quantiles, regression, synthetic
+from paceline.operators import describe, engine, inference, quantiles, ranking, regression, synthetic
 
 SHARES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
@@ -84,3 +84,27 @@ def test_paths_of_sweeps_leave_the_driver_as_they_come(spark, monkeypatch):
     assert max(held) <= 30 and len(held) > 2 and sum(held) == len(rows) == 12 * len(got.history)
     last = {(r["run_id"], r["race_id"]): r["v"] for r in sorted(rows, key=lambda r: r["sweep"])}
     assert last == pytest.approx({(r["run_id"], r["race_id"]): r["v"] for r in got.races.collect()}, abs=1e-12)
+
+
+def test_folds_are_bits_and_fit_as_arrays_do(spark):
+    marked = inference.folds(synthetic.generate(spark, 60, 12, 0.7, seed=4, nu=6.0).cells, 3, 7)
+    ready = inference.with_folds(marked, 3, whole=True)
+    assert "g" not in ready.columns
+    arrays = marked.withColumn("g", F.array(*((F.col("fold") != f).cast("double") for f in range(3)), F.lit(1.0)))
+    a, b = (engine.fit_runs(c, [0, 1, 2, 3], engine.EngineConfig(nu=8.0), score=True) for c in (ready, arrays))
+    of = lambda fits: {(r["run_id"], r["race_id"]): r["v"] for r in fits.races.collect()}
+    assert of(a) == pytest.approx(of(b), abs=1e-12)
+    held = [sorted(map(tuple, f.held_out.select("run_id", "n", "n_orphans", "logdensity").collect())) for f in (a, b)]
+    assert [x for row in held[0] for x in row] == pytest.approx([x for row in held[1] for x in row], rel=1e-10)
+    many = inference.with_folds(marked, 70)
+    assert "bits" not in many.columns and len(many.first()["g"]) == 70
+
+
+@pytest.mark.parametrize("n", [400, 1])
+def test_kendall_by_parts_is_that_of_all_pairs(spark, n):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 40, n) / 4, rng.integers(0, 60, n) / 8
+    df = spark.createDataFrame(pa.table({"x": x, "y": y + x}))
+    a, b = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y + x, y + x))
+    got = ranking.kendall(df, block=30).first()["tau"]  # fourteen parts
+    assert got is None if n == 1 else got == pytest.approx((a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum()), abs=1e-6)
